@@ -1,7 +1,82 @@
-"""Corpus pipeline."""
-STAGES = []
-ORACLE_SQL = None
+"""Corpus pipeline: language, near duplicates, benchmark passages, mixture, shards.
 
+Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
+and read again as the next one's docs.  All but the last return the columns of
+``documents``.  Stages see what their predecessor kept and nothing else.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.llm.common import shared_dir, table
+from tagloom.llm.decontaminate import contaminated
+from tagloom.llm.minhash import near_dedup
+from tagloom.llm.mixing import mix
+from tagloom.llm.ppm import UNKNOWN, identify
+from tagloom.llm.sharding import balanced_label_propagation
+
+#: A document in no learned language needs more bits a byte than this to code.
+MOST_BITS = 5.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters, and those that no learned language codes well.
+
+    The column ``lang`` becomes the predicted language.
+    """
+    found = identify(docs, keep=tuple(docs.columns))
+    good = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS))
+    return good.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays; repeated rows of its id are dropped."""
+    kept = near_dedup(docs).filter("kept and id is not null").select(F.col("id").alias("doc_id"))
+    unnamed = docs.filter("doc_id is null")
+    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the mix takes words stay, as often as it takes them whole: taken / size, rounded, and once at least."""
+    taken = mix(docs).filter("taken > 0").select(F.col("id").alias("doc_id"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
+    copied = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return copied.select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mixture."""
+    return balanced_label_propagation(docs).select(F.col("id").alias("doc_id"), "size", "text_crc32", "shard", "slot")
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mixture", mixture),
+    ("shard", shard),
+]
+
+#: Stages of trained models and of hashed search have no SQL.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

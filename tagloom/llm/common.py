@@ -45,6 +45,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Bound the Arrow batches that Python workers get, as a text may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def bucket_of(column: Column | str, buckets: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(buckets)).cast("int")
 

@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import table
+from tagloom.llm.decontaminate import contaminated
 from tagloom.llm.exact_dedup import exact_dedup
+from tagloom.llm.minhash import MinHashParams, near_dedup
 from tagloom.llm.mixing import mix
+from tagloom.llm.ppm import identify, split
+from tagloom.llm.quality import score_quality
 from tagloom.llm.sharding import balanced_label_propagation
+from tagloom.llm.suffix_dedup import remove_repeats
+from tagloom.llm.toxicity import score_toxicity
 from tagloom.llm.warc import archive_pages
 
 
@@ -19,24 +25,60 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.sha2("norm", 256).alias("text_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = balanced_label_propagation(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", "edits", "first_word", "end_word")
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup(table(spark, sf_dir, "documents"), params=MinHashParams(percent=85))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=split(F.col("id"), 4) != 2)
+    return out.select(F.col("id").alias("doc_id"), (split(F.col("id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify(table(spark, sf_dir, "documents"), learn_from=split(F.col("id"), 4) != 2)
+    return out.select(F.col("id").alias("doc_id"), (split(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=split(F.col("id"), 5) != 0)
+    return out.select(F.col("id").alias("doc_id"), (split(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_minhash": op5_minhash,
+    "op6_toxicity": op6_toxicity,
+    "op7_language": op7_language,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 
