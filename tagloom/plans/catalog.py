@@ -18,7 +18,7 @@ from tagloom.operators import tensor as T
 from tagloom.operators import trends as TR
 from tagloom.operators import vector_search as VS
 from tagloom.params import Params
-from tagloom.plans.relations import register, with_relations
+from tagloom.plans.relations import relation, with_relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,8 +41,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Cal
 
     def add(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            register(spark, sf_dir)
-            return rounded(f(spark.table))
+            return rounded(f(lambda relation_name: relation(spark, sf_dir, relation_name)))
 
         QUERIES[name] = run
         if sql is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -37,17 +39,14 @@ RELATIONS: dict[str, str] = {
 }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Stored tables and relations as views of the session."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name, sql in RELATIONS.items():
-        spark.sql(sql).createOrReplaceTempView(name)
-
-
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.table(name)
+    """A stored table or a relation; what it stands on becomes views of the session."""
+    if name in TABLES:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    sql = RELATIONS[name]
+    for used in sorted(set(re.findall(r"\w+", sql)) & ({*TABLES, *RELATIONS} - {name})):
+        relation(spark, sf_dir, used).createOrReplaceTempView(used)
+    return spark.sql(sql)
 
 
 def with_relations(sql: str) -> str:
