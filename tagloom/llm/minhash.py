@@ -22,12 +22,18 @@ CACHE_WORDS = 1_000_000
 
 @dataclass(frozen=True)
 class MinHashParams:
-    """bands * rows bins; two sets of similarity s share a band with probability 1 - (1 - s**rows)**bands."""
+    """bands * rows bins; two sets of similarity s share a band with probability 1 - (1 - s**rows)**bands.
+
+    margin: pairs whose signatures agree in less than the similarity minus this
+    aren't compared across components; four standard deviations of the estimate.  block: members of a bucket that meet in one task.
+    """
 
     width: int = 5
     percent: int = 80
     bands: int = 48
     rows: int = 8
+    margin: float = 0.08
+    block: int = 1000
     seed: int = 17
 
     @property
@@ -102,9 +108,9 @@ def signature(hashes: np.ndarray, p: MinHashParams) -> np.ndarray:
     return out
 
 
-def band_keys(hashes: np.ndarray, p: MinHashParams) -> np.ndarray:
+def band_keys(bins: np.ndarray, p: MinHashParams) -> np.ndarray:
     _, factors, salts = _tables(p)
-    rows = _mixed(signature(hashes, p).reshape(p.bands, p.rows))
+    rows = _mixed(bins.reshape(p.bands, p.rows))
     return _mixed((rows * factors).sum(1, dtype=np.uint64) + salts).view(np.int64)
 
 
@@ -120,15 +126,49 @@ def _sign(docs: DataFrame, p: MinHashParams) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
-            n, digests, bands = [], [], []
+            n, digests, bands, bytes_ = [], [], [], []
             for text in pdf["text"]:
                 s = shingles(text, p.width, hashes)
+                bins = signature(s, p) if len(s) else None
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(s, p) if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "digest": digests, "bands": bands})
+                bands.append(band_keys(bins, p) if len(s) else None)
+                bytes_.append(_mixed(bins).astype(np.uint8).tobytes() if len(s) else None)
+            yield pd.DataFrame({"id": pdf["id"], "n": n, "digest": digests, "bands": bands, "bins": bytes_})
+
+    return docs.mapInPandas(sign, f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, bands array<long>, bins binary")
 
-    return docs.mapInPandas(sign, f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, bands array<long>")
+
+def _across(members: DataFrame, p: MinHashParams) -> DataFrame:
+    """Pairs (a, b) of a bucket's members (key, band, rep, n, component, bins, bands, size) in different components that may be similar.
+
+    Sizes and agreement of the signatures have to allow it.  A pair is made in
+    the first band that it shares, and nowhere else.  Large buckets are cut into
+    blocks, and each pair of blocks meets in a task of its own.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+    blocks = F.ceil(F.col("size") / p.block).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("mine", kind="stable")
+        bins, bands = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), p.bins), np.stack(pdf["bands"].to_list())
+        n, component, rep, mine = (pdf[c].to_numpy() for c in ("n", "component", "rep", "mine"))
+        band, split = int(pdf["band"].iat[0]), int((mine == pdf["lo"].iat[0]).sum())
+        one = pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        out = []
+        for i in range(split):
+            j = np.arange(i + 1 if one else split, len(pdf))
+            j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= p.percent * np.maximum(n[j], n[i]))]
+            if not len(j):
+                continue
+            j = j[(bins[j] == bins[i]).mean(1) >= p.percent / 100 - p.margin]
+            j = j[(bands[j] == bands[i]).argmax(1) == band]
+            out.extend((min(rep[i], r), max(rep[i], r)) for r in rep[j])
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return met.select("key", "lo", "hi", "mine", "band", "rep", "n", "component", "bins", "bands").groupBy("key", "lo", "hi").applyInPandas(pairs, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
@@ -158,9 +198,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a bucket the smallest member is the hub of a star: each pair with the hub
     is compared on full sets.  What a star can't see, a link between two
     members that aren't linked with the hub, is looked for afterwards, and only
-    in buckets whose members are in several components: there all pairs across
-    components are compared, if their sizes allow the similarity.  Pairs inside
-    a component can't change the result and are never made.
+    in buckets whose members are in several components: there the pairs across
+    components are compared whose sizes and signatures allow the similarity.
+    Pairs inside a component can't change the result and are never made.
 
     Returns id, n_shingles, component_id (smallest id connected), kept.
 
@@ -175,11 +215,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = narrow(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     signed = materialise(_sign(rows, p), "minhash-signed")
     classes = materialise(
-        signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins")),
         "minhash-classes",
     )
-    keyed = classes.filter("rep is not null").select("rep", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
+    keyed = classes.filter("rep is not null").select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialise(keyed.join(buckets, "key"), "minhash-members")
     star = materialise(members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-star")
     texts = rows.filter("id is not null")
@@ -189,11 +229,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Buckets across components.
     placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    across = materialise(placed.join(mixed, "key").select("key", "rep", "n", "component"), "minhash-across")
-    left, right = (across.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "n", "component")]) for i in (1, 2))
-    sizes = (100 * F.least("n1", "n2")) >= (p.percent * F.greatest("n1", "n2"))
-    more = left.join(right, "key").filter((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")) & sizes)
-    more = materialise(more.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "minhash-more")
+    across = placed.join(mixed, "key").join(classes.select("rep", "bins", "bands"), "rep")
+    more = materialise(_across(across, p).join(star, ["a", "b"], "left_anti"), "minhash-more")
     if not more.isEmpty():
         found = materialise(verified(more, texts, p), "minhash-links")
         if not found.isEmpty():
