@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.scalar import clamp, jaccard, temporal_proximity
 from tagloom.operators.graph import connected_components
+from tagloom.operators.lineage import cut
 
 CHANNELS = ["cooccurrence", "synchronicity", "semantic", "semiotic", "glyph"]
 OVERLAP_WEIGHT = 0.5
@@ -124,7 +125,7 @@ def canopy_merge(edges: DataFrame, memory_tags: DataFrame, depth: int = 2) -> Da
         out = scores if out is None else out.unionByName(scores)
         grown = scores.filter(F.col("growth_potential") > OVERLAP_WEIGHT * level).select("cluster")
         members = clusters.join(grown, "cluster", "left_semi").select("memory_id")
-        live = live.join(members.withColumnRenamed("memory_id", "memory_a"), "memory_a", "left_semi").join(members.withColumnRenamed("memory_id", "memory_b"), "memory_b", "left_semi")
+        live = cut(live.join(members.withColumnRenamed("memory_id", "memory_a"), "memory_a", "left_semi").join(members.withColumnRenamed("memory_id", "memory_b"), "memory_b", "left_semi"))
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.lineage import cut
 from tagloom.operators.tensor import directed, touching
 from tagloom.params import Params
 
@@ -64,18 +65,13 @@ def filter_hubs(tensor: DataFrame, context: DataFrame, seeds: DataFrame, most: i
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) of edges (a, b), the smallest node of each: labels and pointers in turn, cut by checkpoints."""
-    import tempfile
-
-    spark = edges.sparkSession
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_m"))
         step = labels.join(near, "node").select("node", F.least("component", "_m").alias("component"), F.col("component").alias("_old"))
         jump = step.select(F.col("node").alias("_p"), F.col("component").alias("_to"))
-        new = step.join(jump, F.col("component") == F.col("_p")).select("node", F.least("component", "_to").alias("component"), "_old").checkpoint()
+        new = cut(step.join(jump, F.col("component") == F.col("_p")).select("node", F.least("component", "_to").alias("component"), "_old"))
         labels = new.select("node", "component")
         if new.filter("component <> _old").isEmpty():
             break

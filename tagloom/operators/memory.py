@@ -138,3 +138,45 @@ def compare_traces(before: DataFrame, after: DataFrame) -> DataFrame:
     both = listed(before, "before").join(listed(after, "after"), "memory_id", "full_outer")
     where = F.when(F.col("score_before").isNull(), "added").when(F.col("score_after").isNull(), "removed").otherwise("both")
     return both.select("memory_id", "score_before", "score_after", (F.col("score_after") - F.col("score_before")).alias("score_shift"), (F.col("rank_before") - F.col("rank_after")).alias("rank_shift"), where.alias("found_in"))
+
+
+def ids_by_source(memories: DataFrame, source: str = "source_model") -> DataFrame:
+    """Sorted ids of each source, and how many; the inverse is the table itself."""
+    return memories.groupBy(source).agg(F.sort_array(F.collect_list("memory_id")).alias("memory_ids"), F.count(F.lit(1)).alias("cnt"))
+
+
+def first_chunks(vectors: DataFrame) -> DataFrame:
+    """The vector of the first chunk of each memory."""
+    return vectors.groupBy("memory_id").agg(F.min("chunk_index").alias("chunk_index"), F.min_by("embedding", "chunk_index").alias("embedding"))
+
+
+def replace_chunks(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """All chunks of the memories in ``new`` replaced by these."""
+    return vectors.join(new.select("memory_id").distinct(), "memory_id", "left_anti").unionByName(new)
+
+
+def record_usefulness(results: DataFrame, marks: DataFrame) -> DataFrame:
+    """Results with the flag was_useful (true, false or unknown) of ``marks`` (retrieval_id, memory_id, was_useful)."""
+    m = marks.groupBy("retrieval_id", "memory_id").agg(F.max("was_useful").alias("was_useful"))
+    return results.join(m, ["retrieval_id", "memory_id"], "left")
+
+
+def results_by_retrieval(results: DataFrame) -> DataFrame:
+    """Memories of each retrieval by rank of their score."""
+    w = Window.partitionBy("retrieval_id").orderBy(F.col("score").desc(), F.col("memory_id"))
+    ranked_ = results.withColumn("_r", F.row_number().over(w))
+    return ranked_.groupBy("retrieval_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "memory_id"))), lambda s: s["memory_id"]).alias("memory_ids"))
+
+
+def feedback_tags(patterns: DataFrame) -> DataFrame:
+    """Emergent tag of each pattern (pattern_id, name, weight rows): the two heaviest names as ``a-x-b``."""
+    w = Window.partitionBy("pattern_id").orderBy(F.col("weight").desc(), F.col("name"))
+    top = patterns.withColumn("_r", F.row_number().over(w)).filter("_r <= 2")
+    return top.groupBy("pattern_id").agg(F.concat_ws("-x-", F.array_sort(F.collect_list("name"))).alias("name"), F.count(F.lit(1)).alias("_n")).filter("_n = 2").drop("_n")
+
+
+def boost_salience(memories: DataFrame, involved: DataFrame, step: float = 0.05) -> DataFrame:
+    """Salience of involved memories raised by a step, 1 at most."""
+    hit = involved.select("memory_id").distinct().withColumn("_hit", F.lit(True))
+    raised = F.when(F.col("_hit"), F.least(F.lit(1.0), F.col("salience") + step)).otherwise(F.col("salience"))
+    return memories.join(hit, "memory_id", "left").withColumn("salience", raised).drop("_hit")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.lineage import cut
+
 #: Layers in the order in which the first of equals dominates.
 LAYER_ORDER = ("cooccurrence", "synchronicity", "semantic", "semiotic", "glyph", "inhibition")
 WEIGHTS = {"cooccurrence": 0.5, "synchronicity": 0.3, "semantic": 0.2, "semiotic": 0.15, "glyph": 0.2, "inhibition": 0.2}
@@ -154,7 +156,8 @@ def longest_chains(edges: DataFrame, depth: int = 6, branching: int = 5) -> Data
 
     One join a step; a path is an array of at most depth + 1 nodes.
     """
-    both = edges.select("layer", "a", "b", "score").unionByName(edges.select("layer", F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    edges = cut(edges.select("layer", "a", "b", "score"))
+    both = edges.unionByName(edges.select("layer", F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     w = Window.partitionBy("layer", "a").orderBy(F.col("score").desc(), "b")
     top = both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= branching).select("layer", "a", "b")
     paths = edges.select("layer", F.col("a").alias("start_a"), F.col("b").alias("start_b"), F.array("a", "b").alias("path"))
@@ -165,14 +168,14 @@ def longest_chains(edges: DataFrame, depth: int = 6, branching: int = 5) -> Data
         paths = paths.join(step, (F.col("layer") == F.col("_l")) & (F.element_at("path", -1) == F.col("_a"))).filter(~F.array_contains("path", F.col("_b")))
         # Of paths over the same nodes to the same end one goes on.
         paths = paths.select("layer", "start_a", "start_b", F.concat("path", F.array("_b")).alias("path"))
-        paths = paths.withColumns({"_e": F.element_at("path", -1), "_s": F.array_sort("path")}).dropDuplicates(["layer", "start_a", "start_b", "_e", "_s"]).drop("_e", "_s")
+        paths = cut(paths.withColumns({"_e": F.element_at("path", -1), "_s": F.array_sort("path")}).dropDuplicates(["layer", "start_a", "start_b", "_e", "_s"]).drop("_e", "_s"))
         longest = longest.unionByName(paths.select("layer", "start_a", "start_b", F.lit(n).alias("length")))
     return longest.groupBy("layer", "start_a", "start_b").agg(F.max("length").alias("length"))
 
 
 def chain_anisotropy(edges: DataFrame, depth: int = 6, branching: int = 5) -> DataFrame:
     """Of each layer: longest chain, mean chain, mean chain of the other layers at the same nodes, and their ratio."""
-    chains = longest_chains(edges, depth, branching)
+    chains = cut(longest_chains(edges, depth, branching))
     ends = chains.select("layer", F.col("start_a").alias("node"), "length").unionByName(chains.select("layer", F.col("start_b").alias("node"), "length"))
     best = ends.groupBy("layer", "node").agg(F.max("length").alias("length"))
     other = best.select(F.col("layer").alias("_l"), "node", F.col("length").alias("side"))
@@ -193,3 +196,33 @@ def matches_terms(text: Column, include: str = "", exclude: str = "") -> Column:
     return out if unwanted is None else out & ~unwanted
 
 
+
+
+def source_summaries(memories: DataFrame, tags: DataFrame, least: int = 2, top: int = 5) -> DataFrame:
+    """The ``top`` sources (summary) of the memories that have ``least`` of the tags at least, by their number.
+
+    memories: (memory_id, tag_id, summary).  tags: (motif, tag_id).
+    """
+    hits = memories.join(tags, "tag_id").groupBy("motif", "memory_id", "summary").agg(F.countDistinct("tag_id").alias("_t")).filter(F.col("_t") >= least)
+    counts = hits.groupBy("motif", "summary").agg(F.count(F.lit(1)).alias("memories"))
+    w = Window.partitionBy("motif").orderBy(F.col("memories").desc(), "summary")
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
+
+
+def is_letter(name: Column) -> Column:
+    return F.length(name) == 1
+
+
+def pair_allowed(a: Column, b: Column, letters: bool = False, terms: str = "") -> Column:
+    """Whether a pair of names may be the columns of a rectangle: with both constraints one letter and one match of the terms."""
+    if not letters and not terms:
+        return F.lit(True)
+    match_a, match_b = matches_terms(a, terms) if terms else F.lit(False), matches_terms(b, terms) if terms else F.lit(False)
+    if letters and terms:
+        return (is_letter(a) & match_b) | (is_letter(b) & match_a)
+    return (is_letter(a) & is_letter(b)) if letters else (match_a & match_b)
+
+
+def letter_sequence(a: Column, b: Column) -> Column:
+    """Two letters that follow each other in the alphabet."""
+    return is_letter(a) & is_letter(b) & (F.abs(F.ascii(a) - F.ascii(b)) == 1)

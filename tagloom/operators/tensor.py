@@ -172,3 +172,38 @@ def symbolic_bonus(pairs: DataFrame, glyphs: DataFrame, known: DataFrame) -> Dat
     joined = pairs.join(a, "tag_a_id", "left").join(b, "tag_b_id", "left").join(F.broadcast(k), (F.least("ga", "gb") == F.col("_x")) & (F.greatest("ga", "gb") == F.col("_y")), "left")
     factor = F.when(F.col("ga") == F.col("gb"), 2.0).when(F.col("relation").isNotNull(), 1.5).otherwise(1.0)
     return joined.select(*PAIR, F.col("relation"), factor.alias("factor"))
+
+
+def cross_reference(pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """Layers that known relations of glyphs give to tag pairs (tag_a_id, tag_b_id, cnt; relation of the pair).
+
+    Opposition inhibits (0.5) and is meant (0.6); transformation is meant (0.7);
+    co-occurrence is the logistic of ln(1 + n) - 2.
+    """
+    joined = pairs.join(relations, PAIR)
+    return joined.select(
+        *PAIR,
+        (1 / (1 + F.exp(-(F.log1p(F.col("cnt").cast("double")) - 2)))).alias("cooccurrence"),
+        F.when(F.col("relation") == "opposition", 0.6).when(F.col("relation") == "transformation", 0.7).otherwise(0.0).alias("semantic"),
+        F.when(F.col("relation") == "opposition", 0.5).otherwise(0.0).alias("inhibition"),
+    )
+
+
+def apply_deltas(tensor: DataFrame, deltas: DataFrame, alpha: float = 0.15) -> DataFrame:
+    """EMA of inhibition and parallelness of the pairs that the tensor has; others aren't made."""
+    d = deltas.select(*PAIR, F.col("inhibition").alias("_i"), F.col("parallelness").alias("_p"))
+    joined = tensor.join(d, PAIR, "left")
+    new = {c: F.when(F.col(x).isNull(), F.col(c)).otherwise(alpha * F.col(x) + (1 - alpha) * F.col(c)) for c, x in (("inhibition", "_i"), ("parallelness", "_p"))}
+    return joined.withColumns(new).drop("_i", "_p")
+
+
+def place(projected: DataFrame, id_col: str = "tag_id") -> DataFrame:
+    """Angle in [0, 2 pi) and radius (tanh of the length) of points in the plane."""
+    x, y = F.element_at("point", 1), F.element_at("point", 2)
+    return projected.select(id_col, F.pmod(F.atan2(y, x), F.lit(6.283185307179586)).alias("angle"), F.tanh(F.sqrt(x * x + y * y)).alias("radius"))
+
+
+def network(phase: DataFrame, trend: DataFrame, pairs: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (quadrant, temperature, events) and edges (pairs in ``least`` baskets at least) of a picture of the network."""
+    nodes = phase.select("tag_id", "quadrant", "temperature").join(trend.select("tag_id", "event_count"), "tag_id", "left").fillna({"event_count": 0})
+    return nodes, pairs.filter(F.col("cnt") >= least)

@@ -107,3 +107,24 @@ def cell_search(queries: DataFrame, vectors: DataFrame, k: int, probe: int = 8,
     v = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "memory_id")
     best = scored.groupBy("query_id", "memory_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(v).cast("long")).filter(F.col("rank") <= k)
+
+
+def centroid_fold(stored: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """Centroid of each tag after memories were stored in order (tag_id, stored_at, memory_id, embedding).
+
+    The first vector counts whole; then the centroid moves by alpha and is of
+    unit length again after each step, so that the order matters.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = None
+        for v in pdf.sort_values(["stored_at", "memory_id"])["embedding"]:
+            v = np.asarray(v, float)
+            v = v / (np.linalg.norm(v) or 1.0)
+            c = v if c is None else alpha * v + (1 - alpha) * c
+            c = c / (np.linalg.norm(c) or 1.0)
+        return pd.DataFrame({"tag_id": [pdf["tag_id"].iat[0]], "centroid": [c.tolist()], "memories": [len(pdf)]})
+
+    return stored.groupBy("tag_id").applyInPandas(one, "tag_id int, centroid array<double>, memories int")

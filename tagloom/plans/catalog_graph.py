@@ -11,9 +11,11 @@ from tagloom.operators import directional as D
 from tagloom.operators import episodes as E
 from tagloom.operators import episodic as EP
 from tagloom.operators import graph as G
+from tagloom.operators import memory as M
 from tagloom.operators import motifs as MO
 from tagloom.operators import tensor as T
 from tagloom.operators import text as X
+from tagloom.operators import trends as TR
 from tagloom.operators import vector_search as VS
 from tagloom.plans.catalog import P, query
 from tagloom.sources import sinks as SK
@@ -336,7 +338,7 @@ def peaks(t):  # noqa: ANN001, ANN201
 @query("meta_patterns")
 def meta(t):  # noqa: ANN001, ANN201
     scores = t("tensor").select(F.col("tag_a_id").alias("a"), F.col("tag_b_id").alias("b"), (F.col("glyph") * F.col("synchronicity")).alias("score"))
-    return EP.meta_patterns(scores, t("tag_events").select("event_id", "tag_id"), t("event_tags"), least=0.8, ratio=1.0)
+    return EP.meta_patterns(scores, t("tag_events").select("event_id", "tag_id"), t("event_tags"), least=0.3, ratio=0.5)
 
 
 # ---- directional flow ---------------------------------------------------------------------------
@@ -491,11 +493,14 @@ def relevance(t):  # noqa: ANN001, ANN201
     return X.criticality(docs, known).select("doc_id", "score")
 
 
-@query("path_tags", "SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(split_part(url, '?', 1), '#.*$', ''), '/'), lambda p: regexp_replace(regexp_replace(lower(trim(regexp_replace(p, '\\.[A-Za-z0-9]+$', ''))), '\\s+', '-', 'g'), '[^a-z0-9\\-:]', '', 'g')), lambda n: n <> ''))), ',') AS tags FROM pages")
+_PLAIN = "regexp_replace(split_part(url, '?', 1), '#.*$', '')"
+_KIND = f"CASE lower(regexp_extract({_PLAIN}, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SUFFIX_TAGS.items()) + " ELSE '' END"
+
+
+@query("path_tags", f"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_append(list_transform(string_split({_PLAIN}, '/'), lambda p: regexp_replace(regexp_replace(lower(trim(regexp_replace(p, '\\.[A-Za-z0-9]+$', ''))), '\\s+', '-', 'g'), '[^a-z0-9\\-:]', '', 'g')), {_KIND}), lambda n: n <> ''))), ',') AS tags FROM pages")
 def paths(t):  # noqa: ANN001, ANN201
     plain = F.regexp_replace(F.substring_index("url", "?", 1), "#.*$", "")
-    # Addresses have no file endings with a kind.
-    return t("pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.filter(X.path_tags(plain), lambda n: ~n.isin(*[k for k in set(X.SUFFIX_TAGS.values()) if k not in ("web",)])))), ",").alias("tags"))
+    return t("pages").select("page_id", F.array_join(X.path_tags(plain), ",").alias("tags"))
 
 
 @query("classify_questions", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b(when|where|who|which|how many|how much|what (date|year|name|number|time))\\b') THEN 'detail' ELSE 'broad' END AS question_type FROM conversations")
@@ -513,9 +518,12 @@ def similar(t):  # noqa: ANN001, ANN201
     return X.similar_names(t("brands"), ["Brand#1", "Brand#12"], 0.8)
 
 
-@query("glyph_tags")
+_SIGNS = {"the": "θ", "of": "○", "and": "&", "de": "δ"}
+
+
+@query("glyph_tags", "SELECT conv_id * 1000 + turn AS id, w AS concept, CASE w WHEN 'the' THEN 'θ' WHEN 'of' THEN '○' WHEN 'and' THEN '&' ELSE 'δ' END AS glyph, count(*) AS hits FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM conversations) WHERE w IN ('the', 'of', 'and', 'de') GROUP BY 1, 2, 3")
 def glyph_tags(t):  # noqa: ANN001, ANN201
-    return X.glyph_tags(t("conversations").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text"))
+    return X.glyph_tags(t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), lexicon=_SIGNS)
 
 
 @query("project_overview", "SELECT CASE WHEN contains(substr(url, 9), '/') THEN regexp_extract(url, '^(.*)/[^/]*$', 1) ELSE '' END AS folder, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS suffix, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes FROM pages WHERE contains(substr(url, 9), '/') GROUP BY 1, 2")
@@ -552,3 +560,85 @@ def pending(t):  # noqa: ANN001, ANN201
     return SK.pending(s, s.filter("operation <> 'error'"), "p1", 50).select("project", "tag_set_hash", F.col("occurred_at").cast("date").cast("string").alias("day"))
 
 
+
+
+# ---- further readers and writers ----------------------------------------------------------------
+
+
+@query("ids_by_source", "SELECT source_model, array_to_string(list_sort(list(memory_id)), ',') AS memory_ids, count(*) AS cnt FROM memories WHERE memory_id < 2000 GROUP BY 1")
+def by_source(t):  # noqa: ANN001, ANN201
+    return M.ids_by_source(t("memories").filter("memory_id < 2000")).withColumn("memory_ids", F.array_join("memory_ids", ","))
+
+
+@query("first_chunks", "SELECT l_orderkey AS memory_id, min(l_linenumber) AS chunk_index, arg_min(l_quantity, l_linenumber) AS embedding FROM lineitem GROUP BY 1", "embedding")
+def first_chunks(t):  # noqa: ANN001, ANN201
+    return M.first_chunks(t("lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_quantity").alias("embedding")))
+
+
+@query("replace_chunks", "SELECT vec_id AS memory_id, label FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 5 = 0")
+def replace_chunks(t):  # noqa: ANN001, ANN201
+    e = t("embeddings").select(F.col("vec_id").alias("memory_id"), "label")
+    return M.replace_chunks(e, e.filter("memory_id % 5 = 0").withColumn("label", F.col("label") + 100))
+
+
+@query("record_usefulness", "SELECT retrieval_id, memory_id, CASE WHEN memory_id % 7 = 0 THEN memory_id % 2 = 0 END AS was_useful FROM results")
+def usefulness(t):  # noqa: ANN001, ANN201
+    r = t("results")
+    marks = r.filter("memory_id % 7 = 0").select("retrieval_id", "memory_id", (F.col("memory_id") % 2 == 0).alias("was_useful"))
+    return M.record_usefulness(r, marks).select("retrieval_id", "memory_id", "was_useful")
+
+
+@query("results_by_retrieval", "SELECT retrieval_id, string_agg(CAST(memory_id AS VARCHAR), ',' ORDER BY score DESC, memory_id) AS memory_ids FROM results GROUP BY 1")
+def by_retrieval(t):  # noqa: ANN001, ANN201
+    return M.results_by_retrieval(t("results")).withColumn("memory_ids", F.array_join("memory_ids", ","))
+
+
+@query("feedback_tags", "SELECT pattern_id, string_agg(name, '-x-' ORDER BY name) AS name FROM (SELECT p_size AS pattern_id, p_brand AS name, row_number() OVER (PARTITION BY p_size ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1, 2) WHERE r <= 2 GROUP BY 1 HAVING count(*) = 2")
+def feedback(t):  # noqa: ANN001, ANN201
+    return M.feedback_tags(t("part").groupBy(F.col("p_size").alias("pattern_id"), F.col("p_brand").alias("name")).agg(F.count(F.lit(1)).alias("weight")))
+
+
+@query("boost_salience", "SELECT l_orderkey AS memory_id, CASE WHEN l_orderkey % 3 = 0 THEN least(1e0, max(l_tax) * 12 + 0.05e0) ELSE max(l_tax) * 12 END AS salience FROM lineitem GROUP BY 1", "salience")
+def boost(t):  # noqa: ANN001, ANN201
+    m = t("lineitem").groupBy(F.col("l_orderkey").alias("memory_id")).agg((F.max("l_tax") * 12).alias("salience"))
+    return M.boost_salience(m, m.filter("memory_id % 3 = 0"))
+
+
+@query("cross_reference", "SELECT tag_a_id, tag_b_id, 1 / (1 + exp(-(ln(1e0 + cnt) - 2))) AS cooccurrence, CASE WHEN (tag_a_id + tag_b_id) % 3 = 0 THEN 0.6e0 WHEN (tag_a_id + tag_b_id) % 3 = 1 THEN 0.7e0 ELSE 0e0 END AS semantic, CASE WHEN (tag_a_id + tag_b_id) % 3 = 0 THEN 0.5e0 ELSE 0e0 END AS inhibition FROM pairs WHERE tag_a_id < 20", "cooccurrence, semantic, inhibition")
+def cross_reference(t):  # noqa: ANN001, ANN201
+    kinds = F.when((F.col("tag_a_id") + F.col("tag_b_id")) % 3 == 0, "opposition").when((F.col("tag_a_id") + F.col("tag_b_id")) % 3 == 1, "transformation").otherwise("kinship")
+    return T.cross_reference(t("pairs"), t("pairs").filter("tag_a_id < 20").select(*T.PAIR, kinds.alias("relation")))
+
+
+@query("apply_deltas", "SELECT tag_a_id, tag_b_id, CASE WHEN tag_a_id < 10 THEN 0.15e0 * glyph + 0.85e0 * inhibition ELSE inhibition END AS inhibition, CASE WHEN tag_a_id < 10 THEN 0.15e0 * semantic + 0.85e0 * parallelness ELSE parallelness END AS parallelness FROM tensor", "inhibition, parallelness")
+def deltas(t):  # noqa: ANN001, ANN201
+    d = t("tensor").filter("tag_a_id < 10").select(*T.PAIR, F.col("glyph").alias("inhibition"), F.col("semantic").alias("parallelness"))
+    return T.apply_deltas(t("tensor"), d).select(*T.PAIR, "inhibition", "parallelness")
+
+
+@query("place_points", "SELECT event_id AS tag_id, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 6.283185307179586e0 ELSE atan2(y, x) END AS angle, tanh(sqrt(x * x + y * y)) AS radius FROM (SELECT event_id, value / 100e0 - 1e0 AS x, (event_id % 11) / 10e0 - 0.53e0 AS y FROM tag_events)", "angle, radius")
+def place_points(t):  # noqa: ANN001, ANN201
+    return T.place(t("tag_events").select(F.col("event_id").alias("tag_id"), F.array(F.col("value") / 100.0 - 1.0, (F.col("event_id") % 11) / F.lit(10.0) - 0.53).alias("point")))
+
+
+@query("network_edges", "SELECT * FROM pairs WHERE cnt >= 30")
+def network_edges(t):  # noqa: ANN001, ANN201
+    trend = TR.trends(t("tag_events"), t("event_tags"))
+    return T.network(TR.phase_space(trend, TR.retrieval_frequency(t("hits"), t("event_tags"))), trend, t("pairs"), 30)[1]
+
+
+@query("centroid_fold")
+def centroid_fold(t):  # noqa: ANN001, ANN201
+    v = t("vectors")
+    return VS.centroid_fold(v.select("tag_id", F.col("memory_id").alias("stored_at"), "memory_id", "embedding"))
+
+
+@query("source_summaries", "SELECT motif, summary, memories, rank FROM (SELECT motif, summary, count(*) AS memories, row_number() OVER (PARTITION BY motif ORDER BY count(*) DESC, summary) AS rank FROM (SELECT motif, l_orderkey, l_returnflag || l_linestatus AS summary FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT tag_id, CAST(tag_id % 2 AS INT) AS motif FROM basket_tags WHERE tag_id < 12) ON tag_id = p_size GROUP BY 1, 2, 3 HAVING count(DISTINCT tag_id) >= 2) GROUP BY 1, 2) WHERE rank <= 5")
+def source_summaries(t):  # noqa: ANN001, ANN201
+    m = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("memory_id"), F.col("p_size").alias("tag_id"), F.concat("l_returnflag", "l_linestatus").alias("summary"))
+    return MO.source_summaries(m, t("basket_tags").filter("tag_id < 12").select("tag_id", (F.col("tag_id") % 2).alias("motif")))
+
+
+@query("name_predicates", "SELECT p_partkey, contains(lower(p_name), 're') AND NOT contains(lower(p_name), 'ed') AS matched, length(p_mfgr) = 1 AND false AS letter FROM (SELECT *, p_brand AS p_mfgr FROM part)")
+def predicates(t):  # noqa: ANN001, ANN201
+    return t("part").select("p_partkey", MO.matches_terms(F.col("p_name"), "re", "ed").alias("matched"), MO.letter_sequence(F.col("p_brand"), F.col("p_brand")).alias("letter"))
