@@ -21,13 +21,15 @@ U = np.uint64
 class SuffixParams:
     """span: length of the strings.  gram: length of the anchors, below span.
 
-    bucket_bytes: text whose fragments make one bucket.  crowd: distinct
-    fragments of one anchor beyond which its fragments are dealt by context.
+    bucket_bytes: text whose fragments, as hashes, make one bucket.  finer: a
+    bucket of bytes to sort is so many times smaller.  crowd: distinct
+    fragments of one anchor beyond which its strings are dealt one by one.
     """
 
     span: int = 100
     gram: int = 24
     bucket_bytes: int = 16 << 20
+    finer: int = 16
     piece_bytes: int = 2 << 20
     crowd: int = 2000
 
@@ -283,6 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     searched = rows.filter("id is not null")
     total = searched.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // p.bucket_bytes))
+    sorts = buckets * p.finer
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -340,10 +343,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for x in asked:
                     start, count, anchor = x["start"], x["count"], x["anchor"]
                     if anchor >= 0:
-                        out.append((anchor % buckets, doc, start, text[start : start + count - 1 + p.span]))
+                        out.append((anchor % sorts, doc, start, text[start : start + count - 1 + p.span]))
                         continue
                     whole = text[start : start + count - 1 + p.span]
-                    dealt_to = gram_hashes(np.frombuffer(whole, np.uint8), p.span) % U(buckets)
+                    dealt_to = gram_hashes(np.frombuffer(whole, np.uint8), p.span) % U(sorts)
                     out.extend((int(b), doc, start + i, whole[i : i + p.span]) for i, b in enumerate(dealt_to))
             for lo in range(0, len(out), 5000):
                 yield pd.DataFrame(out[lo : lo + 5000], columns=["bucket", "id", "start", "bytes"])
