@@ -146,7 +146,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
     known = chosen.mapInPandas(extract, "x array<double>, size double, start boolean, y double").toPandas()
     share = float(known["y"][known["start"]].mean()) if len(known) else 0.5
     model = None
-    if 0 < share < 1:
+    if len(known) and 0 < share < 1:
         model = QualityModel(np.stack(known["x"].to_list()), known["size"].to_numpy(), known["start"].to_numpy().astype(float), known["y"].to_numpy(), p)
     shared = spark.sparkContext.broadcast(model)
 

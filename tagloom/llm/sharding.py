@@ -18,7 +18,7 @@ def _spread(amounts: DataFrame, room: list[int], before: str, amount: str) -> Co
     return F.filter(F.array(*parts), lambda x: x["c"] > 0)
 
 
-def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 4, seed: int = 5) -> DataFrame:
+def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rounds: int = 6, seed: int = 5) -> DataFrame:
     """Put documents into shards of equal row counts, keeping equal texts together.
 
     Documents with equal texts are linked in a star through their group.  A
@@ -55,10 +55,12 @@ def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col
         free = [max(0, quota[s] - load.get(s, 0)) for s in range(shards)]
         opened = F.array(*[F.lit(x) for x in free])[F.col("shard")] > 0
         ranked = F.struct("c", F.xxhash64("gid", "shard").alias("tie"), "shard")
-        target = state.filter(opened).groupBy("gid").agg(F.max(ranked).alias("best"))
+        target = state.groupBy("gid").agg(F.max(F.when(opened, ranked)).alias("best"), F.sum("c").alias("members")).filter("best is not null")
+        # The smaller part goes to the larger; a part in a full shard too, if all of the group has room where it goes.
+        fits = ~opened & (F.col("members") <= F.array(*[F.lit(x) for x in free])[F.col("best.shard")])
         asked = (
             state.join(target, "gid")
-            .filter(F.struct("c", F.xxhash64("gid", "shard").alias("tie"), "shard") < F.col("best"))
+            .filter((ranked < F.col("best")) | (fits & (F.col("shard") != F.col("best.shard"))))
             .select("gid", "shard", "c", F.col("best.shard").alias("to"))
         )
         asked = running_before(asked, "c", ["to"], [F.col("c"), F.col("gid"), F.col("shard")], bucket_of("gid", buckets, seed + step), "before")

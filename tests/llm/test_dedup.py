@@ -55,15 +55,15 @@ def links(rows, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near(spark, percent):
+@pytest.mark.parametrize(("percent", "block"), [(80, 1000), (85, 1000), (85, 3)])
+def test_near(spark, percent, block):
     rows = corpus()
     rng = random.Random(5)
     family = prose(rng, 120).split()
     for i in range(25):  # a chain: each differs a little from the one before
         family[4 * i] = f"c{i}"
         rows.append((2000 + i, " ".join(family), "en", "s"))
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup(clashing(frame(spark, rows)), params=MinHashParams(percent=percent)).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup(clashing(frame(spark, rows)), params=MinHashParams(percent=percent, block=block)).collect()}
     assert got == links(rows, percent)
 
 
@@ -83,7 +83,7 @@ def test_signature_estimates_similarity():
             a, b = np.unique(x[: int(1.5 * n)]), np.unique(x[int(0.5 * n) :])
             agree.append((signature(a, p) == signature(b, p)).mean())
         assert abs(np.mean(agree) - 0.5) < 0.06
-    assert len(band_keys(np.array([5], np.uint64), p)) == p.bands
+    assert len(band_keys(signature(np.array([5], np.uint64), p), p)) == p.bands
 
 
 def test_components(spark):
