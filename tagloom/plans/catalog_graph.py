@@ -570,9 +570,9 @@ def by_source(t):  # noqa: ANN001, ANN201
     return M.ids_by_source(t("memories").filter("memory_id < 2000")).withColumn("memory_ids", F.array_join("memory_ids", ","))
 
 
-@query("first_chunks", "SELECT l_orderkey AS memory_id, min(l_linenumber) AS chunk_index, arg_min(l_quantity, l_linenumber) AS embedding FROM lineitem GROUP BY 1", "embedding")
+@query("first_chunks", "SELECT user_id AS memory_id, min(event_id) AS chunk_index, arg_min(value, event_id) AS embedding FROM events GROUP BY 1", "embedding")
 def first_chunks(t):  # noqa: ANN001, ANN201
-    return M.first_chunks(t("lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_quantity").alias("embedding")))
+    return M.first_chunks(t("events").select(F.col("user_id").alias("memory_id"), F.col("event_id").alias("chunk_index"), F.col("value").alias("embedding")))
 
 
 @query("replace_chunks", "SELECT vec_id AS memory_id, label FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 5 = 0")
