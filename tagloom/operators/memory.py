@@ -145,6 +145,12 @@ def ids_by_source(memories: DataFrame, source: str = "source_model") -> DataFram
     return memories.groupBy(source).agg(F.sort_array(F.collect_list("memory_id")).alias("memory_ids"), F.count(F.lit(1)).alias("cnt"))
 
 
+def rows_by_source(memories: DataFrame, source: str = "source_model") -> DataFrame:
+    """A row for each memory, with the number of memories of its source; no list grows with the table."""
+    counts = memories.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("cnt"))
+    return memories.join(F.broadcast(counts), F.col(source).eqNullSafe(F.col("_s"))).select(source, "memory_id", "cnt")
+
+
 def first_chunks(vectors: DataFrame) -> DataFrame:
     """The vector of the first chunk of each memory."""
     return vectors.groupBy("memory_id").agg(F.min("chunk_index").alias("chunk_index"), F.min_by("embedding", "chunk_index").alias("embedding"))

@@ -570,6 +570,12 @@ def by_source(t):  # noqa: ANN001, ANN201
     return M.ids_by_source(t("memories").filter("memory_id < 2000")).withColumn("memory_ids", F.array_join("memory_ids", ","))
 
 
+@query("ids_by_source_all")
+def by_source_all(t):  # noqa: ANN001, ANN201
+    """Over the whole table, in rows: a list of each source would grow with it."""
+    return M.rows_by_source(t("memories"))
+
+
 @query("first_chunks", "SELECT user_id AS memory_id, min(event_id) AS chunk_index, arg_min(value, event_id) AS embedding FROM events GROUP BY 1", "embedding")
 def first_chunks(t):  # noqa: ANN001, ANN201
     return M.first_chunks(t("events").select(F.col("user_id").alias("memory_id"), F.col("event_id").alias("chunk_index"), F.col("value").alias("embedding")))
