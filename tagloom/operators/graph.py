@@ -115,16 +115,18 @@ def deep_retrieve(start: DataFrame, similar: DataFrame, decay_of: DataFrame, lev
     start: (memory_id, score).  similar: (a, b, similarity) edges between
     memories.  decay_of: (memory_id, decay) of salience.  At depth d a memory
     scores similarity * damping^d * (1 + novelty * d * (1 - decay)); a memory
-    counts where it was first seen, also if the level's cut dropped it.
+    counts where it was first seen, also if the level's cut dropped it.  With a
+    query_id in ``start``, each query goes its own way.
     """
-    w = Window.orderBy(F.col("score").desc(), "memory_id")
-    level = start.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_level).select("memory_id", "score", F.lit(0).alias("depth"))
-    seen, out = start.select("memory_id"), level
+    by = ["query_id"] if "query_id" in start.columns else []
+    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), "memory_id")
+    level = start.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_level).select(*by, "memory_id", "score", F.lit(0).alias("depth"))
+    seen, out = start.select(*by, "memory_id"), level
     for depth in range(1, levels + 1):
-        near = level.select(F.col("memory_id").alias("a")).join(similar, "a").groupBy(F.col("b").alias("memory_id")).agg(F.max("similarity").alias("_s"))
-        fresh = near.join(seen, "memory_id", "left_anti").join(decay_of, "memory_id", "left").fillna({"decay": 0.0})
-        scored = fresh.select("memory_id", (F.col("_s") * damping**depth * (1 + novelty * depth * (1 - F.col("decay")))).alias("score"))
-        seen = seen.unionByName(scored.select("memory_id"))
-        level = scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_level).select("memory_id", "score", F.lit(depth).alias("depth"))
+        near = level.select(*by, F.col("memory_id").alias("a")).join(similar, "a").groupBy(*by, F.col("b").alias("memory_id")).agg(F.max("similarity").alias("_s"))
+        fresh = near.join(seen, [*by, "memory_id"], "left_anti").join(decay_of, "memory_id", "left").fillna({"decay": 0.0})
+        scored = fresh.select(*by, "memory_id", (F.col("_s") * damping**depth * (1 + novelty * depth * (1 - F.col("decay")))).alias("score"))
+        seen = seen.unionByName(scored.select(*by, "memory_id"))
+        level = cut(scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_level).select(*by, "memory_id", "score", F.lit(depth).alias("depth")))
         out = out.unionByName(level)
     return out

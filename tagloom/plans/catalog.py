@@ -538,9 +538,24 @@ def convergence(t):  # noqa: ANN001, ANN201
     return VS.semantic_convergence(v.select("retrieval_id", F.timestamp_seconds("retrieval_id").alias("occurred_at"), "memory_id"), t("vectors"), t("vectors"), 20, 0.2)
 
 
+def all_queries(t):  # noqa: ANN001, ANN202
+    """Every row whose id is divisible by 20; the SQL of the others takes the first ten."""
+    return t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_top_k_all")
+def vector_top_k_all(t):  # noqa: ANN001, ANN201
+    return VS.top_k_blocks(all_queries(t), t("vectors"), 10, 0.1)
+
+
+@query("retrieve_semantic_all")
+def semantic_all(t):  # noqa: ANN001, ANN201
+    return VS.retrieve_semantic(all_queries(t), t("vectors"), 10, t("vectors").filter("tag_id < 5"), VS.top_k_blocks).select("query_id", "memory_id", "score", "rank")
+
+
 @query("cell_search")
 def cell_search(t):  # noqa: ANN001, ANN201
-    return VS.cell_search(_vector_queries(t), t("vectors"), 10)
+    return VS.cell_search(all_queries(t), t("vectors"), 10)
 
 
 from tagloom.plans import catalog_graph  # noqa: E402, F401  registers its queries

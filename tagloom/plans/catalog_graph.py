@@ -17,7 +17,8 @@ from tagloom.operators import tensor as T
 from tagloom.operators import text as X
 from tagloom.operators import trends as TR
 from tagloom.operators import vector_search as VS
-from tagloom.plans.catalog import P, query
+from tagloom.operators.lineage import cut
+from tagloom.plans.catalog import P, all_queries, query
 from tagloom.sources import sinks as SK
 
 # ---- tensor -------------------------------------------------------------------------------------
@@ -181,16 +182,25 @@ def components(t):  # noqa: ANN001, ANN201
     "score",
 )
 def hybrid(t):  # noqa: ANN001, ANN201
-    s = t("results").filter("retrieval_id % 100 = 7").select(F.col("retrieval_id").alias("query_id"), "memory_id", (F.col("score") / 500.0).alias("score"))
+    return _hybrid(t("results").filter("retrieval_id % 100 = 7"))
+
+
+def _hybrid(results: DataFrame) -> DataFrame:
+    s = results.select(F.col("retrieval_id").alias("query_id"), "memory_id", (F.col("score") / 500.0).alias("score"))
     lexical = s.filter("memory_id % 5 = 0").withColumn("score", F.lit(0.5))
     return G.hybrid({"similarity": s, "tags": s.filter("memory_id % 3 = 0"), "lexical": lexical, "convergence": s.withColumn("score", (F.col("memory_id") % 13) / F.lit(13.0))}, 5)
 
 
+@query("retrieve_hybrid_all")
+def hybrid_all(t):  # noqa: ANN001, ANN201
+    return _hybrid(t("results"))
+
+
 @query("deep_retrieve")
 def deep(t):  # noqa: ANN001, ANN201
-    start = t("embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("memory_id"), (1 - F.col("vec_id") / 20.0).alias("score"))
+    start = VS.top_k_blocks(all_queries(t), t("vectors"), 10).select("query_id", "memory_id", "score")
     edges = t("near_pairs").select(F.col("memory_a").alias("a"), F.col("memory_b").alias("b"), "similarity")
-    return G.deep_retrieve(start, edges, t("embeddings").select(F.col("vec_id").alias("memory_id"), (F.col("label") / 10.0).alias("decay")))
+    return G.deep_retrieve(cut(start), cut(edges), t("embeddings").select(F.col("vec_id").alias("memory_id"), (F.col("label") / 10.0).alias("decay")))
 
 
 # ---- motifs -------------------------------------------------------------------------------------

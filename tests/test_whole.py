@@ -2,9 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 
+from tagloom.operators import graph as G
 from tagloom.operators import memory as M
+from tagloom.operators import vector_search as VS
 from tagloom.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -22,3 +25,46 @@ def test_ids_by_source_has_every_memory(spark):
     got = catalog.QUERIES["ids_by_source_all"](spark, SF)
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert got.count() == orders.count() and got.select("memory_id").exceptAll(orders.select("o_orderkey")).isEmpty()
+
+
+@tables
+def test_searches_take_every_twentieth_row(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    queries = [i for i in ids.tolist() if i % 20 == 0]
+    true = {}
+    for i in queries:
+        scores = np.round(x @ x[ids == i][0], 9)
+        true[i] = ids[np.lexsort((ids, -scores))[:10]].tolist()
+    top = {}
+    for r in catalog.QUERIES["vector_top_k_all"](spark, SF).orderBy("query_id", "rank").collect():
+        assert r["score"] >= 0.1
+        top.setdefault(r["query_id"], []).append(r["memory_id"])
+    assert sorted(top) == sorted(queries) and all(true[i][: len(m)] == m for i, m in top.items())
+    cells = catalog.QUERIES["cell_search"](spark, SF).collect()
+    assert {r["query_id"] for r in cells} == set(queries)
+    assert sum(r["memory_id"] in true[r["query_id"]] for r in cells) >= 0.9 * 10 * len(queries)
+    assert {r["query_id"] for r in catalog.QUERIES["deep_retrieve"](spark, SF).collect()} == set(queries)
+    hybrid = catalog.QUERIES["retrieve_hybrid_all"](spark, SF).select("query_id").distinct().count()
+    assert hybrid == spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id * 100 + extract(day FROM ts)").distinct().count()
+
+
+def test_blocks_give_what_one_join_gives(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (120, 3)).astype(float)  # many ties
+    v = spark.createDataFrame([(i // 2, i % 2, r.tolist()) for i, r in enumerate(x)], "memory_id long, chunk_index int, embedding array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 120, 7)], "query_id long, embedding array<double>")
+    for threshold in (None, 1.0):
+        want = VS.top_k(q, v, 4, threshold).select("query_id", "memory_id", "score", "rank")
+        got = VS.top_k_blocks(q, v, 4, threshold, block=5).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_deep_retrieve_by_query(spark):
+    similar = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5), (4, 3, 0.9)], "a long, b long, similarity double")
+    decay = spark.createDataFrame([(3, 0.5)], "memory_id long, decay double")
+    start = spark.createDataFrame([(10, 1, 1.0), (20, 4, 1.0)], "query_id long, memory_id long, score double")
+    both = G.deep_retrieve(start, similar, decay).collect()
+    for q in (10, 20):
+        alone = G.deep_retrieve(start.filter(f"query_id = {q}").drop("query_id"), similar, decay).collect()
+        assert sorted((r["memory_id"], r["score"], r["depth"]) for r in both if r["query_id"] == q) == sorted(map(tuple, alone))
