@@ -387,11 +387,11 @@ _BRIDGES = f"""(WITH m AS {_BLOCKS}, act AS {_ACTS}, fr AS {_FREQ},
     SELECT DISTINCT l, r, bridge FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY bridge DESC, l, r) AS k FROM e) WHERE k <= 5)"""
 
 
-def _blocks_of(t) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+def _blocks_of(t, signups: str = "value > 60", purchases: str = "value > 100") -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
     e = t("events")
     tag = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS tag_id"
-    members = e.filter("event_type = 'signup' AND value > 60").selectExpr("user_id % 40 AS block_id", tag).distinct()
-    acts = e.filter("event_type = 'purchase' AND value > 100").selectExpr("user_id % 40 AS block_id", "CAST(extract(day FROM ts) AS BIGINT) AS retrieval_id").distinct()
+    members = e.filter(f"event_type = 'signup' AND {signups}").selectExpr("user_id % 40 AS block_id", tag).distinct()
+    acts = e.filter(f"event_type = 'purchase' AND {purchases}").selectExpr("user_id % 40 AS block_id", "CAST(extract(day FROM ts) AS BIGINT) AS retrieval_id").distinct()
     total = e.agg(F.count(F.lit(1)).alias("_n"))
     freq = t("tag_events").groupBy("tag_id").agg(F.count(F.lit(1)).alias("_c")).crossJoin(F.broadcast(total)).select("tag_id", (F.col("_c") / F.col("_n")).alias("freq"))
     return members, acts, freq
@@ -417,6 +417,33 @@ def bridged(t):  # noqa: ANN001, ANN201
     return C.bridged_pmi(C.pmi(t("user_tags"), "memory_id"), pair_bridges(t))
 
 
+# The same over all signups and purchases, without SQL.
+
+
+def _all_blocks(t) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    return _blocks_of(t, "true", "true")
+
+
+@query("bridge_scores_all")
+def bridges_all(t):  # noqa: ANN001, ANN201
+    return C.bridge_scores(*_all_blocks(t))
+
+
+@query("bridge_sum_all")
+def bridge_sum_all(t):  # noqa: ANN001, ANN201
+    return C.bridge_sum(bridges_all(t))
+
+
+@query("tag_pair_bridges_all")
+def pair_bridges_all(t):  # noqa: ANN001, ANN201
+    return C.tag_pair_bridges(_all_blocks(t)[0], bridges_all(t))
+
+
+@query("bridged_pmi_all")
+def bridged_all(t):  # noqa: ANN001, ANN201
+    return C.bridged_pmi(C.pmi(t("user_tags"), "memory_id"), pair_bridges_all(t))
+
+
 # ---- lattice ------------------------------------------------------------------------------------
 
 _ANGLE = "CAST(CAST('0x' || substr(sha256({}), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616e0 * " + repr(2 * math.pi)

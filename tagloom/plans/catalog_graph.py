@@ -79,8 +79,8 @@ _LIST = "(SELECT tag_a_id, tag_b_id, round(cooccurrence, 9) AS strength FROM ten
 _RANKED = f"(SELECT *, row_number() OVER (ORDER BY strength DESC, tag_a_id, tag_b_id) AS rank, count(*) OVER () AS n FROM {_LIST})"
 
 
-def _listed(t) -> DataFrame:  # noqa: ANN001
-    return t("tensor").filter("tag_a_id < 6 and tag_b_id < 10").select("tag_a_id", "tag_b_id", F.round("cooccurrence", 9).alias("strength"))
+def _listed(t, where: str = "tag_a_id < 6 and tag_b_id < 10") -> DataFrame:  # noqa: ANN001
+    return t("tensor").filter(where).select("tag_a_id", "tag_b_id", F.round("cooccurrence", 9).alias("strength"))
 
 
 @query("rank_invert", f"SELECT x.tag_a_id, x.tag_b_id, x.strength, x.rank, y.strength AS inverted FROM {_RANKED} x JOIN {_RANKED} y ON y.rank = x.n + 1 - x.rank", "strength, inverted")
@@ -100,6 +100,16 @@ def prefix(t):  # noqa: ANN001, ANN201
     return T.prefix_parallelness(T.rank_invert(_listed(t)), VS.centroids(t("vectors"), "tag_id", normalise=False))
 
 
+@query("rank_invert_all")
+def rank_invert_all(t):  # noqa: ANN001, ANN201
+    return T.rank_invert(_listed(t, "true"))
+
+
+@query("prefix_parallelness_all")
+def prefix_all(t):  # noqa: ANN001, ANN201
+    return T.prefix_parallelness(T.rank_invert(_listed(t, "true")), VS.centroids(t("vectors"), "tag_id", normalise=False))
+
+
 @query("symbolic_bonus", "SELECT tag_a_id, tag_b_id, CASE WHEN tag_a_id % 7 = tag_b_id % 7 THEN 2e0 WHEN least(tag_a_id % 7, tag_b_id % 7) = 1 AND greatest(tag_a_id % 7, tag_b_id % 7) = 2 THEN 1.5e0 ELSE 1e0 END AS factor FROM pairs", "factor")
 def symbolic(t):  # noqa: ANN001, ANN201
     glyph = t("event_tags").select("tag_id", (F.col("tag_id") % 7).alias("glyph"))
@@ -266,10 +276,19 @@ _SOURCES = "(SELECT user_id % 30 AS source, CAST(regexp_extract(props, '([0-9]+)
 
 @query("rectangles", f"WITH s AS {_SOURCES}, p AS (SELECT x.source, x.tag_id AS ta, y.tag_id AS tb, x.n AS na, y.n AS nb FROM s x JOIN s y ON x.source = y.source AND x.tag_id < y.tag_id WHERE x.tag_id < 12 AND y.tag_id < 12) SELECT x.source AS source_x, y.source AS source_y, x.ta AS tag_a, x.tb AS tag_b, ln(1e0 + x.na) + ln(1e0 + x.nb) + ln(1e0 + y.na) + ln(1e0 + y.nb) AS repetition, least(x.na, x.nb, y.na, y.nb) / CAST(greatest(x.na, x.nb, y.na, y.nb) AS DOUBLE) AS balance FROM p x JOIN p y ON x.ta = y.ta AND x.tb = y.tb AND x.source < y.source", "repetition, balance")
 def rectangles(t):  # noqa: ANN001, ANN201
-    s = t("tag_events").join(t("events").select("event_id", "user_id"), "event_id").filter("event_type = 'signup' and tag_id < 12").groupBy((F.col("user_id") % 30).alias("source"), "tag_id").agg(F.count(F.lit(1)).alias("n"))
+    return _rectangles(t, "tag_id < 12")
+
+
+def _rectangles(t, where: str) -> DataFrame:  # noqa: ANN001
+    s = t("tag_events").join(t("events").select("event_id", "user_id"), "event_id").filter(f"event_type = 'signup' and {where}").groupBy((F.col("user_id") % 30).alias("source"), "tag_id").agg(F.count(F.lit(1)).alias("n"))
     return MO.rectangles(s).select("source_x", "source_y", "tag_a", "tag_b", "repetition", "balance")
 
 
+@query("rectangles_all")
+def rectangles_all(t):  # noqa: ANN001, ANN201
+    return _rectangles(t, "true")
+
+
 @query("longest_chains", f"WITH s AS {_SELECTED}, d AS (SELECT layer, a, b, score FROM s UNION ALL SELECT layer, b, a, score FROM s), t AS (SELECT layer, a, b FROM d QUALIFY row_number() OVER (PARTITION BY layer, a ORDER BY score DESC, b) <= 5), p2 AS (SELECT d.layer, least(d.a, d.b) AS sa, greatest(d.a, d.b) AS sb, d.a AS x, d.b AS y, t.b AS z FROM d JOIN t ON t.layer = d.layer AND t.a = d.b AND t.b <> d.a), p3 AS (SELECT p2.*, t.b AS w FROM p2 JOIN t ON t.layer = p2.layer AND t.a = z AND t.b <> x AND t.b <> y) SELECT layer, a AS start_a, b AS start_b, CASE WHEN (layer, a, b) IN (SELECT (layer, sa, sb) FROM p3) THEN 3 WHEN (layer, a, b) IN (SELECT (layer, sa, sb) FROM p2) THEN 2 ELSE 1 END AS length FROM s")
 def chains(t):  # noqa: ANN001, ANN201
     return MO.longest_chains(_selected(t), depth=3)
@@ -331,13 +350,13 @@ def neighbours(t):  # noqa: ANN001, ANN201
 
 @query("canopy_scores")
 def canopy(t):  # noqa: ANN001, ANN201
-    live = _live(t).filter("memory_a % 5 <> 0")
+    live = _live(t)
     return EP.canopy_scores(live, EP.canopy_clusters(live), _memory_tags(t))
 
 
 @query("canopy_merge")
 def canopy_merge(t):  # noqa: ANN001, ANN201
-    return EP.canopy_merge(_live(t).filter("memory_a % 5 <> 0"), _memory_tags(t), 1)
+    return EP.canopy_merge(_live(t), _memory_tags(t), 1)
 
 
 @query("observation_peaks", "SELECT tag_id, max(value) AS value, count(*) AS evidence_count FROM tag_events GROUP BY tag_id", "value")
@@ -651,8 +670,17 @@ def centroid_fold(t):  # noqa: ANN001, ANN201
 
 @query("source_summaries", "SELECT motif, summary, memories, rank FROM (SELECT motif, summary, count(*) AS memories, row_number() OVER (PARTITION BY motif ORDER BY count(*) DESC, summary) AS rank FROM (SELECT motif, l_orderkey, l_returnflag || l_linestatus AS summary FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT tag_id, CAST(tag_id % 2 AS INT) AS motif FROM basket_tags WHERE tag_id < 12) ON tag_id = p_size GROUP BY 1, 2, 3 HAVING count(DISTINCT tag_id) >= 2) GROUP BY 1, 2) WHERE rank <= 5")
 def source_summaries(t):  # noqa: ANN001, ANN201
+    return _source_summaries(t, "tag_id < 12")
+
+
+def _source_summaries(t, where: str) -> DataFrame:  # noqa: ANN001
     m = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("memory_id"), F.col("p_size").alias("tag_id"), F.concat("l_returnflag", "l_linestatus").alias("summary"))
-    return MO.source_summaries(m, t("basket_tags").filter("tag_id < 12").select("tag_id", (F.col("tag_id") % 2).alias("motif")))
+    return MO.source_summaries(m, t("basket_tags").filter(where).select("tag_id", (F.col("tag_id") % 2).alias("motif")))
+
+
+@query("source_summaries_all")
+def source_summaries_all(t):  # noqa: ANN001, ANN201
+    return _source_summaries(t, "true")
 
 
 @query("name_predicates", "SELECT p_partkey, contains(lower(p_name), 're') AND NOT contains(lower(p_name), 'ed') AS matched, length(p_mfgr) = 1 AND false AS letter FROM (SELECT *, p_brand AS p_mfgr FROM part)")

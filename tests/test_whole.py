@@ -1,5 +1,6 @@
 """Queries that stand beside bounded ones cover all their rows."""
 
+import glob
 import os
 
 import numpy as np
@@ -68,3 +69,63 @@ def test_deep_retrieve_by_query(spark):
     for q in (10, 20):
         alone = G.deep_retrieve(start.filter(f"query_id = {q}").drop("query_id"), similar, decay).collect()
         assert sorted((r["memory_id"], r["score"], r["depth"]) for r in both if r["query_id"] == q) == sorted(map(tuple, alone))
+
+
+#: The bounds in the SQL of the query, and what stands there in a copy of it without them.
+WIDER = {
+    "rectangles": {"x.tag_id < 12 AND y.tag_id < 12": "true"},
+    "source_summaries": {"WHERE tag_id < 12": ""},
+    "rank_invert": {"WHERE tag_a_id < 6 AND tag_b_id < 10": ""},
+    "prefix_parallelness": {"WHERE tag_a_id < 6 AND tag_b_id < 10": ""},
+    "bridge_scores": {"AND value > 60": "", "AND value > 100": ""},
+    "bridge_sum": {"AND value > 60": "", "AND value > 100": ""},
+    "tag_pair_bridges": {"AND value > 60": "", "AND value > 100": ""},
+    "bridged_pmi": {"AND value > 60": "", "AND value > 100": ""},
+    "retrieve_hybrid": {"WHERE retrieval_id % 100 = 7": ""},
+    "vector_top_k": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
+    "retrieve_semantic": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
+}
+
+
+@tables
+@pytest.mark.parametrize("name", WIDER)
+def test_without_bounds(spark, name):
+    import duckdb
+
+    small, sql = "/root/testdata/sf0.001", catalog.ORACLE_SQL[name]
+    for bound, instead in WIDER[name].items():
+        assert bound in sql
+        sql = sql.replace(bound, instead)
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    for path in glob.glob(f"{small}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    want = c.sql(sql)
+    got = catalog.QUERIES[f"{name}_all"](spark, small).select(*want.columns).collect()
+    a, b = (sorted((tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in rows)) for rows in (got, want.fetchall()))
+    assert len(a) == len(b) > len(catalog.QUERIES[name](spark, small).head(1))
+    assert sum(x != y for x, y in zip(a, b, strict=True)) <= len(a) * 0.001
+
+
+@tables
+def test_canopy_has_every_memory_of_an_edge(spark):
+    small = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "label").collect()
+    label, up = dict(map(tuple, e)), {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x in label:
+        for y in range(x + 1, x + 9):
+            if y in label and label[x] <= label[y] and (y % 10 or label[y] > label[x] + 3 and (x + y) % 100):
+                up[root(x)] = root(y)
+    groups = {}
+    for x in list(up):
+        groups[root(x)] = groups.get(root(x), 0) + 1
+    inside = sum(y in label and label[x] <= label[y] and x in up and y in up and root(x) == root(y) for x in label for y in range(x + 1, x + 9))
+    got = catalog.QUERIES["canopy_scores"](spark, small).select("members", "edges").collect()
+    assert sorted(r["members"] for r in got) == sorted(n for n in groups.values() if n > 1)
+    assert sum(r["edges"] for r in got) == inside
