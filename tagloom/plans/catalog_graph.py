@@ -240,6 +240,20 @@ def _selected(t) -> DataFrame:  # noqa: ANN001
     return MO.select_edges(_edges(t).withColumn("score", F.round("score", 9)), 0.1, 60, 20)
 
 
+def _all_selected(t) -> DataFrame:  # noqa: ANN001
+    """The operator's own selection; the SQL of other queries takes 60 and 20."""
+    return MO.select_edges(_edges(t).withColumn("score", F.round("score", 9)))
+
+
+def _all_squares(t) -> DataFrame:  # noqa: ANN001
+    return MO.square_motifs(_edges(t), _all_selected(t))
+
+
+@query("select_edges_all")
+def selected_all(t):  # noqa: ANN001, ANN201
+    return _all_selected(t).select("a", "b", "score", "layer")
+
+
 @query("select_edges", f"SELECT * FROM {_SELECTED}", "score")
 def selected(t):  # noqa: ANN001, ANN201
     return _selected(t).select("a", "b", "score", "layer")
@@ -256,9 +270,14 @@ def squares(t):  # noqa: ANN001, ANN201
     return m.select(F.array_join("tag_ids", ",").alias("tag_ids"), F.array_join("side_layers", ",").alias("side_layers"), "side_score", "diversity")
 
 
+@query("square_motifs_all")
+def squares_all(t):  # noqa: ANN001, ANN201
+    return _all_squares(t).select(F.array_join("tag_ids", ",").alias("tag_ids"), F.array_join("side_layers", ",").alias("side_layers"), "side_score", "diversity")
+
+
 @query("square_motif_diagonals")
 def diagonals(t):  # noqa: ANN001, ANN201
-    return MO.square_motifs(_edges(t), _selected(t))
+    return _all_squares(t)
 
 
 @query("zigzag_classes", f"SELECT CASE WHEN k = 1 THEN 'uniform' WHEN l1 = l3 AND l2 = l4 THEN 'zigzag' WHEN (l1 = l2 AND l3 = l4) OR (l2 = l3 AND l4 = l1) THEN 'banded' ELSE 'mixed' END AS side_class, count(*) AS motifs FROM (SELECT *, len(list_distinct([l1, l2, l3, l4])) AS k FROM {_CYCLES}) GROUP BY 1")
@@ -266,9 +285,14 @@ def zigzags(t):  # noqa: ANN001, ANN201
     return MO.zigzag_report(MO.square_motifs(_edges(t), _selected(t))).groupBy("side_class").agg(F.sum("motifs").alias("motifs"))
 
 
+@query("zigzag_classes_all")
+def zigzags_all(t):  # noqa: ANN001, ANN201
+    return MO.zigzag_report(_all_squares(t)).groupBy("side_class").agg(F.sum("motifs").alias("motifs"))
+
+
 @query("zigzag_baseline")
 def zigzag_baseline(t):  # noqa: ANN001, ANN201
-    return MO.zigzag_baseline(MO.square_motifs(_edges(t), _selected(t)))
+    return MO.zigzag_baseline(_all_squares(t))
 
 
 _SOURCES = "(SELECT user_id % 30 AS source, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS tag_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1, 2)"
@@ -294,9 +318,14 @@ def chains(t):  # noqa: ANN001, ANN201
     return MO.longest_chains(_selected(t), depth=3)
 
 
+@query("longest_chains_all")
+def chains_all(t):  # noqa: ANN001, ANN201
+    return MO.longest_chains(_all_selected(t))
+
+
 @query("chain_anisotropy")
 def anisotropy(t):  # noqa: ANN001, ANN201
-    return MO.chain_anisotropy(_selected(t), depth=4)
+    return MO.chain_anisotropy(_all_selected(t))
 
 
 # ---- episodic edges and clusters ----------------------------------------------------------------

@@ -81,6 +81,9 @@ WIDER = {
     "bridge_sum": {"AND value > 60": "", "AND value > 100": ""},
     "tag_pair_bridges": {"AND value > 60": "", "AND value > 100": ""},
     "bridged_pmi": {"AND value > 60": "", "AND value > 100": ""},
+    "select_edges": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
+    "square_motifs": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
+    "zigzag_classes": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
     "retrieve_hybrid": {"WHERE retrieval_id % 100 = 7": ""},
     "vector_top_k": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
     "retrieve_semantic": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
@@ -129,3 +132,12 @@ def test_canopy_has_every_memory_of_an_edge(spark):
     got = catalog.QUERIES["canopy_scores"](spark, small).select("members", "edges").collect()
     assert sorted(r["members"] for r in got) == sorted(n for n in groups.values() if n > 1)
     assert sum(r["edges"] for r in got) == inside
+
+
+@tables
+def test_chains_see_the_whole_selection(spark):
+    chains, edges = (catalog.QUERIES[n](spark, SF) for n in ("longest_chains_all", "select_edges_all"))
+    assert chains.count() == edges.count() > 180
+    assert chains.selectExpr("max(length)").first()[0] > 4
+    assert catalog.QUERIES["chain_anisotropy"](spark, SF).selectExpr("sum(edges)").first()[0] == edges.count()
+    assert catalog.QUERIES["square_motif_diagonals"](spark, SF).count() == catalog.QUERIES["square_motifs_all"](spark, SF).count()
