@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import shared_dir, table
+from tagloom.llm.common import materialise, shared_dir, table
 from tagloom.llm.decontaminate import contaminated
 from tagloom.llm.minhash import near_dedup
 from tagloom.llm.mixing import mix
@@ -24,6 +24,12 @@ from tagloom.llm.sharding import balanced_label_propagation
 MOST_BITS = 5.0
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a ``_key``: the id as text, and of a row without id a number of its own, written down so that it stays."""
+    unnamed = materialise(docs.filter("doc_id is null").withColumn("_key", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))), "unnamed")
+    return docs.filter("doc_id is not null").withColumn("_key", F.col("doc_id").cast("string")).unionByName(unnamed)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, and those that no learned language codes well.
 
@@ -35,22 +41,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays; repeated rows of its id are dropped."""
+    """One document of each group of near duplicates stays; repeated rows of its id are dropped.
+
+    Documents without id all stay, copies too, as no id tells which one is kept.
+    """
     kept = near_dedup(docs).filter("kept and id is not null").select(F.col("id").alias("doc_id"))
     unnamed = docs.filter("doc_id is null")
     return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents with a benchmark passage go; each document without id by its own text."""
+    keyed = _keyed(docs)
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("id").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words stay, as often as it takes them whole: taken / size, rounded, and once at least."""
-    taken = mix(docs).filter("taken > 0").select(F.col("id").alias("doc_id"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
-    copied = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    """Documents of which the mix takes words stay, as often as it takes them whole: taken / size, rounded, and once at least.
+
+    Each document without id is taken by itself, like others.
+    """
+    keyed = _keyed(docs)
+    taken = mix(keyed, id_col="_key").filter("taken > 0").select(F.col("id").alias("_key"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
+    copied = keyed.join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
     return copied.select(*docs.columns)
 
 
