@@ -13,73 +13,108 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import materialise, narrow, small_batches
 
-#: Symbols are six bits: a context of three and the next one make 24.
-BITS, ORDER = 6, 3
-SYMBOLS = 1 << BITS
+U = np.uint64
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Bytes scored in one go.
-PIECE = 1 << 21
+PIECE = 1 << 18
+#: Bits of a byte below order 0, where all bytes are alike.
+UNIFORM = 8.0
+#: ASCII white space is a space.
+FOLD = np.array([32 if i in (9, 10, 11, 12, 13) else i for i in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
 class PpmParams:
-    """docs_per_language: the model is learned from about so many documents of each language, chosen by a hash of the id."""
+    """order: longest context in bytes, 7 at most.
 
+    docs_per_language, bytes_per_language: the model is learned from about so
+    many documents, and bytes, of each language, chosen by a hash of id and text.
+    broadcast_languages: beyond so many languages their sizes aren't broadcast.
+    """
+
+    order: int = 4
     docs_per_language: int = 1500
+    bytes_per_language: int = 4 << 20
+    broadcast_languages: int = 10_000
     seed: int = 7
 
 
+class Index:
+    """Places of sorted distinct codes, by open addressing."""
+
+    def __init__(self, codes: np.ndarray):
+        width = max(4, int(2 * len(codes)).bit_length())
+        self.codes, self.shift, self.mask = codes, U(64 - width), (1 << width) - 1
+        self.slots = np.zeros(1 << width, np.int32)
+        left, at = np.arange(len(codes)), self._home(codes)
+        while len(left):
+            free = left[self.slots[at[left]] == 0]
+            self.slots[at[free]] = free + 1
+            left = left[self.slots[at[left]] != left + 1]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return (((codes ^ (codes >> U(29))) * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Place of each code, -1 for one that isn't there."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = self._home(codes)
+        out = self.slots[at].astype(np.int64) - 1
+        other = np.flatnonzero((out >= 0) & (self.codes[out] != codes))
+        while len(other):
+            at[other] = (at[other] + 1) & self.mask
+            out[other] = self.slots[at[other]].astype(np.int64) - 1
+            other = other[(out[other] >= 0) & (self.codes[out[other]] != codes[other])]
+        return out
+
+
+def low(size: int) -> np.uint64:
+    """Mask of the last ``size`` bytes of a code."""
+    return U((1 << 8 * size) - 1)
+
+
 class PpmModel:
-    """Byte-context trees of all languages under frozen counts.
+    """Byte-context trees of each language under frozen counts.
 
-    The most frequent bytes (ASCII letters lower-cased, white space as space)
-    are symbols of their own and the others share symbol 0.  A context of order
-    k predicts a symbol seen after it with count / (total + distinct), and
-    escapes with distinct / (total + distinct) to order k - 1; below order 0
-    all symbols are alike.  An unseen context costs nothing to leave.
+    All 256 bytes are symbols (ASCII letters lower-cased, white space as
+    space).  A context of order k predicts a byte seen after it with
+    count / (total + distinct), and escapes with distinct / (total + distinct)
+    to order k - 1; below order 0 all bytes are alike.  An unseen context costs
+    nothing to leave.
 
-    Code lengths of orders up to 2 are dense tables, those of order 3 a row for
-    each seen symbol sequence, so that scoring is table look-up.
+    The byte after a context is a number of k + 1 bytes.  For each such number
+    that occurs in a language, its code length in all languages, escapes
+    included, is a row; scoring looks rows up from the longest context down.
     """
 
-    def __init__(self, langs: list[str], alphabet: np.ndarray, counts: pd.DataFrame):
-        self.langs, self.alphabet = langs, alphabet
-        self.codes, at = np.unique(counts["code"].to_numpy(np.int64), return_inverse=True)
-        n, width = len(self.codes), len(langs)
-        seen = np.zeros((n, width))
-        seen[at, counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] = counts["n"].to_numpy(float)
-        lower = np.full((1, width), float(BITS))
-        for order in range(ORDER):
-            dense = np.stack([np.bincount(self.codes & ((1 << BITS * (order + 1)) - 1), seen[:, i], SYMBOLS ** (order + 1)) for i in range(width)], 1)
-            lower = self._lengths(dense, np.arange(len(dense)) >> BITS, lower[np.arange(len(dense)) & (max(1, SYMBOLS**order) - 1)])
-        self.lower = lower.astype(np.float32)
-        contexts = np.stack([np.bincount(self.codes >> BITS, seen[:, i], SYMBOLS**ORDER) for i in range(width)], 1)
-        distinct = np.stack([np.bincount(self.codes >> BITS, seen[:, i] > 0, SYMBOLS**ORDER) for i in range(width)], 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.escape = np.where(contexts > 0, np.log2((contexts + distinct) / distinct), 0).astype(np.float32)
-            c = self.codes >> BITS
-            rows = np.where(seen > 0, np.log2((contexts + distinct)[c] / seen), self.escape[c] + self.lower[self.codes & (SYMBOLS**ORDER - 1)])
-        self.rows = np.vstack([np.zeros((1, width)), rows]).astype(np.float32)
-        self._index: np.ndarray | None = None
-
-    @staticmethod
-    def _lengths(dense: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        width = dense.shape[1]
-        total = np.stack([np.bincount(context, dense[:, i]) for i in range(width)], 1)[context]
-        distinct = np.stack([np.bincount(context, dense[:, i] > 0) for i in range(width)], 1)[context]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(total == 0, lower, np.where(dense > 0, np.log2((total + distinct) / dense), np.log2((total + distinct) / distinct) + lower))
+    def __init__(self, langs: list[str], order: int, lang: np.ndarray, code: np.ndarray, n: np.ndarray):
+        """n: how often ``code`` (of order + 1 bytes) occurs in the language numbered ``lang``."""
+        self.langs, self.order = langs, order
+        self.codes, self.bits, self.contexts, self.leave = [], [], [], []
+        lower = np.full((1, len(langs)), UNIFORM)
+        for k in range(order + 1):
+            codes, at = np.unique(code & low(k + 1), return_inverse=True)
+            seen = np.bincount(at * len(langs) + lang, n, len(codes) * len(langs)).reshape(len(codes), len(langs))
+            contexts, c = np.unique(codes >> U(8), return_inverse=True)
+            total, distinct = np.zeros((2, len(contexts), len(langs)))
+            np.add.at(total, c, seen)
+            np.add.at(distinct, c, seen > 0)
+            below = np.searchsorted(self.codes[-1], codes & low(k)) if k else np.zeros(len(codes), np.int64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                leave = np.where(total > 0, np.log2((total + distinct) / distinct), 0)
+                lower = np.where(seen > 0, np.log2((total + distinct)[c] / seen), leave[c] + lower[below])
+            self.codes.append(codes)
+            self.bits.append(lower.astype(np.float32))
+            self.contexts.append(contexts)
+            self.leave.append(leave.astype(np.float32))
+        self._index: list[tuple[Index, Index]] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_index": None}
 
-    def index(self) -> np.ndarray:
-        if self._index is None:
-            self._index = np.zeros(1 << BITS * (ORDER + 1), np.int32)
-            self._index[self.codes] = np.arange(1, len(self.codes) + 1, dtype=np.int32)
-        return self._index
-
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each whole text in each language; texts must not be empty."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -87,81 +122,92 @@ class PpmModel:
         for i, text in enumerate(texts):
             held.append(text)
             size += len(text)
-            if size >= PIECE or i + 1 == len(texts):
+            if size >= 8 * PIECE or i + 1 == len(texts):
                 out[first : i + 1] = self._lengths_of(held)
                 held, first, size = [], i + 1, 0
         return out
 
     def _lengths_of(self, texts: list[bytes]) -> np.ndarray:
-        codes, starts = ngrams(texts, self.alphabet)
+        raw, inside, starts = laid(texts, self.order)
         out = np.zeros((len(texts), len(self.langs)))
-        owner = np.searchsorted(starts, np.arange(0, len(codes), PIECE), "right") - 1
-        for lo, doc in zip(range(0, len(codes), PIECE), owner, strict=True):
-            piece = codes[lo : lo + PIECE]
-            at = self.index()[piece]
-            bits = self.rows[at]
-            unseen = np.flatnonzero(at == 0)
-            bits[unseen] = self.escape[piece[unseen] >> BITS] + self.lower[piece[unseen] & (SYMBOLS**ORDER - 1)]
-            cuts = starts[(starts > lo) & (starts < lo + len(piece))] - lo
-            cuts = np.concatenate([[0], cuts])
+        for lo in range(0, len(inside), PIECE):
+            bits = self._bits(codes_at(raw, inside[lo : lo + PIECE], self.order))
+            doc = int(np.searchsorted(starts, lo, "right")) - 1
+            cuts = np.concatenate([[0], starts[(starts > lo) & (starts < lo + len(bits))] - lo])
             out[doc : doc + len(cuts)] += np.add.reduceat(bits, cuts, 0, dtype=np.float64)
         return out
 
+    def _bits(self, codes: np.ndarray) -> np.ndarray:
+        if self._index is None:
+            self._index = [(Index(a), Index(b)) for a, b in zip(self.codes, self.contexts, strict=True)]
+        out = np.zeros((len(codes), len(self.langs)), np.float32)
+        open_ = np.arange(len(codes))
+        for k in range(self.order, -1, -1):
+            symbols, contexts = self._index[k]
+            mine = codes[open_] & low(k + 1)
+            at = symbols.find(mine)
+            hit = at >= 0
+            out[open_[hit]] += self.bits[k][at[hit]]
+            open_, mine = open_[~hit], mine[~hit]
+            if not len(open_):
+                return out
+            at = contexts.find(mine >> U(8))
+            out[open_[at >= 0]] += self.leave[k][at[at >= 0]]
+        out[open_] += UNIFORM
+        return out
+
 
 def plain(text: str) -> bytes:
     return text.encode().lower()
 
 
-def ngrams(texts: list[bytes], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the symbol after each context of three, and the first of each text; a text begins after three spaces."""
-    joined = np.frombuffer(b"   " + b"   ".join(texts), np.uint8)
-    s = alphabet[joined].astype(np.int32)
-    codes = (s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6) | s[3:]
-    lengths = np.array([len(t) for t in texts])
-    starts = np.cumsum(lengths + 3) - lengths - 3
-    inside = np.ones(len(codes), bool)
-    for i in range(3):  # the spaces themselves
-        inside[starts[1:] - 1 - i] = False
-    return codes[inside], np.cumsum(lengths) - lengths
+def laid(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, each after ``order`` spaces; places of the texts' bytes; number of the first of each text)."""
+    gap = b" " * order
+    raw = FOLD[np.frombuffer(gap + gap.join(texts), np.uint8)]
+    sizes = np.array([len(t) for t in texts])
+    inside = np.arange(int(sizes.sum())) + np.repeat(order * np.arange(1, len(texts) + 1), sizes)
+    return raw, inside, np.cumsum(sizes) - sizes
+
+
+def codes_at(raw: np.ndarray, places: np.ndarray, order: int) -> np.ndarray:
+    """The byte at each place and the ``order`` bytes before it as one number."""
+    out = np.zeros(len(places), U)
+    for i in range(order, -1, -1):
+        out = (out << U(8)) | raw[places - i]
+    return out
 
 
 def split(text_id: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.pmod(F.crc32(text_id.cast("string").cast("binary")), F.lit(parts))
+    """crc32 of the id as text, modulo ``parts``; -1 for a row without id, which is in no part."""
+    return F.coalesce(F.pmod(F.crc32(text_id.cast("string").cast("binary")), F.lit(parts)), F.lit(-1))
 
 
 def fit(labelled: DataFrame, params: PpmParams) -> PpmModel | None:
     """Learn from (id, text, lang); None where nothing is labelled."""
-    sizes = labelled.groupBy("lang").count()
-    fraction = F.pmod(F.xxhash64(F.lit(params.seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.join(sizes, "lang").filter(fraction * F.col("count") < params.docs_per_language).select("lang", "text")
-    chosen = materialise(chosen, "ppm-sample")
-    table = np.array([32 if i in (9, 10, 11, 12, 13) else i for i in range(256)], np.uint8)
-
-    def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(256, np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                total += np.bincount(table[np.frombuffer(plain(text), np.uint8)], minlength=256)
-        yield pd.DataFrame({"byte": np.arange(256), "n": total})
-
-    totals = chosen.mapInPandas(bytes_of, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).filter("n > 0").toPandas()  # 256 rows at most
-    if totals.empty:
+    p = params
+    sizes = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes")), "ppm-sizes")
+    part = F.least(F.lit(1.0), F.lit(float(p.docs_per_language)) / F.col("docs"), F.lit(float(p.bytes_per_language)) / F.col("bytes"))
+    shares = sizes.select("lang", part.alias("part"))
+    if sizes.count() <= p.broadcast_languages:
+        shares = F.broadcast(shares)
+    drawn = F.pmod(F.xxhash64(F.lit(p.seed), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = materialise(labelled.join(shares, "lang").filter(drawn < F.col("part")).select("lang", "text"), "ppm-sample")
+    langs = [r["lang"] for r in chosen.select("lang").distinct().orderBy("lang").collect()]  # the labels of the model
+    if not langs:
         return None
-    frequent = totals.sort_values(["n", "byte"], ascending=[False, True])["byte"].to_numpy()[: SYMBOLS - 1]
-    alphabet = np.zeros(256, np.uint8)
-    alphabet[np.sort(frequent)] = np.arange(1, len(frequent) + 1)
-    alphabet = alphabet[table]
+    number = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                codes, n = np.unique(ngrams([plain(t) for t in texts], alphabet)[0], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
+                raw, inside, _ = laid([plain(t) for t in texts], p.order)
+                codes, n = np.unique(codes_at(raw, inside, p.order), return_counts=True)
+                yield pd.DataFrame({"lang": number[lang], "code": codes.view(np.int64), "n": n})
 
     # Bounded by the sample, whose size is a parameter.
-    counts = chosen.mapInPandas(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    return PpmModel(sorted(counts["lang"].unique()), alphabet, counts)
+    counts = chosen.mapInPandas(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    return PpmModel(langs, p.order, counts["lang"].to_numpy(np.int64), counts["code"].to_numpy(np.int64).view(U), counts["n"].to_numpy(float))
 
 
 def identify(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", params: PpmParams = PpmParams(), keep: tuple[str, ...] = ()) -> DataFrame:

@@ -3,13 +3,12 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm.crf import Chain, marginals
 from tagloom.llm.decontaminate import DecontaminationParams, best_match, contaminated
-from tagloom.llm.ppm import BITS, PpmModel, identify, ngrams, plain, split
+from tagloom.llm.ppm import Index, PpmModel, PpmParams, codes_at, identify, laid, plain, split
 from tagloom.llm.quality import line_features, score_quality
 from tagloom.llm.toxicity import score_toxicity
 from tests.llm.helpers import clashing, frame, prose
@@ -60,37 +59,74 @@ def test_gradient_by_differences():
     assert g_f == pytest.approx((likelihood(Chain(c.transition, 0.3 + h), u) - likelihood(Chain(c.transition, 0.3 - h), u)) / (2 * h), abs=1e-6)
 
 
-def reference_bits(train: bytes, text: bytes, alphabet) -> float:
-    """Prediction by partial matching, one symbol at a time."""
-    codes, _ = ngrams([train], alphabet)
-    grams = [tuple((int(c) >> s) & 63 for s in (18, 12, 6, 0)) for c in codes]
+def reference_bits(train: bytes, text: bytes, order: int) -> float:
+    """Prediction by partial matching, one byte at a time."""
+    gap = b" " * order
+    grams = [(gap + train)[i : i + order + 1] for i in range(len(train))]
     total = 0.0
-    for c in ngrams([text], alphabet)[0]:
-        g = tuple((int(c) >> s) & 63 for s in (18, 12, 6, 0))
-        for order in (3, 2, 1, 0):
-            after = [x[3] for x in grams if x[3 - order : 3] == g[3 - order : 3]]
+    for i in range(len(text)):
+        g = (gap + text)[i : i + order + 1]
+        for k in range(order, -1, -1):
+            after = [x[order] for x in grams if x[order - k : order] == g[order - k : order]]
             n, d = len(after), len(set(after))
             if n == 0:
                 continue
-            if g[3] in after:
-                total -= np.log2(after.count(g[3]) / (n + d))
+            if g[order] in after:
+                total -= np.log2(after.count(g[order]) / (n + d))
                 break
             total -= np.log2(d / (n + d))
         else:
-            total += BITS
+            total += 8
     return total
 
 
-def test_code_lengths():
-    train, texts = {"a": b"the cat sat on the mat", "b": b"der hund und die katze"}, [b"the hat", b"xyz katze", b"u"]
-    used = sorted(set(b"".join(train.values())))
-    alphabet = np.zeros(256, np.uint8)
-    alphabet[used] = np.arange(1, len(used) + 1)
-    counts = pd.concat([pd.DataFrame({"lang": k, "code": ngrams([v], alphabet)[0], "n": 1}) for k, v in train.items()]).groupby(["lang", "code"], as_index=False).sum()
-    got = PpmModel(["a", "b"], alphabet, counts).lengths(texts)
+@pytest.mark.parametrize("order", [2, 4, 7])
+def test_code_lengths(order):
+    train = {"a": b"the cat sat on the mat", "b": "der hund und die k\u00e4tze \u4e2d\u6587\u4e2d\u6587".encode()}
+    texts = [b"the hat", "xyz k\u00e4tze".encode(), b"u", "\u4e2d\u6587\u0436".encode(), bytes(range(33, 60)) * 3]
+    grams = [(i, *codes_at(*laid([v], order)[:2], order).tolist()) for i, v in enumerate(train.values())]
+    lang, code = np.array([(i, c) for i, *cs in grams for c in cs], object).T
+    model = PpmModel(list(train), order, lang.astype(np.int64), code.astype(np.uint64), np.ones(len(code)))
+    got = model.lengths(texts)
     for i, t in enumerate(texts):
-        assert got[i] == pytest.approx([reference_bits(train[k], t, alphabet) for k in "ab"], rel=1e-4)
-    assert plain("ÄB") == "Äb".encode()
+        assert got[i] == pytest.approx([reference_bits(v, t, order) for v in train.values()], rel=1e-4)
+    assert plain("\u00c4B") == "\u00c4b".encode()
+
+
+def test_index():
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 2**40, 5000, np.uint64))
+    index = Index(codes)
+    assert index.find(codes).tolist() == list(range(len(codes)))
+    assert (index.find(codes + np.uint64(2**50)) == -1).all() and len(Index(codes[:0]).find(codes)) == len(codes)
+
+
+def brute_language(rows, params):
+    """Predictions by one model at a time, from whole texts in a plain loop."""
+    import zlib
+
+    train: dict[str, list[bytes]] = {}
+    for i, t, lang, _ in rows:
+        if t and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            train.setdefault(lang, []).append(plain(t))
+    models = {}
+    for lang, texts in sorted(train.items()):
+        codes = np.concatenate([codes_at(*laid([t], params.order)[:2], params.order) for t in texts])
+        models[lang] = PpmModel([lang], params.order, np.zeros(len(codes), np.int64), codes, np.ones(len(codes)))
+    return {i: min(models, key=lambda x: (models[x].lengths([plain(t)])[0, 0].round(3), x)) for i, t, *_ in rows if t}
+
+
+def test_language_scripts(spark):
+    """Two languages of one script that isn't Latin, and ties, repeated rows and rows without id or label."""
+    rng = random.Random(3)
+    kinds = {"ru": "\u0430\u0431\u0432\u0433\u0434\u0435\u0436", "uk": "\u0437\u0438\u043a\u043b\u043c\u043d\u0430", "zh": "\u4e2d\u6587\u5b57\u7b26\u4e32"}
+    rows = [(i, " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(3, 40))), k, "s") for i in range(90) for k in [list(kinds)[i % 3]]]
+    rows += [(500, rows[0][1], "ru", "s"), (500, rows[0][1], "ru", "s")]
+    got = identify(clashing(frame(spark, rows)), split(F.col("id"), 4) != 2).collect()
+    assert len(got) == len(rows)
+    want = brute_language(rows, PpmParams())
+    assert all(r["lang_pred"] == want[r["id"]] for r in got)
+    assert np.mean([want[i] == k for i, _, k, _ in rows]) == 1
 
 
 def languages(n=120):
