@@ -8,29 +8,41 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import narrow, small_batches
+from tagloom.llm.common import materialise, narrow, small_batches
+
+U = np.uint64
+#: Sizes of windows, about a factor of sqrt(2) apart.
+SIZES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 45, 64, 91, 128)
+#: Places of documents that walk together.
+PIECE = 1 << 14
+#: Bits of one block of the filter, and bytes of rows in a batch.
+BLOCK = 16
+BATCH = 4 << 20
 
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """similarity: 1 - edits / words of the item, for a match.  min_words: shorter items are no evidence.
+    """similarity: 1 - edits / words of the item, for a match.
 
-    walks * samples * 2 positions of the embeddings are compared; a window at
-    an embedded distance of a fraction f of its length is a candidate with
-    probability 1 - (1 - (1 - f)**2)**(walks * samples), which is over 0.99
-    for f up to 0.73.
+    walks, samples, bits: each walk's embedding is sampled ``samples`` times at
+    ``bits`` steps.  filter_bits: the filter of the items' keys has at most
+    2**filter_bits bits; a full one lets more windows through and loses none.
     """
 
     similarity: float = 0.8
-    min_words: int = 5
     walks: int = 4
-    samples: int = 16
-    block_items: int = 5000
+    samples: int = 6
+    bits: int = 3
+    filter_bits: int = 26
     seed: int = 11
 
+    def edits(self, words: int) -> int:
+        return int((1 - self.similarity) * words + 1e-9)
+
 
 class PlainWords(dict):
     """Hashes of words in plain form (letters and digits, case-folded); 0 for a word with neither."""
@@ -45,73 +57,61 @@ class PlainWords(dict):
 
 def plain_words(text: str | None, words: PlainWords) -> np.ndarray:
     raw = (text or "").encode().split()
-    h = np.fromiter(map(words.__getitem__, raw), np.uint64, len(raw))
+    h = np.fromiter(map(words.__getitem__, raw), U, len(raw))
     return h[h != 0]
 
 
-class Items:
-    """The benchmark items of one block, with what the search needs of them."""
+class Walks:
+    """The CGK walks and the steps sampled from them, for windows of the given sizes.
+
+    A walk copies the word at its pointer; a coin for step and word moves the
+    pointer on or not.  Windows that differ by an edit fall into step again, so
+    that equal words at equal steps tell of a small edit distance.  A window of
+    n words is walked n steps, which never leave it.
+    """
 
-    def __init__(self, ids: list, texts: list[str], p: DecontaminationParams):
-        words = PlainWords()
-        made = [(i, plain_words(t, words)) for i, t in zip(ids, texts, strict=True)]
-        made = [(i, w) for i, w in made if len(w) >= p.min_words]
-        self.ids, self.words = [i for i, _ in made], [w for _, w in made]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.edits = np.floor((1 - p.similarity) * self.sizes + 1e-9).astype(np.int64)
+    def __init__(self, sizes: list[int], p: DecontaminationParams):
         rng = np.random.default_rng(p.seed)
-        self.longest = int(self.sizes.max(initial=0))
-        self.factors = rng.integers(1, 2**63, self.longest + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.coins = rng.integers(1, 2**63, (p.walks, 3 * self.longest), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.sampled = rng.random((p.walks, p.samples, 2))
-        # An item with up to e edits keeps one of its e + 1 pieces whole: a lossless choice of the places to look at.
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
-        for k, w in enumerate(self.words):
-            cuts = np.linspace(0, len(w), self.edits[k] + 2).astype(int)
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                pieces.setdefault(int(hi - lo), []).append((int(self.grams(w[lo:hi], int(hi - lo))[0]), k, int(lo)))
-        self.pieces = {}
-        for n, found in pieces.items():
-            found.sort()
-            keys = np.array([x[0] for x in found], np.uint64)
-            flags = np.zeros(1 << 20, bool)
-            flags[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.pieces[n] = keys, flags, np.array([x[1:] for x in found], np.int64)
-        self.embedded = [self.embed(self.padded(self.words), r) for r in range(p.walks)] if made else []
-
-    def grams(self, w: np.ndarray, n: int) -> np.ndarray:
-        size = max(0, len(w) - n + 1)
-        total = np.zeros(size, np.uint64)
-        for j in range(n if size else 0):
-            total += w[j : j + size] * self.factors[j]
-        return total
-
-    def padded(self, windows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(windows), 3 * self.longest + 1), np.uint64)
-        for i, w in enumerate(windows):
-            out[i, : len(w)] = w
-        return out
-
-    def embed(self, windows: np.ndarray, walk: int) -> np.ndarray:
-        """The CGK walk: copy the word at the pointer; a coin for step and word moves the pointer on or not."""
-        at, rows = np.zeros(len(windows), np.int64), np.arange(len(windows))
-        out = np.empty((len(windows), 3 * self.longest), np.uint64)
-        for step in range(3 * self.longest):
-            word = windows[rows, at]
-            out[:, step] = word
-            at += ((word * self.coins[walk, step]) >> np.uint64(63)).astype(np.int64)
-        return out
-
-    def candidates(self, windows: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item in all positions of one sample at least."""
-        good = np.zeros(len(windows), bool)
-        rows = np.arange(len(windows))
-        for r, of_items in enumerate(self.embedded):
-            mine = self.embed(windows, r)
-            for first, second in self.sampled[r]:
-                p, q = (first * 3 * self.sizes[item]).astype(np.int64), (second * 3 * self.sizes[item]).astype(np.int64)
-                good |= (mine[rows, p] == of_items[item, p]) & (mine[rows, q] == of_items[item, q])
-        return good
+        self.p, self.sizes = p, sizes
+        self.coins = rng.integers(1, 2**63, (p.walks, SIZES[-1]), U) * U(2) + U(1)
+        self.factors = rng.integers(1, 2**63, p.bits, U) * U(2) + U(1)
+        self.steps = {n: np.random.default_rng([p.seed, n]).integers(0, n, (p.walks, p.samples, p.bits)) for n in sizes}
+
+    def keys(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(size, keys of the windows that begin at the places ``at``) of each sample; ``words`` ends with 0."""
+        for walk in range(self.p.walks):
+            wanted = {int(t) for n in self.sizes for t in self.steps[n][walk].flat}
+            pointer, seen = at.copy(), {}
+            for step in range(max(wanted) + 1):
+                word = words[pointer]
+                if step in wanted:
+                    seen[step] = word
+                pointer += ((word * self.coins[walk, step]) >> U(63)).astype(np.int64)
+            for n in self.sizes:
+                for sample, steps in enumerate(self.steps[n][walk].tolist()):
+                    key = np.full(len(at), (n * 64 + walk) * 4096 + sample, U)
+                    for factor, step in zip(self.factors, steps, strict=True):
+                        key += seen[step] * factor
+                    yield n, key ^ (key >> U(31))
+
+
+def probes(keys: np.ndarray, width: int) -> list[np.ndarray]:
+    """The three bits of each key in a filter of 2**width bits."""
+    return [((keys * U(f)) >> U(64 - width)).astype(np.int64) for f in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def parts_of(size: int) -> tuple[int, list[int]]:
+    """(size of the windows, offsets of the windows that cover an item of ``size`` words)."""
+    n = max(x for x in SIZES if x <= size)
+    return n, [*range(0, size - n, n), size - n]
+
+
+def reach(n: int, p: DecontaminationParams) -> tuple[int, int] | None:
+    """Words before and after the begin of a window of size ``n`` that an item of its class may take; None for whole documents."""
+    if n == SIZES[-1]:
+        return None
+    most = SIZES[SIZES.index(n) + 1] - 1
+    return most - n + 2 * p.edits(most), most + 2 * p.edits(most)
 
 
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -132,92 +132,175 @@ def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(back.argmin()), end
 
 
-def _search(items: Items, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, edits, first word, end) of the matches, the best of each pair."""
-    regions: dict[tuple[int, int, int], None] = {}
-    for d, w in enumerate(docs):
-        for n, (keys, flags, places) in items.pieces.items():
-            grams = items.grams(w, n)
-            hits = np.flatnonzero(flags[(grams >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, grams[hits], "left"), np.searchsorted(keys, grams[hits], "right")
-            for p, a, b in zip(hits[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                for k, offset in places[a:b].tolist():
-                    regions[d, k, p - offset] = None
-    if not regions:
-        return []
-    # Item-sized windows at every place that the edits allow.
-    windows, owner = [], []
-    for r, (d, k, at) in enumerate(regions):
-        size, e = int(items.sizes[k]), int(items.edits[k])
-        for start in range(max(0, at - e), max(0, min(at + e, len(docs[d]) - 1)) + 1):
-            windows.append(docs[d][start : start + size])
-            owner.append(r)
-    found, keys = [], list(regions)
-    owners = np.array(owner)
-    of_item = np.array([k for _, k, _ in keys], np.int64)
-    good: set[int] = set()
-    for lo in range(0, len(windows), 20_000):
-        mine = owners[lo : lo + 20_000]
-        good.update(mine[items.candidates(items.padded(windows[lo : lo + 20_000]), of_item[mine])].tolist())
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for r in sorted(good):
-        d, k, at = keys[r]
-        size, e = int(items.sizes[k]), int(items.edits[k])
-        if best.get((d, k), (1,))[0] == 0:
-            continue
-        lo = max(0, at - e)
-        edits, first, end = best_match(items.words[k], docs[d][lo : max(0, at + size + e)])
-        if edits <= e and (edits, first + lo) < best.get((d, k), (e + 1, 0))[:2]:
-            best[d, k] = edits, first + lo, end + lo
-    found.extend((d, k, *m) for (d, k), m in sorted(best.items()))
-    return found
+def _batches(rows: Iterator[tuple], columns: list[str], sized: list[int]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(row[i]) * (8 if isinstance(row[i], list) else 1) for i in sized)
+        if size >= BATCH:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def embedded_items(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
+    """(item, item_id, words, size, keys) of the items with a word; keys of all windows that cover the item."""
+    kind = benchmark.schema["id"].dataType.simpleString()
+
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, number = PlainWords(), TaskContext.get().partitionId() << 33
+        walks: dict[int, Walks] = {}
+
+        def made() -> Iterator[tuple]:
+            nonlocal number
+            for pdf in batches:
+                for item_id, text in zip(pdf["id"], pdf["text"], strict=True):
+                    w = plain_words(text, words)
+                    if len(w):
+                        n, offsets = parts_of(len(w))
+                        of_size = walks.setdefault(n, Walks([n], p))
+                        keys = np.concatenate([k for _, k in of_size.keys(np.append(w, U(0)), np.array(offsets))])
+                        yield number, item_id, w.tobytes(), n, np.unique(keys).view(np.int64).tolist()
+                        number += 1
+
+        yield from _batches(made(), ["item", "item_id", "words", "size", "keys"], [2, 4])
+
+    return benchmark.mapInPandas(embed, f"item long, item_id {kind}, words binary, size int, keys array<long>")
+
+
+def key_filter(items: DataFrame, p: DecontaminationParams) -> tuple[int, bytes]:
+    """(width, bits) of a Bloom filter of all keys, put together from blocks in Spark; 2**filter_bits bits at most."""
+    n = items.agg(F.sum(F.size("keys"))).first()[0] or 1
+    width = min(p.filter_bits, max(BLOCK, int(64 * n).bit_length()))
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = np.unique(np.concatenate(probes(pdf["key"].to_numpy(np.int64).view(U), width)))
+            yield pd.DataFrame({"block": found >> BLOCK, "slot": found & ((1 << BLOCK) - 1)})
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << BLOCK, np.uint8)
+        bits[pdf["slot"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    keys = items.select(F.explode("keys").alias("key"))
+    made = keys.mapInPandas(slots, "block long, slot long").distinct().groupBy("block").applyInPandas(block, "block long, bits binary").toPandas()
+    out = bytearray(1 << width - 3)
+    size = 1 << BLOCK - 3
+    for at, bits in zip(made["block"], made["bits"], strict=True):
+        out[at * size : (at + 1) * size] = bits
+    return width, bytes(out)
+
+
+def regions(docs: DataFrame, sizes: list[int], width: int, bits: bytes, p: DecontaminationParams) -> DataFrame:
+    """(region, row, id, first, words, keys): the parts of documents around windows whose keys pass the filter."""
+    kind = docs.schema["id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        words, walks = PlainWords(), Walks(sizes, p)
+        reaches = {n: reach(n, p) for n in sizes}
+        row = region = TaskContext.get().partitionId() << 33
+
+        def found(pdf: pd.DataFrame) -> Iterator[tuple]:
+            nonlocal region
+            docs = [plain_words(t, words) for t in pdf["text"]]
+            lengths = np.array([len(d) for d in docs])
+            firsts = np.cumsum(lengths + 1) - lengths - 1
+            laid = np.zeros(int(lengths.sum()) + len(docs) + 1, U)  # a 0 ends each document, and holds every pointer
+            for at, d in zip(firsts, docs, strict=True):
+                laid[at : at + len(d)] = d
+            hits = []
+            for lo in range(0, len(laid), PIECE):
+                at = np.arange(lo, min(lo + PIECE, len(laid)))
+                for n, keys in walks.keys(laid, at):
+                    left = np.flatnonzero(flags[((keys * U(0x9E3779B97F4A7C15)) >> U(64 - width)).astype(np.int64)])
+                    if len(left):
+                        _, second, third = probes(keys[left], width)
+                        left = left[flags[second] & flags[third]]
+                        hits.append((at[left], keys[left], np.full(len(left), n)))
+            if not hits:
+                return
+            place, key, size = (np.concatenate(x) for x in zip(*hits, strict=True))
+            doc = np.minimum(np.searchsorted(firsts, place, "right") - 1, len(docs) - 1)
+            begin, end = firsts[doc], firsts[doc] + lengths[doc]
+            lo, hi = begin.copy(), end.copy()
+            for n, around in reaches.items():
+                if around:
+                    mine = size == n
+                    lo[mine] = np.maximum(begin[mine], place[mine] - around[0])
+                    hi[mine] = np.minimum(end[mine], place[mine] + around[1])
+            order = np.argsort(lo, kind="stable")
+            order = order[hi[order] > lo[order]]
+            if not len(order):
+                return
+            lo, hi, key, doc = lo[order], np.maximum.accumulate(hi[order]), key[order], doc[order]
+            heads = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+            for a, b in zip(heads, np.append(heads[1:], len(lo)), strict=True):
+                d = int(doc[a])
+                yield region, row + d, pdf["id"].iat[d], int(lo[a] - firsts[d]), laid[lo[a] : hi[b - 1]].tobytes(), np.unique(key[a:b]).view(np.int64).tolist()
+                region += 1
+
+        for pdf in batches:
+            if len(pdf):
+                yield from _batches(found(pdf), ["region", "row", "id", "first", "words", "keys"], [4, 5])
+                row += len(pdf)
+
+    return docs.mapInPandas(scan, f"region long, row long, id {kind}, first long, words binary, keys array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """The passages of documents that are benchmark items up to a few edited words.
 
-    The benchmark is the query set: it is read in blocks of ``block_items``,
-    and each block meets all documents.  Windows of an item's length around
-    every place where one of the item's pieces occurs are embedded by CGK
-    walks over words; windows that agree with the item on a bit sample are
-    candidates, and the edit distance of each is computed exactly.
+    Every window of an item's size is embedded by CGK walks over words, and
+    samples of its steps are its keys.  One scan of the documents, by a filter
+    of the items' keys, leaves the windows that may share a key with an item;
+    they join the items by key, and the edit distance of each pair that is left
+    is computed exactly.  Sizes are rounded down to classes; an item is covered
+    by windows of its class, of ``SIZES[-1]`` words at most, so that no array
+    is as long as the longest item.
 
     Returns id, item_id, edits, first_word, end_word (in words with a letter
     or digit), a row for each pair of document and item that match.
 
-    Null and empty texts, and items of fewer than ``min_words`` words, match
-    nothing.  Equal items are matched each; repeated rows give repeated
-    matches; rows without id are reported with a null id.  If either table is
-    empty, so is the result.
+    An exact copy is always found, as its windows have all keys of the item.
+    At the most edits allowed, samples miss some: the tests measure the recall.
+
+    Null and empty texts, and items without a letter or digit, match nothing;
+    an item of few words allows no edit.  Equal items are matched each;
+    repeated rows give repeated matches; rows without id are reported with a
+    null id.  If either table is empty, so is the result.
     """
     p, spark = params, docs.sparkSession
     small_batches(spark)
     rows = narrow(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
-    kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
-    schema = f"id {kinds[0]}, item_id {kinds[1]}, edits long, first_word long, end_word long"
-    entries = narrow(benchmark, id=item_col, text=item_text_col).withColumn("text", F.col("text").cast("string")).filter("text is not null")
-    out, block = [], []
-
-    def add() -> None:
-        items = spark.sparkContext.broadcast(Items([x[0] for x in block], [x[1] for x in block], p))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, known = PlainWords(), items.value
-            for pdf in batches:
-                found = _search(known, [plain_words(t, words) for t in pdf["text"]]) if known.ids else []
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                yield pd.DataFrame({"id": pdf["id"].iloc[list(columns[0])].to_numpy(), "item_id": [known.ids[k] for k in columns[1]], "edits": columns[2], "first_word": columns[3], "end_word": columns[4]})
-
-        out.append(rows.mapInPandas(search, schema))
-
-    for entry in entries.toLocalIterator():
-        block.append((entry["id"], entry["text"]))
-        if len(block) == p.block_items:
-            add()
-            block = []
-    if block or not out:
-        add()
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    entries = narrow(benchmark, id=item_col, text=item_text_col).withColumn("text", F.col("text").cast("string"))
+    items = materialise(embedded_items(entries.filter("text is not null"), p), "decontaminate-items")
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # of the few in SIZES
+    kinds = rows.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    if not sizes:
+        return spark.createDataFrame([], f"id {kinds[0]}, item_id {kinds[1]}, edits long, first_word long, end_word long")
+    found = materialise(regions(rows, sizes, *key_filter(items, p), p), "decontaminate-regions")
+    pairs = found.select("region", F.explode("keys").alias("key")).join(items.select("item", F.explode("keys").alias("key")), "key").select("region", "item").distinct()
+    met = pairs.join(items.select("item", "item_id", F.col("words").alias("of_item")), "item").join(found.drop("keys"), "region")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, (of_item, raw, first) in enumerate(zip(pdf["of_item"], pdf["words"], pdf["first"], strict=True)):
+                item, region = np.frombuffer(of_item, U), np.frombuffer(raw, U)
+                most = p.edits(len(item))
+                # A match has all but ``most`` words of the item.
+                if int(np.isin(region, item).sum()) >= len(item) - most:
+                    edits, lo, hi = best_match(item, region)
+                    if edits <= most:
+                        out.append((i, edits, first + lo, first + hi))
+            at, edits, lo, hi = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else [np.empty(0, np.int64)] * 4
+            yield pd.DataFrame({c: pdf[c].iloc[at].to_numpy() for c in ("row", "id", "item", "item_id")} | {"edits": edits, "first_word": lo, "end_word": hi})
+
+    schema = f"row long, id {kinds[0]}, item long, item_id {kinds[1]}, edits long, first_word long, end_word long"
+    matches = met.select("row", "id", "item", "item_id", "first", "words", "of_item").mapInPandas(verify, schema)
+    best = matches.groupBy("row", "item").agg(F.min(F.struct("edits", "first_word", "end_word", "id", "item_id")).alias("m"))
+    return best.select("m.id", "m.item_id", "m.edits", "m.first_word", "m.end_word")

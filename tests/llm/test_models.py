@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm.crf import Chain, marginals
-from tagloom.llm.decontaminate import DecontaminationParams, best_match, contaminated
+from tagloom.llm.decontaminate import DecontaminationParams, PlainWords, best_match, contaminated, key_filter, plain_words, probes
 from tagloom.llm.ppm import Index, PpmModel, PpmParams, codes_at, identify, laid, plain, split
 from tagloom.llm.quality import line_features, score_quality
 from tagloom.llm.toxicity import score_toxicity
@@ -226,21 +226,61 @@ def test_best_match():
         assert edits == min(edit_distance(a, b[i:j]) for i in range(15) for j in range(i, 15)) == edit_distance(a, b[lo:hi])
 
 
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        k, kind = rng.randrange(len(w)), rng.randrange(3)
+        w[k : k + 1] = [[], [prose(rng, 1)], [w[k], prose(rng, 1)]][kind]
+    return w
+
+
+def brute_contaminated(rows, items, p):
+    """Pairs (document, item) by edit distance over whole texts."""
+    words = PlainWords()
+    sets = [(i, plain_words(t, words)) for i, t in items]
+    out = set()
+    for i, t, *_ in rows:
+        doc = plain_words(t, words)
+        out |= {(i, k) for k, w in sets if len(w) and len(doc) and best_match(w, doc)[0] <= p.edits(len(w))}
+    return out
+
+
 def test_contaminated(spark):
-    rng = random.Random(6)
-    items = [(i, prose(rng, 25 + i)) for i in range(20)] + [(90, None), (91, "few words"), (92, "")]
-    rows, want = [], set()
+    rng, p = random.Random(6), DecontaminationParams()
+    items = [(i, prose(rng, 25 + i)) for i in range(20)] + [(90, None), (91, "few words here"), (92, ""), (93, "!! --"), (94, prose(rng, 10000)), (95, prose(rng, 9)), (None, prose(rng, 30))]
+    items += [items[2], items[2]]  # repeated
+    rows = []
     for i in range(20):
-        w = items[i][1].split()
-        for _ in range(i // 4):  # up to four edits of five and more that are allowed
-            k, kind = rng.randrange(len(w)), rng.randrange(3)
-            w[k : k + 1] = [[], ["new"], [w[k], "new"]][kind]
+        w = edited(rng, items[i][1].split(), i // 4)
         rows.append((i, prose(rng, 50) + " " + " ".join(w).upper().replace(" ", ", ") + "\n" + prose(rng, 30), "en", "s"))
-        want.add((i, i))
     rows += [(100 + i, prose(rng, 300), "en", "s") for i in range(30)] + [(200, None, "en", "s"), (201, "", "en", "s"), (202, prose(rng, 20000), "en", "s"), (203, items[3][1][: len(items[3][1]) // 2], "en", "s")]
-    b = spark.createDataFrame(items, "item_id long, text string")
-    for block in (7, 5000):
-        got = contaminated(clashing(frame(spark, rows)), b, params=DecontaminationParams(block_items=block)).collect()
-        assert {(r["id"], r["item_id"]) for r in got} == want
+    rows += [(204, "Few WORDS, here!", "en", "s"), (205, "x " + " ".join(edited(rng, items[24][1].split(), 1500)), "en", "s"), (206, items[25][1], "en", "s"), (206, items[25][1], "en", "s")]
+    rows += [(None, items[0][1], "en", "s"), (207, items[26][1], "en", "s")]
+    b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS ID", "'x' AS words", "2 AS key")
+    got = contaminated(clashing(frame(spark, rows)), b).collect()
+    assert {(r["id"], r["item_id"]) for r in got} == brute_contaminated(rows, items, p)
+    assert sum(r["id"] == 2 for r in got) == 3 and sum(r["id"] == 206 for r in got) == 2
+    assert all(r["edits"] <= 1500 and r["end_word"] > r["first_word"] for r in got)
     assert contaminated(frame(spark, []), b).count() == 0
     assert contaminated(frame(spark, rows), b.limit(0)).count() == 0
+
+
+def test_recall_at_most_edits(spark):
+    """Of items with as many edits as are allowed, nine of ten at least are found."""
+    rng, p = random.Random(16), DecontaminationParams()
+    sizes = (5, 8, 10, 16, 20, 31, 59, 120, 400)
+    items = [(i, prose(rng, sizes[i % len(sizes)])) for i in range(40 * len(sizes))]
+    rows = [(i, prose(rng, 20) + " " + " ".join(edited(rng, t.split(), p.edits(len(t.split())))) + " " + prose(rng, 20), "en", "s") for i, t in items]
+    got = {(r["id"], r["item_id"]) for r in contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {n: np.mean([(i, i) in got for i, t in items if len(t.split()) == n]) for n in sizes}
+    print("recall at the most edits", recall)
+    assert min(recall.values()) >= 0.9
+
+
+def test_filter_blocks(spark):
+    items = spark.createDataFrame([(list(range(0, 10**6, 7)),), ([-5],)], "keys array<long>")
+    width, bits = key_filter(items, DecontaminationParams())
+    flags = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    assert width > 20 and len(flags) == 1 << width
+    assert all(flags[x].all() for x in probes(np.arange(0, 10**6, 7).astype(np.uint64), width))
+    assert np.mean(np.all([flags[x] for x in probes(np.arange(10**7, 10**7 + 10**5).astype(np.uint64), width)], 0)) < 0.01
