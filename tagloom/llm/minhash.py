@@ -25,7 +25,10 @@ class MinHashParams:
     """bands * rows bins; two sets of similarity s share a band with probability 1 - (1 - s**rows)**bands.
 
     margin: pairs whose signatures agree in less than the similarity minus this
-    aren't compared across components; five standard deviations of the estimate at least, measured on sets of ten shingles (0.028).  block: members of a bucket that meet in one task.
+    aren't compared across components; five standard deviations of the estimate
+    at least, measured on sets of ten shingles (0.028).  block: hubs, and
+    members of a bucket, that meet in one group.  lot: pairs of one hub that
+    are verified together.  rows_per_task: of the groups.
     """
 
     width: int = 5
@@ -33,7 +36,9 @@ class MinHashParams:
     bands: int = 48
     rows: int = 8
     margin: float = 0.15
-    block: int = 1000
+    block: int = 250
+    lot: int = 500
+    rows_per_task: int = 2000
     seed: int = 17
 
     @property
@@ -139,54 +144,84 @@ def _sign(docs: DataFrame, p: MinHashParams) -> DataFrame:
     return docs.mapInPandas(sign, f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, bands array<long>, bins binary")
 
 
-def _across(members: DataFrame, p: MinHashParams) -> DataFrame:
-    """Pairs (a, b) of a bucket's members (key, band, rep, n, component, bins, bands, size) in different components that may be similar.
+def _apart(members: DataFrame, p: MinHashParams) -> DataFrame:
+    """Pairs (a, b) in different components that may be similar, from buckets' members (key, band, rep, n, component, bins, bands).
 
-    Sizes and agreement of the signatures have to allow it.  A pair is made in
-    the first band that it shares, and nowhere else.  Large buckets are cut into
-    blocks, and each pair of blocks meets in a task of its own.
+    A bucket's largest component needs no star of its own: each member outside
+    it is the hub of a star over the bucket, and a link between components has
+    such an end.  Sizes and agreement of the signatures have to allow a pair,
+    and it is made in the first band that it shares and nowhere else.  Hubs and
+    members are cut into blocks of ``block``; each block of hubs meets each
+    block of members in a group of its own, so that no group is larger than
+    two blocks.
     """
     kind = members.schema["rep"].dataType.simpleString()
-    blocks = F.ceil(F.col("size") / p.block).cast("int")
-    cut = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    counted = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    bucket = counted.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"))
+    cut = members.join(bucket, "key").withColumns({
+        "hub": F.col("component") != F.col("main"),
+        "blocks": F.ceil(F.col("size") / p.block).cast("int"),
+        "slices": F.ceil((F.col("size") - F.col("most")) / p.block).cast("int"),
+    })
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    columns = ["key", "band", "rep", "n", "component", "bins", "bands"]
+    as_member = cut.select(*columns, F.lit(False).alias("hub"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    as_hub = cut.filter("hub").select(*columns, F.lit(True).alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("slices")).cast("int").alias("slice"))
+    met = materialise(as_member.unionByName(as_hub), "minhash-apart")
+    # Tasks by rows, not by bytes: a row stands for many comparisons.
+    tasks = max(1, -(-met.count() // p.rows_per_task))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mine", kind="stable")
+        pdf = pdf.sort_values("n", kind="stable")
+        hub = pdf["hub"].to_numpy(bool)
         bins, bands = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), p.bins), np.stack(pdf["bands"].to_list())
-        n, component, rep, mine = (pdf[c].to_numpy() for c in ("n", "component", "rep", "mine"))
-        band, split = int(pdf["band"].iat[0]), int((mine == pdf["lo"].iat[0]).sum())
-        one = pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        n, component, rep = (pdf[c].to_numpy() for c in ("n", "component", "rep"))
+        band, others = int(pdf["band"].iat[0]), np.flatnonzero(~hub)
+        least = int(np.ceil(p.bins * (p.percent / 100 - p.margin)))
         out = []
-        for i in range(split):
-            j = np.arange(i + 1 if one else split, len(pdf))
-            j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= p.percent * np.maximum(n[j], n[i]))]
-            if not len(j):
-                continue
-            j = j[(bins[j] == bins[i]).mean(1) >= p.percent / 100 - p.margin]
-            j = j[(bands[j] == bands[i]).argmax(1) == band]
-            out.extend((min(rep[i], r), max(rep[i], r)) for r in rep[j])
+        for i in np.flatnonzero(hub):
+            lo = np.searchsorted(n[others], -(-p.percent * n[i] // 100), "left")
+            hi = np.searchsorted(n[others], 100 * n[i] // p.percent, "right")
+            j = others[lo:hi]
+            j = j[component[j] != component[i]]
+            j = j[np.count_nonzero(bins[j] == bins[i], 1) >= least]
+            if len(j):
+                j = j[(bands[j] == bands[i]).argmax(1) == band]
+                out.extend((min(rep[i], r), max(rep[i], r)) for r in rep[j])
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return met.select("key", "lo", "hi", "mine", "band", "rep", "n", "component", "bins", "bands").groupBy("key", "lo", "hi").applyInPandas(pairs, f"a {kind}, b {kind}")
+    grouped = met.repartition(tasks, "key", "block", "slice").groupBy("key", "block", "slice")
+    return grouped.applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts come by two joins on id."""
-    of_a, of_b = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    Pairs of one ``a`` are dealt in lots of ``lot``; each lot gets the text of
+    ``a`` once, ahead of the others, so that a hub's text isn't copied for
+    every pair and no hub fills a task.
+    """
     kind = docs.schema["id"].dataType.simpleString()
+    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / p.lot).cast("int").alias("lots"))
+    hubs = docs.join(lots.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("id").alias("b"), F.lit(True).alias("first"), "text")
+    dealt = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), "b")
+    others = dealt.join(docs.select(F.col("id").alias("b"), "text"), "b").select("a", "lot", "b", F.lit(False).alias("first"), "text")
+    met = hubs.unionByName(others).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("first").desc())
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, known = WordHashes(), None, None
+        hashes, hub, known = WordHashes(), None, []
         for pdf in batches:
             good = []
-            for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True):
-                if last is None or a != last[0]:
-                    last, known = (a,), shingles(ta, p.width, hashes)
-                good.append(linked(known, shingles(tb, p.width, hashes), p.percent))
+            for a, first, text in zip(pdf["a"], pdf["first"], pdf["text"], strict=True):
+                s = shingles(text, p.width, hashes)
+                if first:  # the id may stand in several rows
+                    hub, known = a, [*(known if a == hub else []), s]
+                    good.append(False)
+                else:
+                    good.append(any(linked(k, s, p.percent) for k in known))
             yield pdf.loc[good, ["a", "b"]]
 
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ta", "tb").mapInPandas(check, f"a {kind}, b {kind}").distinct()
+    return met.mapInPandas(check, f"a {kind}, b {kind}").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHashParams = MinHashParams()) -> DataFrame:
@@ -198,9 +233,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a bucket the smallest member is the hub of a star: each pair with the hub
     is compared on full sets.  What a star can't see, a link between two
     members that aren't linked with the hub, is looked for afterwards, and only
-    in buckets whose members are in several components: there the pairs across
-    components are compared whose sizes and signatures allow the similarity.
-    Pairs inside a component can't change the result and are never made.
+    in buckets whose members are in several components: each member outside
+    the bucket's largest component is the hub of one more star, over members of
+    other components whose sizes and signatures allow the similarity.  Pairs
+    inside a component can't change the result and are never made.
+
+    Sets are of 64-bit hashes of shingles: two of the u shingles of a pair of
+    documents are mistaken for one with a probability below u**2 / 2**65.
 
     Returns id, n_shingles, component_id (smallest id connected), kept.
 
@@ -226,11 +265,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = materialise(verified(star, texts, p), "minhash-links")
     labels = components(links)
 
-    # Buckets across components.
+    # Stars of what stayed apart.
     placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    across = placed.join(mixed, "key").join(classes.select("rep", "bins", "bands"), "rep")
-    more = materialise(_across(across, p).join(star, ["a", "b"], "left_anti"), "minhash-more")
+    across = placed.join(mixed, "key").join(classes.select("rep", "bins", "bands"), "rep").select("key", "band", "rep", "n", "component", "bins", "bands")
+    more = materialise(_apart(across, p).join(star, ["a", "b"], "left_anti"), "minhash-more")
     if not more.isEmpty():
         found = materialise(verified(more, texts, p), "minhash-links")
         if not found.isEmpty():

@@ -55,7 +55,7 @@ def links(rows, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("percent", "block"), [(80, 1000), (85, 1000), (85, 3)])
+@pytest.mark.parametrize(("percent", "block"), [(80, 250), (85, 250), (85, 3)])
 def test_near(spark, percent, block):
     rows = corpus()
     rng = random.Random(5)
@@ -63,10 +63,29 @@ def test_near(spark, percent, block):
     for i in range(25):  # a chain: each differs a little from the one before
         family[4 * i] = f"c{i}"
         rows.append((2000 + i, " ".join(family), "en", "s"))
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup(clashing(frame(spark, rows)), params=MinHashParams(percent=percent, block=block)).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup(clashing(frame(spark, rows)), params=MinHashParams(percent=percent, block=block, lot=block, rows_per_task=10 * block)).collect()}
     assert got == links(rows, percent)
 
 
+def test_near_families(spark):
+    """Members of one bucket in many components: a hub sees few of their links."""
+    rng, rows = random.Random(15), []
+    base = prose(rng, 100).split()
+    for f in range(6):
+        own = list(base)
+        for k in rng.sample(range(100), 4):
+            own[k] = f"f{f}x{k}"
+        for m in range(12):
+            w = list(own)
+            if m:
+                w[rng.randrange(100)] = f"m{f}x{m}"
+            rows.append((100 * f + m, " ".join(w), "en", "s"))
+    rng.shuffle(rows)
+    for block in (250, 4):
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup(frame(spark, rows), params=MinHashParams(percent=85, block=block, lot=block)).collect()}
+        assert got == links(rows, 85)
+
+
 def test_near_edges(spark):
     rows = [(1, None, "a", "b"), (2, "", "a", "b"), (None, "w1 w2 w3 w4 w5 w6", "a", "b"), (7, "W1 w2  w3 w4\tw5 w6", "a", "b"), (7, "W1 w2  w3 w4\tw5 w6", "a", "b"), (8, "hi", "a", "b"), (9, "HI", "a", "b")]
     got = sorted((str(r["id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(frame(spark, rows)).collect())
