@@ -144,54 +144,76 @@ def _sign(docs: DataFrame, p: MinHashParams) -> DataFrame:
     return docs.mapInPandas(sign, f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, bands array<long>, bins binary")
 
 
-def _apart(members: DataFrame, p: MinHashParams) -> DataFrame:
-    """Pairs (a, b) in different components that may be similar, from buckets' members (key, band, rep, n, component, bins, bands).
+def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with one of the ids; the only join that moves all texts."""
+    return materialise(docs.join(ids.distinct().hint("merge"), "id", "left_semi"), "minhash-texts")
+
+
+def _apart(members: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links (a, b) between components, from buckets' members (key, band, hub, rep, n, component, bins, bands).
 
     A bucket's largest component needs no star of its own: each member outside
     it is the hub of a star over the bucket, and a link between components has
-    such an end.  Sizes and agreement of the signatures have to allow a pair,
-    and it is made in the first band that it shares and nowhere else.  Hubs and
-    members are cut into blocks of ``block``; each block of hubs meets each
-    block of members in a group of its own, so that no group is larger than
-    two blocks.
+    such an end.  Sizes and agreement of the signatures have to allow a pair;
+    it is made in the first band that it shares and nowhere else, and not if
+    its bucket's own star has it.  Hubs and members are cut into blocks of
+    ``block``; each block of hubs meets each block of members in a group of its
+    own, so that no group is larger than two blocks.  Of a group, the members
+    of pairs that are left get their texts, once each, and the pairs are
+    compared on full sets.
     """
     kind = members.schema["rep"].dataType.simpleString()
     counted = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     bucket = counted.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"))
     cut = members.join(bucket, "key").withColumns({
-        "hub": F.col("component") != F.col("main"),
+        "starred": F.col("hub") == F.col("rep"),
+        "apart": F.col("component") != F.col("main"),
         "blocks": F.ceil(F.col("size") / p.block).cast("int"),
         "slices": F.ceil((F.col("size") - F.col("most")) / p.block).cast("int"),
     })
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    columns = ["key", "band", "rep", "n", "component", "bins", "bands"]
-    as_member = cut.select(*columns, F.lit(False).alias("hub"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    as_hub = cut.filter("hub").select(*columns, F.lit(True).alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("slices")).cast("int").alias("slice"))
+    columns = ["key", "band", "starred", "rep", "n", "component", "bins", "bands"]
+    as_member = cut.select(*columns, F.lit(False).alias("is_hub"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    as_hub = cut.filter("apart").select(*columns, F.lit(True).alias("is_hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("slices")).cast("int").alias("slice"))
     met = materialise(as_member.unionByName(as_hub), "minhash-apart")
     # Tasks by rows, not by bytes: a row stands for many comparisons.
-    tasks = max(1, -(-met.count() // p.rows_per_task))
+    tasks, group = max(1, -(-met.count() // p.rows_per_task)), ["key", "block", "slice"]
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n", kind="stable")
-        hub = pdf["hub"].to_numpy(bool)
+        hub = pdf["is_hub"].to_numpy(bool)
         bins, bands = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), p.bins), np.stack(pdf["bands"].to_list())
-        n, component, rep = (pdf[c].to_numpy() for c in ("n", "component", "rep"))
-        band, others = int(pdf["band"].iat[0]), np.flatnonzero(~hub)
+        n, component, rep, starred = (pdf[c].to_numpy() for c in ("n", "component", "rep", "starred"))
+        band, others = int(pdf["band"].iat[0]), np.flatnonzero(~hub & ~starred.astype(bool))
         least = int(np.ceil(p.bins * (p.percent / 100 - p.margin)))
-        out = []
-        for i in np.flatnonzero(hub):
+        partners: dict = {}
+        for i in np.flatnonzero(hub & ~starred.astype(bool)):
             lo = np.searchsorted(n[others], -(-p.percent * n[i] // 100), "left")
             hi = np.searchsorted(n[others], 100 * n[i] // p.percent, "right")
             j = others[lo:hi]
             j = j[component[j] != component[i]]
             j = j[np.count_nonzero(bins[j] == bins[i], 1) >= least]
+            j = j[(bands[j] == bands[i]).argmax(1) == band] if len(j) else j
             if len(j):
-                j = j[(bands[j] == bands[i]).argmax(1) == band]
-                out.extend((min(rep[i], r), max(rep[i], r)) for r in rep[j])
+                partners[rep[i]] = rep[j].tolist()
+                for r in partners[rep[i]]:
+                    partners.setdefault(r, [])
+        return pd.DataFrame([(*key, r, found) for r, found in partners.items()], columns=[*group, "rep", "partners"])
+
+    schema = f"key long, block int, slice int, rep {kind}, partners array<{kind}>"
+    found = materialise(met.repartition(tasks, *group).groupBy(*group).applyInPandas(pairs, schema), "minhash-more")
+    texts = needed(docs, found.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), "text")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes, sets, out = WordHashes(), {}, []
+        for rep, text in zip(pdf["rep"], pdf["text"], strict=True):  # an id may stand in several rows
+            sets.setdefault(rep, []).append(shingles(text, p.width, hashes))
+        for rep, partners in {r: x for r, x in zip(pdf["rep"], pdf["partners"], strict=True)}.items():
+            out.extend((min(rep, r), max(rep, r)) for r in partners if any(linked(x, y, p.percent) for x in sets[rep] for y in sets[r]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    grouped = met.repartition(tasks, "key", "block", "slice").groupBy("key", "block", "slice")
-    return grouped.applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
+    joined = found.join(texts, "rep").repartition(max(1, -(-found.count() // p.rows_per_task)), *group)
+    return joined.groupBy(*group).applyInPandas(check, f"a {kind}, b {kind}").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
@@ -202,10 +224,11 @@ def verified(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
     every pair and no hub fills a task.
     """
     kind = docs.schema["id"].dataType.simpleString()
+    texts = needed(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / p.lot).cast("int").alias("lots"))
-    hubs = docs.join(lots.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("id").alias("b"), F.lit(True).alias("first"), "text")
+    hubs = texts.join(lots.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("id").alias("b"), F.lit(True).alias("first"), "text")
     dealt = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), "b")
-    others = dealt.join(docs.select(F.col("id").alias("b"), "text"), "b").select("a", "lot", "b", F.lit(False).alias("first"), "text")
+    others = dealt.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "lot", "b", F.lit(False).alias("first"), "text")
     met = hubs.unionByName(others).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("first").desc())
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,12 +291,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Stars of what stayed apart.
     placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    across = placed.join(mixed, "key").join(classes.select("rep", "bins", "bands"), "rep").select("key", "band", "rep", "n", "component", "bins", "bands")
-    more = materialise(_apart(across, p).join(star, ["a", "b"], "left_anti"), "minhash-more")
-    if not more.isEmpty():
-        found = materialise(verified(more, texts, p), "minhash-links")
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
+    across = placed.join(mixed, "key").join(classes.select("rep", "bins", "bands"), "rep").select("key", "band", "hub", "rep", "n", "component", "bins", "bands")
+    found = materialise(_apart(across, texts, p), "minhash-links")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("named"))
     out = signed.select("id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("named"))
