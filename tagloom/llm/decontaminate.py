@@ -17,6 +17,8 @@ from tagloom.llm.common import materialise, narrow, small_batches
 U = np.uint64
 #: Sizes of windows, about a factor of sqrt(2) apart.
 SIZES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 45, 64, 91, 128)
+#: Windows of fewer words are sampled at a step less, such of more words at twice as many samples.
+SHORT, LONG = 11, 91
 #: Places of documents that walk together.
 PIECE = 1 << 14
 #: Bits of one block of the filter, and bytes of rows in a batch.
@@ -73,26 +75,49 @@ class Walks:
     def __init__(self, sizes: list[int], p: DecontaminationParams):
         rng = np.random.default_rng(p.seed)
         self.p, self.sizes = p, sizes
-        self.coins = rng.integers(1, 2**63, (p.walks, SIZES[-1]), U) * U(2) + U(1)
+        #: Bit t of a word's product with these is the coin of step t, 64 steps each.
+        self.coins = rng.integers(1, 2**63, (p.walks, -(-SIZES[-1] // 64)), U) * U(2) + U(1)
         self.factors = rng.integers(1, 2**63, p.bits, U) * U(2) + U(1)
-        self.steps = {n: np.random.default_rng([p.seed, n]).integers(0, n, (p.walks, p.samples, p.bits)) for n in sizes}
-
-    def keys(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(size, keys of the windows that begin at the places ``at``) of each sample; ``words`` ends with 0."""
+        self.steps = {n: self._drawn(n) for n in sizes}
+
+    def _drawn(self, n: int) -> np.ndarray:
+        """The steps of each sample, apart from each other where the window has room."""
+        p, rng = self.p, np.random.default_rng([self.p.seed, n])
+        bits = max(1, p.bits - (n < SHORT))
+        gap = max(0, min(n // 5, (n - 1) // max(1, bits - 1)))
+        free = np.sort(rng.integers(0, n - gap * (bits - 1), (p.walks, p.samples * (2 if n >= LONG else 1), bits)), 2)
+        return free + gap * np.arange(bits)
+
+    def keys(self, words: np.ndarray, at: np.ndarray, telling: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(size, keys of the windows that begin at the places ``at``) of each sample; ``words`` ends with 0.
+
+        A walk may stay on one word, and then a sample tells of fewer words:
+        ``telling`` gives the number of words instead of the key.
+        """
         for walk in range(self.p.walks):
             wanted = {int(t) for n in self.sizes for t in self.steps[n][walk].flat}
             pointer, seen = at.copy(), {}
             for step in range(max(wanted) + 1):
-                word = words[pointer]
+                if step % 64 == 0:
+                    lo, hi = int(at.min()), min(len(words), int(at.max()) + SIZES[-1] + 1)
+                    tossed = words[lo:hi] * self.coins[walk, step // 64]
+                    tossed = (tossed ^ (tossed >> U(32))).view(np.int64)
+                    pointer -= lo
                 if step in wanted:
-                    seen[step] = word
-                pointer += ((word * self.coins[walk, step]) >> U(63)).astype(np.int64)
+                    seen[step] = pointer + lo if telling else words[pointer + lo]
+                pointer += (tossed[pointer] >> (step % 64)) & 1
+                if step % 64 == 63:
+                    pointer += lo
             for n in self.sizes:
                 for sample, steps in enumerate(self.steps[n][walk].tolist()):
-                    key = np.full(len(at), (n * 64 + walk) * 4096 + sample, U)
-                    for factor, step in zip(self.factors, steps, strict=True):
+                    if telling:
+                        yield n, 1 + sum(seen[a] != seen[b] for a, b in zip(steps[:-1], steps[1:], strict=True))
+                        continue
+                    key = seen[steps[0]] * self.factors[0]
+                    for factor, step in zip(self.factors[1:], steps[1:], strict=False):
                         key += seen[step] * factor
-                    yield n, key ^ (key >> U(31))
+                    key += U(((n * 64 + walk) * 4096 + sample) * 0x9E3779B97F4A7C15 % 2**64)
+                    yield n, key
 
 
 def probes(keys: np.ndarray, width: int) -> list[np.ndarray]:
@@ -144,6 +169,14 @@ def _batches(rows: Iterator[tuple], columns: list[str], sized: list[int]) -> Ite
         yield pd.DataFrame(held, columns=columns)
 
 
+def item_keys(walks: Walks, words: np.ndarray, offsets: list[int]) -> np.ndarray:
+    """Keys of an item's windows; of each window, those that tell of the most words."""
+    laid, at = np.append(words, U(0)), np.array(offsets)
+    keys = np.stack([k for _, k in walks.keys(laid, at)])
+    told = np.stack([k for _, k in walks.keys(laid, at, telling=True)])
+    return keys[told == told.max(0)]
+
+
 def embedded_items(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
     """(item, item_id, words, size, keys) of the items with a word; keys of all windows that cover the item."""
     kind = benchmark.schema["id"].dataType.simpleString()
@@ -160,8 +193,7 @@ def embedded_items(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
                     if len(w):
                         n, offsets = parts_of(len(w))
                         of_size = walks.setdefault(n, Walks([n], p))
-                        keys = np.concatenate([k for _, k in of_size.keys(np.append(w, U(0)), np.array(offsets))])
-                        yield number, item_id, w.tobytes(), n, np.unique(keys).view(np.int64).tolist()
+                        yield number, item_id, w.tobytes(), n, np.unique(item_keys(of_size, w, offsets)).view(np.int64).tolist()
                         number += 1
 
         yield from _batches(made(), ["item", "item_id", "words", "size", "keys"], [2, 4])
