@@ -2,68 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.lineage import cut
-from tagloom.operators.tensor import directed, touching
+from tagloom.operators.tensor import degree, direct_score, directed, per_query, touching
 from tagloom.params import Params
 
 
-def fan_out(tensor: DataFrame, seeds: DataFrame, hops: int = 2, least: float = 0.05, discount: float = 0.5) -> DataFrame:
-    """Tags within ``hops`` steps of the seeds, with the best product of edge weights on a path, discounted each step.
-
-    tensor: edges with a column weight.  seeds: (tag_id, score).
-    """
-    both = touching(tensor.select("tag_a_id", "tag_b_id", "weight"), tensor.select(F.col("tag_a_id").alias("tag_id")).unionByName(tensor.select(F.col("tag_b_id").alias("tag_id")))).filter(F.col("weight") >= least)
-    reached = seeds.select("tag_id", "score")
-    front = reached
-    for _ in range(hops):
-        front = front.join(both, F.col("tag_id") == F.col("seed")).select(F.col("partner").alias("tag_id"), (F.col("score") * F.col("weight") * discount).alias("score")).groupBy("tag_id").agg(F.max("score").alias("score"))
-        reached = reached.unionByName(front)
-    return reached.groupBy("tag_id").agg(F.max("score").alias("score"))
-
-
-def inward_ratio(tensor: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Share of each chosen tag's edges that end inside the chosen set."""
-    edges = touching(tensor.select("tag_a_id", "tag_b_id"), chosen)
-    inside = chosen.select(F.col("tag_id").alias("partner")).distinct().withColumn("_in", F.lit(1))
-    return edges.join(inside, "partner", "left").groupBy(F.col("seed").alias("tag_id")).agg((F.sum(F.coalesce("_in", F.lit(0))) / F.count(F.lit(1))).alias("inward_ratio"))
-
-
-def prune_by_inward(tensor: DataFrame, chosen: DataFrame, seeds: DataFrame, least: float = 0.2) -> DataFrame:
-    """Chosen tags with an inward ratio of ``least`` or more; seeds always stay.  Scores are times the ratio."""
-    ratio = chosen.join(inward_ratio(tensor, chosen), "tag_id", "left").withColumn("inward_ratio", F.coalesce("inward_ratio", F.lit(0.0)))
-    kept = ratio.join(seeds.select("tag_id").distinct().withColumn("_seed", F.lit(True)), "tag_id", "left")
-    return kept.filter(F.col("_seed") | (F.col("inward_ratio") >= least)).select("tag_id", F.when(F.col("_seed"), F.col("score")).otherwise(F.col("score") * F.col("inward_ratio")).alias("score"), "inward_ratio")
+def _both(tensor: DataFrame, *columns: Column | str) -> DataFrame:
+    """(source, partner, columns) of each edge, from either end."""
+    ends = [("tag_a_id", "tag_b_id"), ("tag_b_id", "tag_a_id")]
+    one, two = (tensor.select(F.col(x).alias("source"), F.col(y).alias("partner"), *columns) for x, y in ends)
+    return one.unionByName(two)
 
 
-def two_hop(tensor: DataFrame, seeds: DataFrame, least: float = 0.05) -> DataFrame:
-    """Tags that seeds signify in two steps: best product of the strengths."""
-    d = directed(tensor).filter(F.col("strength") > least)
-    first = d.join(seeds.select(F.col("tag_id").alias("source")).distinct(), "source", "left_semi").select(F.col("source").alias("seed"), F.col("target").alias("via"), F.col("strength").alias("s1"))
-    second = first.join(d.select(F.col("source").alias("via"), "target", F.col("strength").alias("s2")), "via").filter("target <> seed")
-    return second.groupBy("target").agg(F.max(F.col("s1") * F.col("s2")).alias("strength"), F.countDistinct("via").alias("paths"))
+def fan_out(tensor: DataFrame, seeds: DataFrame, depth: int | None = None, p: Params = Params()) -> DataFrame:
+    """(query_id, tag_id, score) of the tags that a breadth-first walk over the edges finds from the seeds.
 
+    An edge counts by its direct score, halved at each further hop, of
+    ``min_tensor`` at least; a tag counts where it is first found.  Scores are
+    divided by the tag's number of edges, so that hubs don't stand out.
 
-def semiotic_convergence(tensor: DataFrame, seeds: DataFrame, memory_tags: DataFrame, least: float = 0.05, inverse: float = 0.5) -> DataFrame:
-    """How many seeds' meanings meet in each memory: sum over its tags of what seeds signify, the other direction at half."""
-    s = seeds.select("tag_id").distinct()
-    d = directed(tensor).filter(F.col("strength") > least)
-    forward = d.join(s.withColumnRenamed("tag_id", "source"), "source", "left_semi").select(F.col("target").alias("tag_id"), "strength")
-    backward = d.join(s.withColumnRenamed("tag_id", "target"), "target", "left_semi").select(F.col("source").alias("tag_id"), (inverse * F.col("strength")).alias("strength"))
-    tags = forward.unionByName(backward).groupBy("tag_id").agg(F.sum("strength").alias("strength"))
-    return memory_tags.join(tags, "tag_id").groupBy("memory_id").agg(F.sum("strength").alias("convergence"))
+    seeds: (tag_id), or (query_id, tag_id) for many queries at once; without
+    query_id the result has none.  Seeds aren't in the result.
+    """
+    seeds, single = per_query(seeds)
+    edges = _both(tensor, direct_score(p).alias("_s"))
+    visited = front = seeds.select("query_id", "tag_id").distinct()
+    found = None
+    for hop in range(p.fan_depth if depth is None else depth):
+        met = front.join(edges, F.col("tag_id") == F.col("source")).withColumn("_s", F.col("_s") * 0.5**hop).filter(F.col("_s") >= p.min_tensor)
+        new = met.groupBy("query_id", F.col("partner").alias("_t")).agg(F.max("_s").alias("score")).withColumnRenamed("_t", "tag_id").join(visited, ["query_id", "tag_id"], "left_anti")
+        new = cut(new.select("query_id", "tag_id", "score"))
+        found = new if found is None else found.unionByName(new)
+        front = new.select("query_id", "tag_id")
+        visited = visited.unionByName(front)
+    if found is None:
+        found = front.filter("false").withColumn("score", F.lit(0.0))
+    size = degree(tensor).select("tag_id", F.greatest("degree", F.lit(1)).alias("_d"))
+    out = found.join(size, "tag_id").select("query_id", "tag_id", (F.col("score") / F.col("_d")).alias("score"))
+    return out.drop("query_id") if single else out
+
+
+def inward_ratio(tensor: DataFrame, seeds: DataFrame, scores: DataFrame, depth: int | None = None, p: Params = Params()) -> DataFrame:
+    """(query_id, tag_id, score, convergence, inward, ratio) of the scored tags that aren't seeds.
+
+    convergence: share of the query's seeds that reach the tag over scored tags
+    in ``depth`` hops.  inward: edges to seeds over all edges.  ratio is their
+    product.
+    """
+    seeds, _ = per_query(seeds)
+    scores, single = per_query(scores)
+    seeds = seeds.select("query_id", "tag_id").distinct()
+    scored = scores.select("query_id", "tag_id", "score")
+    edges = _both(tensor)
+    inside = scored.select("query_id", F.col("tag_id").alias("partner")).unionByName(seeds.select("query_id", F.col("tag_id").alias("partner"))).distinct()
+    reached = front = seeds.select("query_id", "tag_id", F.col("tag_id").alias("seed"))
+    visited = seeds
+    for _ in range(p.fan_depth if depth is None else depth):
+        step = front.join(edges, F.col("tag_id") == F.col("source")).select("query_id", "partner", "seed").join(inside, ["query_id", "partner"], "left_semi")
+        step = cut(step.select("query_id", F.col("partner").alias("tag_id"), "seed").distinct())
+        reached = reached.unionByName(step)
+        front = step.join(visited, ["query_id", "tag_id"], "left_anti")
+        visited = visited.unionByName(front.select("query_id", "tag_id").distinct())
+    of_query = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    meet = reached.distinct().groupBy("query_id", "tag_id").agg(F.count(F.lit(1)).alias("_c"))
+    to_seeds = seeds.join(edges, F.col("tag_id") == F.col("source")).groupBy("query_id", F.col("partner").alias("_t")).agg(F.count(F.lit(1)).alias("_e")).withColumnRenamed("_t", "tag_id")
+    rest = scored.join(seeds, ["query_id", "tag_id"], "left_anti")
+    out = rest.join(of_query, "query_id").join(meet, ["query_id", "tag_id"], "left").join(to_seeds, ["query_id", "tag_id"], "left").join(degree(tensor), "tag_id", "left")
+    none = F.lit(0)
+    out = out.withColumns({"convergence": F.coalesce("_c", none) / F.col("_n"), "inward": F.when(F.col("degree") > 0, F.coalesce("_e", none) / F.col("degree")).otherwise(0.0)})
+    out = out.select("query_id", "tag_id", "score", "convergence", "inward", (F.col("convergence") * F.col("inward")).alias("ratio"), "_n")
+    return out.drop("query_id") if single else out
+
+
+def prune_by_inward(tensor: DataFrame, seeds: DataFrame, scores: DataFrame, depth: int | None = None, p: Params = Params()) -> DataFrame:
+    """Scores times the inward ratio, of ``min_inward`` * sqrt(seeds / 4) at least; seeds keep their score."""
+    seeds, single = per_query(seeds)
+    scores, _ = per_query(scores)
+    kept = scores.join(seeds.select("query_id", "tag_id").distinct(), ["query_id", "tag_id"], "left_semi").select("query_id", "tag_id", "score")
+    rest = inward_ratio(tensor, seeds, scores, depth, p).filter(F.col("ratio") >= p.min_inward * F.sqrt(F.col("_n") / 4))
+    out = kept.unionByName(rest.select("query_id", "tag_id", (F.col("score") * F.col("ratio")).alias("score")))
+    return out.drop("query_id") if single else out
+
+
+def semiotic_convergence(tensor: DataFrame, seeds: DataFrame, memory_tags: DataFrame, p: Params = Params()) -> DataFrame:
+    """(query_id, memory_id, convergence): how often what the query's tags signify signifies a memory's tags in turn.
+
+    Tags of the query count neither on the way nor at the memory; memories
+    without such a path aren't in the result.  Paths are counted, whatever
+    their strength above ``min_semiotic``.  memory_tags: (memory_id, tag_id),
+    or (query_id, memory_id, tag_id) for candidates of each query.
+    """
+    seeds, single = per_query(seeds)
+    s = seeds.select("query_id", "tag_id").distinct()
+    d = directed(tensor).filter(F.col("strength") > p.min_semiotic).select("source", "target")
+    middle = s.join(d, F.col("tag_id") == F.col("source")).select("query_id", F.col("target").alias("tag_id")).distinct().join(s, ["query_id", "tag_id"], "left_anti")
+    ends = middle.join(d, F.col("tag_id") == F.col("source")).groupBy("query_id", F.col("target").alias("_t")).agg(F.count(F.lit(1)).alias("_c")).withColumnRenamed("_t", "tag_id").join(s, ["query_id", "tag_id"], "left_anti")
+    on = ["query_id", "tag_id"] if "query_id" in memory_tags.columns else ["tag_id"]
+    out = memory_tags.join(ends, on).groupBy("query_id", "memory_id").agg(F.sum("_c").cast("double").alias("convergence"))
+    return out.drop("query_id") if single and "query_id" not in memory_tags.columns else out
 
 
 def filter_hubs(tensor: DataFrame, context: DataFrame, seeds: DataFrame, most: int = 25) -> DataFrame:
-    """Context tags with no more than ``most`` edges to seeds; one without any stays."""
-    edges = touching(tensor.select("tag_a_id", "tag_b_id"), context).join(seeds.select(F.col("tag_id").alias("partner")).distinct(), "partner", "left_semi")
-    hubs = edges.groupBy(F.col("seed").alias("tag_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    return context.join(hubs, "tag_id", "left_anti")
+    """Context tags with no more than ``most`` edges to seeds; one without any stays.  With query_id, each query by itself."""
+    context, single = per_query(context)
+    seeds, _ = per_query(seeds)
+    edges = touching(tensor.select("tag_a_id", "tag_b_id"), context).join(seeds.select("query_id", F.col("tag_id").alias("partner")).distinct(), ["query_id", "partner"], "left_semi")
+    hubs = edges.groupBy("query_id", F.col("seed").alias("tag_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    out = context.join(hubs, ["query_id", "tag_id"], "left_anti")
+    return out.drop("query_id") if single else out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) of edges (a, b), the smallest node of each: labels and pointers in turn, cut by checkpoints."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
@@ -74,8 +126,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         new = cut(step.join(jump, F.col("component") == F.col("_p")).select("node", F.least("component", "_to").alias("component"), "_old"))
         labels = new.select("node", "component")
         if new.filter("component <> _old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components unfinished after {max_rounds} rounds")
+
+
+#: Weights of the channels of retrieval; similarity and tags have theirs in Params.
+CHANNEL_WEIGHTS = {"lexical": 0.15, "resonant": 0.15, "glyph": 0.10, "convergence": 0.12}
 
 
 def hybrid(channels: dict[str, DataFrame], k: int, params: Params = Params()) -> DataFrame:
@@ -83,28 +139,26 @@ def hybrid(channels: dict[str, DataFrame], k: int, params: Params = Params()) ->
 
     channels: name -> (query_id, memory_id, score) for similarity, tags,
     lexical, resonant, glyph, convergence.  Tags count by the similarity of the
-    memory; convergence over the best of the query; the other channels add to
-    candidates of similarity only.
+    memory, convergence over the best of the query.  A memory of any channel
+    is a candidate.
     """
-    weights = {"similarity": params.weight_similarity, "lexical": 0.15, "resonant": 0.15, "glyph": 0.10}
-    base = channels["similarity"].select("query_id", "memory_id", F.col("score").alias("similarity"))
-    total = F.lit(weights["similarity"]) * F.col("similarity")
-    out = base
-    if "tags" in channels:
-        out = out.join(channels["tags"].select("query_id", "memory_id", F.lit(True).alias("_t")).distinct(), ["query_id", "memory_id"], "left")
-        total = total + F.when(F.col("_t"), F.lit(params.weight_tags) * F.col("similarity")).otherwise(0.0)
-    for name in ("lexical", "resonant", "glyph", "convergence"):
-        if name not in channels:
-            continue
-        c = channels[name].select("query_id", "memory_id", F.col("score").alias(f"_{name}"))
-        out = out.join(c, ["query_id", "memory_id"], "left")
-        if name == "convergence":
-            top = F.max("_convergence").over(Window.partitionBy("query_id"))
-            total = total + F.when(F.col("_top") > 0, 0.12 * F.coalesce("_convergence", F.lit(0.0)) / F.col("_top")).otherwise(0.0)
-            out = out.withColumn("_top", F.coalesce(top, F.lit(0.0)))
+    parts = []
+    for name, c in channels.items():
+        c = c.select("query_id", "memory_id", *(["score"] if name != "tags" else []))
+        if name == "similarity":
+            c = c.withColumn("score", params.weight_similarity * F.col("score"))
+        elif name == "tags":
+            c = channels["similarity"].select("query_id", "memory_id", (params.weight_tags * F.col("score")).alias("score")).join(c.distinct(), ["query_id", "memory_id"], "left_semi")
+        elif name == "convergence":
+            top = F.max("score").over(Window.partitionBy("query_id"))
+            c = c.withColumn("_top", top).filter("_top > 0").select("query_id", "memory_id", (CHANNEL_WEIGHTS[name] * F.col("score") / F.col("_top")).alias("score"))
         else:
-            total = total + F.lit(weights[name]) * F.coalesce(f"_{name}", F.lit(0.0))
-    scored = out.select("query_id", "memory_id", total.alias("score"))
+            c = c.withColumn("score", CHANNEL_WEIGHTS[name] * F.col("score"))
+        parts.append(c)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    scored = out.groupBy("query_id", "memory_id").agg(F.round(F.sum("score"), 9).alias("score"))  # sums in any order rank alike
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "memory_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names, or in one of this machine where it names none."""
-    spark = df.sparkSession
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
+    """A checkpoint in the folder that the session names; on one machine, in a folder of its own where none is named."""
+    context = df.sparkSession.sparkContext
+    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
     return df.checkpoint()

@@ -63,12 +63,21 @@ def project(vectors: DataFrame, plane: list[list[float]], column: str = "centroi
     return vectors.withColumn("point", F.array(*[dot(F.col(column), a) for a in axes]))
 
 
+def held(p: Params = Params()) -> Column:
+    """What inhibition takes of an antiparallel edge."""
+    return F.when((F.col("inhibition") > 0) & (F.col("parallelness") < 0), p.weight_inhibition * F.col("inhibition") * -F.col("parallelness")).otherwise(0.0)
+
+
+def per_query(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with a query_id, 0 where they have none, and whether they had none."""
+    return (rows, False) if "query_id" in rows.columns else (rows.withColumn("query_id", F.lit(0)), True)
+
+
 def direct_score(p: Params = Params()) -> Column:
     """Weighted sum of an edge's layers, the bonus of synchronicity with glyph, less active inhibition."""
     sync, glyph = F.col("synchronicity"), F.col("glyph")
     both = F.when((sync > 0) & (glyph > 0), p.weight_meta * sync * glyph).otherwise(0.0)
-    held = p.weight_inhibition * F.col("inhibition") * F.greatest(F.lit(0.0), -F.col("parallelness"))
-    return p.weight_cooccurrence * F.col("cooccurrence") + p.weight_synchronicity * sync + p.weight_semantic * F.col("semantic") + p.weight_glyph * glyph + both - held
+    return p.weight_cooccurrence * F.col("cooccurrence") + p.weight_synchronicity * sync + p.weight_semantic * F.col("semantic") + p.weight_glyph * glyph + both - held(p)
 
 
 def directed(tensor: DataFrame) -> DataFrame:
@@ -84,11 +93,12 @@ def signifies(tensor: DataFrame, seeds: DataFrame, least: float = 0.05, inverse:
 
 
 def touching(tensor: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, partner, edge columns) of the edges at each seed, from either end."""
-    s = seeds.select(F.col("tag_id").alias("seed")).distinct()
+    """(seed, partner, edge columns) of the edges at each seed, from either end; with query_id where seeds have it."""
+    by = ["query_id"] if "query_id" in seeds.columns else []
+    s = seeds.select(*by, F.col("tag_id").alias("seed")).distinct()
     rest = [c for c in tensor.columns if c not in PAIR]
-    a = tensor.join(s, F.col("tag_a_id") == F.col("seed")).select("seed", F.col("tag_b_id").alias("partner"), *rest)
-    return a.unionByName(tensor.join(s, F.col("tag_b_id") == F.col("seed")).select("seed", F.col("tag_a_id").alias("partner"), *rest))
+    a = tensor.join(s, F.col("tag_a_id") == F.col("seed")).select(*by, "seed", F.col("tag_b_id").alias("partner"), *rest)
+    return a.unionByName(tensor.join(s, F.col("tag_b_id") == F.col("seed")).select(*by, "seed", F.col("tag_a_id").alias("partner"), *rest))
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -96,21 +106,52 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("tag_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def partner_scores(tensor: DataFrame, seeds: DataFrame, co_retrieval: DataFrame | None = None, p: Params = Params()) -> DataFrame:
-    """The best score of every partner of the seeds, itself no seed, of min_tensor at least.
+def in_through_out(tensor: DataFrame, seeds: DataFrame, p: Params = Params()) -> DataFrame:
+    """(query_id, tag_id, strength, paths, score) of siblings: tags that a signifier of the seeds signifies too.
 
-    Directed discoveries add at 0.3 of their strength.  co_retrieval:
-    (partner) of tags that were found together with seeds; the gate is open
-    where that is empty.
+    A path's strength is the product of its two edges', the first the strongest
+    from its signifier into the query.  Seeds and signifiers are no siblings.
+    score is the best path times 1 + ln(paths).
+    """
+    seeds, single = per_query(seeds)
+    s = seeds.select("query_id", "tag_id").distinct()
+    d = directed(tensor).filter(F.col("strength") > p.min_semiotic)
+    into = s.join(d, F.col("tag_id") == F.col("target")).groupBy("query_id", F.col("source").alias("_v")).agg(F.max("strength").alias("_in"))
+    via = into.join(s.withColumnRenamed("tag_id", "_v"), ["query_id", "_v"], "left_anti")
+    out = via.join(d, F.col("_v") == F.col("source")).select("query_id", F.col("target").alias("tag_id"), "_v", (F.col("_in") * F.col("strength")).alias("_path"))
+    out = out.join(s, ["query_id", "tag_id"], "left_anti").join(via.select("query_id", F.col("_v").alias("tag_id")), ["query_id", "tag_id"], "left_anti")
+    out = out.groupBy("query_id", "tag_id").agg(F.max("_path").alias("strength"), F.count(F.lit(1)).alias("paths"))
+    out = out.withColumn("score", F.col("strength") * (1 + F.log(F.col("paths").cast("double"))))
+    return out.drop("query_id") if single else out
+
+
+def gated(partners: DataFrame, seeds: DataFrame, co_retrieval: DataFrame | None, p: Params = Params()) -> DataFrame:
+    """Partners (query_id, partner, score) with a co-retrieval edge of ``min_edge`` to a seed; all where a query has no such partner.
+
+    co_retrieval: (tag_a_id, tag_b_id, strength).
     """
-    edges = touching(tensor.withColumn("_s", direct_score(p)), seeds).filter(F.col("_s") >= p.min_tensor).select("partner", F.col("_s").alias("score"))
-    found = signifies(tensor, seeds, p.min_semiotic).select(F.col("target").alias("partner"), (0.3 * F.col("strength")).alias("score"))
-    best = edges.unionByName(found).join(seeds.select(F.col("tag_id").alias("partner")), "partner", "left_anti").groupBy("partner").agg(F.max("score").alias("score"))
     if co_retrieval is None:
-        return best
-    gate = co_retrieval.select("partner").distinct()
-    size = gate.agg(F.count(F.lit(1)).alias("_n"))
-    return best.join(gate.withColumn("_in", F.lit(True)), "partner", "left").crossJoin(F.broadcast(size)).filter("_in or _n = 0").select("partner", "score")
+        return partners
+    met = touching(co_retrieval.filter(F.col("strength") >= p.min_edge).select(*PAIR), seeds).select("query_id", "partner").distinct()
+    marked = partners.join(met.withColumn("_in", F.lit(True)), ["query_id", "partner"], "left")
+    some = F.max(F.coalesce("_in", F.lit(False))).over(Window.partitionBy("query_id"))
+    return marked.withColumn("_some", some).filter(F.coalesce("_in", F.lit(False)) | ~F.col("_some")).select("query_id", "partner", "score")
+
+
+def partner_scores(tensor: DataFrame, seeds: DataFrame, co_retrieval: DataFrame | None = None, p: Params = Params()) -> DataFrame:
+    """(query_id, partner, score): the best score of every partner of the seeds, itself no seed, of min_tensor at least.
+
+    Siblings (``in_through_out``) count at ``weight_directed`` of their score.
+    Partners have to pass the gate of ``gated``.  Without query_id in ``seeds``
+    the result has none.
+    """
+    seeds, single = per_query(seeds)
+    own = seeds.select("query_id", F.col("tag_id").alias("partner")).distinct()
+    edges = touching(tensor.withColumn("_s", direct_score(p)), seeds).filter(F.col("_s") >= p.min_tensor).select("query_id", "partner", F.col("_s").alias("score"))
+    siblings = in_through_out(tensor, seeds, p).select("query_id", F.col("tag_id").alias("partner"), (p.weight_directed * F.col("score")).alias("score"))
+    best = edges.unionByName(siblings).join(own, ["query_id", "partner"], "left_anti").groupBy("query_id", "partner").agg(F.max("score").alias("score"))
+    out = gated(best, seeds, co_retrieval, p)
+    return out.drop("query_id") if single else out
 
 
 def inhibition_score(tensor: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -119,18 +160,37 @@ def inhibition_score(tensor: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def best_of_memories(memory_tags: DataFrame, partners: DataFrame) -> DataFrame:
-    """Each memory's best partner, over the best of all."""
-    best = memory_tags.join(partners.select(F.col("partner").alias("tag_id"), "score"), "tag_id").groupBy("memory_id").agg(F.max("score").alias("s"))
-    top = best.agg(F.max("s").alias("_top"))
-    return best.crossJoin(F.broadcast(top)).select("memory_id", F.when(F.col("_top") > 0, F.col("s") / F.col("_top")).otherwise(0.0).alias("score"))
-
-
-def glyph_associations(tensor: DataFrame, seeds: DataFrame, p: Params = Params()) -> DataFrame:
-    """Partners by glyph edges: glyph + 0.3 co-occurrence less active inhibition, positive, over the best."""
-    held = p.weight_inhibition * F.col("inhibition") * F.greatest(F.lit(0.0), -F.col("parallelness"))
-    edges = touching(tensor.filter("glyph > 0").withColumn("_s", F.col("glyph") + 0.3 * F.col("cooccurrence") - held), seeds).filter("_s > 0")
-    best = edges.groupBy("partner").agg(F.max("_s").alias("s"))
-    return best.crossJoin(F.broadcast(best.agg(F.max("s").alias("_top")))).select("partner", (F.col("s") / F.col("_top")).alias("score"))
+    """(query_id, memory_id, score): each memory's best partner, over the best of the query.
+
+    memory_tags: (memory_id, tag_id), or (query_id, memory_id, tag_id) for the
+    candidates of each query; then the best is that of the partners, as scores
+    of candidates are.  Without query_id in ``partners`` the result has none.
+    """
+    partners, single = per_query(partners)
+    scored = partners.select("query_id", F.col("partner").alias("tag_id"), "score")
+    if "query_id" in memory_tags.columns:
+        top = scored.withColumn("_top", F.max("score").over(Window.partitionBy("query_id")))
+        best = memory_tags.join(top, ["query_id", "tag_id"]).groupBy("query_id", "memory_id").agg(F.max("score").alias("s"), F.first("_top").alias("_top"))
+    else:
+        best = memory_tags.join(scored, "tag_id").groupBy("query_id", "memory_id").agg(F.max("score").alias("s"))
+        best = best.join(best.groupBy("query_id").agg(F.max("s").alias("_top")), "query_id")
+    out = best.select("query_id", "memory_id", F.when(F.col("_top") > 0, F.col("s") / F.col("_top")).otherwise(0.0).alias("score"))
+    return out.drop("query_id") if single else out
+
+
+def glyph_associations(tensor: DataFrame, seeds: DataFrame, memory_tags: DataFrame, co_retrieval: DataFrame | None = None, p: Params = Params()) -> DataFrame:
+    """Memories by glyph edges of the seeds: glyph + 0.3 co-occurrence less active inhibition, where positive.
+
+    Edges between two seeds don't count; partners pass the gate of ``gated``
+    and are resolved as in ``best_of_memories``.
+    """
+    seeds, single = per_query(seeds)
+    own = seeds.select("query_id", F.col("tag_id").alias("partner")).distinct()
+    score = F.col("glyph") + 0.3 * F.col("cooccurrence") - held(p)
+    edges = touching(tensor.filter("glyph > 0").withColumn("_s", score), seeds).filter("_s > 0")
+    best = edges.join(own, ["query_id", "partner"], "left_anti").groupBy("query_id", "partner").agg(F.max("_s").alias("score"))
+    out = best_of_memories(memory_tags, gated(best, seeds, co_retrieval, p))
+    return out.drop("query_id") if single else out
 
 
 def edge_ema(pairs: DataFrame, alpha: float = 0.15) -> DataFrame:

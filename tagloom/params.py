@@ -43,6 +43,8 @@ class Params:
     bridge_bonus: float = 1.0
     min_tensor: float = 0.3
     min_semiotic: float = 0.05
+    min_edge: float = 0.3
+    weight_directed: float = 0.3
     # learning rates
     alpha_centroid: float = 0.1
     alpha_edge: float = 0.15
@@ -53,5 +55,11 @@ class Params:
     weight_similarity: float = 0.7
     weight_tags: float = 0.3
     hub_degree: int = 25
+    fan_depth: int = 1
+    min_inward: float = 0.01
+    lexical_length: int = 3
+    centroid_threshold: float = 0.4
+    context_threshold: float = 0.2
+    context_memories: int = 5
     # documents
     criticality: float = 0.3

@@ -11,8 +11,10 @@ from tagloom.operators import directional as D
 from tagloom.operators import episodes as E
 from tagloom.operators import episodic as EP
 from tagloom.operators import graph as G
+from tagloom.operators import lexical as LX
 from tagloom.operators import memory as M
 from tagloom.operators import motifs as MO
+from tagloom.operators import retrieval as RE
 from tagloom.operators import tensor as T
 from tagloom.operators import text as X
 from tagloom.operators import trends as TR
@@ -23,23 +25,38 @@ from tagloom.sources import sinks as SK
 
 # ---- tensor -------------------------------------------------------------------------------------
 
-_HELD = "0.2e0 * inhibition * greatest(0e0, -parallelness)"
+_HELD = "CASE WHEN inhibition > 0 AND parallelness < 0 THEN 0.2e0 * inhibition * -parallelness ELSE 0e0 END"
 _DIRECT = f"0.5e0 * cooccurrence + 0.3e0 * synchronicity + 0.2e0 * semantic + 0.2e0 * glyph + CASE WHEN synchronicity > 0 AND glyph > 0 THEN 0.4e0 * synchronicity * glyph ELSE 0e0 END - {_HELD}"
 _TOUCH = "(SELECT s.tag_id AS seed, t.tag_b_id AS partner, t.* FROM tensor t JOIN seeds s ON s.tag_id = t.tag_a_id UNION ALL SELECT s.tag_id, t.tag_a_id, t.* FROM tensor t JOIN seeds s ON s.tag_id = t.tag_b_id)"
 _DIRECTED = "(SELECT tag_a_id AS source, tag_b_id AS target, semiotic_forward AS strength FROM tensor UNION ALL SELECT tag_b_id, tag_a_id, semiotic_reverse FROM tensor)"
-_PARTNERS = f"""(SELECT partner, max(score) AS score FROM (SELECT partner, {_DIRECT} AS score FROM {_TOUCH} WHERE {_DIRECT} >= 0.3
-    UNION ALL SELECT target, 0.3e0 * strength FROM {_DIRECTED} WHERE strength > 0.05 AND source IN (SELECT tag_id FROM seeds)) WHERE partner NOT IN (SELECT tag_id FROM seeds) GROUP BY 1)"""
+_SEEDS = "(SELECT tag_id FROM seeds)"
+_INTO = f"(SELECT source AS via, max(strength) AS s FROM {_DIRECTED} WHERE strength > 0.05 AND target IN {_SEEDS} AND source NOT IN {_SEEDS} GROUP BY 1)"
+_SIBLINGS = f"(SELECT target AS tag_id, max(s * strength) AS strength, count(*) AS paths, max(s * strength) * (1 + ln(count(*))) AS score FROM {_INTO} JOIN {_DIRECTED} ON source = via WHERE strength > 0.05 AND target NOT IN {_SEEDS} AND target NOT IN (SELECT via FROM {_INTO}) GROUP BY 1)"
+_OPEN = f"""(SELECT partner, max(score) AS score FROM (SELECT partner, {_DIRECT} AS score FROM {_TOUCH} WHERE {_DIRECT} >= 0.3
+    UNION ALL SELECT tag_id, 0.3e0 * score FROM {_SIBLINGS}) WHERE partner NOT IN {_SEEDS} GROUP BY 1)"""
+_MET = f"(SELECT tag_b_id AS partner FROM co_edges WHERE strength >= 0.3 AND tag_a_id IN {_SEEDS} UNION SELECT tag_a_id FROM co_edges WHERE strength >= 0.3 AND tag_b_id IN {_SEEDS})"
 
 
-@query("partner_scores", f"SELECT * FROM {_PARTNERS} WHERE partner % 3 <> 0", "score")
+def _gated(partners: str) -> str:
+    return f"(SELECT * FROM {partners} WHERE partner IN {_MET} OR NOT EXISTS (SELECT 1 FROM {partners} WHERE partner IN {_MET}))"
+
+
+_PARTNERS = _gated(_OPEN)
+
+
+@query("partner_scores", f"SELECT * FROM {_PARTNERS}", "score")
 def partner_scores(t):  # noqa: ANN001, ANN201
-    gate = t("event_tags").filter("tag_id % 3 <> 0").select(F.col("tag_id").alias("partner"))
-    return T.partner_scores(t("tensor"), t("seeds"), gate, P)
+    return T.partner_scores(t("tensor"), t("seeds"), t("co_edges"), P)
 
 
-@query("partner_scores_open_gate", f"SELECT * FROM {_PARTNERS}", "score")
+@query("partner_scores_open_gate", f"SELECT * FROM {_OPEN}", "score")
 def partner_scores_open(t):  # noqa: ANN001, ANN201
-    return T.partner_scores(t("tensor"), t("seeds"), t("event_tags").filter("false").select(F.col("tag_id").alias("partner")), P)
+    return T.partner_scores(t("tensor"), t("seeds"), t("co_edges").filter("strength > 1"), P)
+
+
+@query("expand_in_through_out", f"SELECT * FROM {_SIBLINGS}", "strength, score")
+def siblings(t):  # noqa: ANN001, ANN201
+    return T.in_through_out(t("tensor"), t("seeds"))
 
 
 @query("signifies", f"SELECT * FROM {_DIRECTED} WHERE strength > 0.05 AND source IN (SELECT tag_id FROM seeds)", "strength")
@@ -62,17 +79,25 @@ def inhibition(t):  # noqa: ANN001, ANN201
     return T.inhibition_score(t("tensor"), t("pairs").filter("tag_a_id < 10 and tag_b_id < 20"))
 
 
-@query("resonant_memories", f"SELECT memory_id, s / max(s) OVER () AS score FROM (SELECT memory_id, max(score) AS s FROM user_tags JOIN {_PARTNERS} ON partner = tag_id GROUP BY 1)", "score")
+_RESONANT = f"(SELECT memory_id, s / max(s) OVER () AS score FROM (SELECT memory_id, max(score) AS s FROM user_tags JOIN {_PARTNERS} ON partner = tag_id GROUP BY 1))"
+
+
+@query("resonant_memories", f"SELECT * FROM {_RESONANT}", "score")
 def resonant(t):  # noqa: ANN001, ANN201
-    return T.best_of_memories(t("user_tags"), T.partner_scores(t("tensor"), t("seeds")))
+    return T.best_of_memories(t("user_tags"), T.partner_scores(t("tensor"), t("seeds"), t("co_edges")))
 
 
 _GLYPH = f"glyph + 0.3e0 * cooccurrence - {_HELD}"
+_GLYPHS = _gated(f"(SELECT partner, max({_GLYPH}) AS s FROM {_TOUCH} WHERE glyph > 0 AND {_GLYPH} > 0 AND partner NOT IN {_SEEDS} GROUP BY 1)")
+
 
+def _associated(memory_tags: str) -> str:
+    return f"(SELECT memory_id, s / max(s) OVER () AS score FROM (SELECT memory_id, max(s) AS s FROM {memory_tags} JOIN {_GLYPHS} ON partner = tag_id GROUP BY 1))"
 
-@query("glyph_associations", f"SELECT partner, s / max(s) OVER () AS score FROM (SELECT partner, max({_GLYPH}) AS s FROM {_TOUCH} WHERE glyph > 0 AND {_GLYPH} > 0 GROUP BY 1)", "score")
+
+@query("glyph_associations", f"SELECT * FROM {_associated('user_tags')}", "score")
 def glyphs(t):  # noqa: ANN001, ANN201
-    return T.glyph_associations(t("tensor"), t("seeds"))
+    return T.glyph_associations(t("tensor"), t("seeds"), t("user_tags"), t("co_edges"))
 
 
 _LIST = "(SELECT tag_a_id, tag_b_id, round(cooccurrence, 9) AS strength FROM tensor WHERE tag_a_id < 6 AND tag_b_id < 10)"
@@ -139,31 +164,50 @@ def projection(t):  # noqa: ANN001, ANN201
 # ---- graph --------------------------------------------------------------------------------------
 
 
-@query("fan_out", "WITH w AS (SELECT tag_a_id AS a, tag_b_id AS b, glyph AS weight FROM tensor WHERE glyph >= 0.3 UNION ALL SELECT tag_b_id, tag_a_id, glyph FROM tensor WHERE glyph >= 0.3), one AS (SELECT b AS tag_id, max(weight * 0.5e0) AS score FROM w JOIN seeds ON tag_id = a GROUP BY 1), two AS (SELECT b AS tag_id, max(score * weight * 0.5e0) AS score FROM w JOIN one ON tag_id = a GROUP BY 1) SELECT tag_id, max(score) AS score FROM (SELECT tag_id, 1e0 AS score FROM seeds UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1", "score")
+_BOTH = f"(SELECT tag_a_id AS a, tag_b_id AS b, {_DIRECT} AS s FROM tensor UNION ALL SELECT tag_b_id, tag_a_id, {_DIRECT} FROM tensor)"
+_DEGREE = "(SELECT tag_id, count(*) AS n FROM (SELECT tag_a_id AS tag_id FROM tensor UNION ALL SELECT tag_b_id FROM tensor) GROUP BY 1)"
+_TERMS = "(SELECT tag_id, name AS term FROM tags WHERE is_active AND NOT regexp_matches(name, '^(month-|day-)') AND length(name) > 1 AND NOT regexp_full_match(name, '[0-9]+') UNION SELECT tag_id, term FROM (SELECT tag_id, name, unnest(regexp_split_to_array(name, '[-_]')) AS term FROM tags WHERE is_active AND NOT regexp_matches(name, '^(month-|day-)')) WHERE regexp_matches(name, '[-_]') AND length(term) >= 3)"
+_WORDS = "(SELECT query_id, w[i] AS token, CASE WHEN i < len(w) THEN w[i] || '-' || w[i + 1] END AS compound FROM (SELECT query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3) AS w FROM queries), (SELECT unnest(range(1, 40)) AS i) WHERE i <= len(w))"
+_MATCHED = f"(SELECT DISTINCT query_id, tag_id FROM {_WORDS} JOIN {_TERMS} ON term = token OR term = compound)"
+_FAN = f"(SELECT query_id, b AS tag_id, max(s) / max(n) AS score FROM {_MATCHED} q JOIN {_BOTH} ON a = q.tag_id JOIN {_DEGREE} d ON d.tag_id = b WHERE s >= 0.3 AND (query_id, b) NOT IN (SELECT (query_id, tag_id) FROM {_MATCHED}) GROUP BY 1, 2)"
+
+
+@query("lexical_match", f"SELECT * FROM {_MATCHED}")
+def lexical_match(t):  # noqa: ANN001, ANN201
+    return LX.lexical_match(t("queries"), t("tags"))
+
+
+@query("fan_out", f"SELECT * FROM {_FAN}", "score")
 def fan_out(t):  # noqa: ANN001, ANN201
-    return G.fan_out(t("tensor").select(*T.PAIR, F.col("glyph").alias("weight")), t("seeds").withColumn("score", F.lit(1.0)), least=0.3)
+    return G.fan_out(t("tensor"), LX.lexical_match(t("queries"), t("tags")))
 
 
-_CHOSEN = "(SELECT tag_id FROM event_tags WHERE tag_id % 4 = 0)"
-_INWARD = f"(SELECT s.tag_id, sum(CASE WHEN o.tag_id IS NULL THEN 0 ELSE 1 END) / CAST(count(*) AS DOUBLE) AS inward_ratio FROM {_CHOSEN} s JOIN (SELECT tag_a_id AS a, tag_b_id AS b FROM tensor UNION ALL SELECT tag_b_id, tag_a_id FROM tensor) e ON e.a = s.tag_id LEFT JOIN {_CHOSEN} o ON o.tag_id = e.b GROUP BY 1)"
+_INWARD = f"""(WITH m AS {_MATCHED}, f AS {_FAN}, c AS (SELECT query_id, count(*) AS k FROM m GROUP BY 1)
+    SELECT f.query_id, f.tag_id, f.score, count(b) / CAST(max(k) AS DOUBLE) AS convergence, count(b) / CAST(max(n) AS DOUBLE) AS inward, count(b) / CAST(max(k) AS DOUBLE) * count(b) / max(n) AS ratio, max(k) AS k
+    FROM f JOIN c USING (query_id) JOIN {_DEGREE} d ON d.tag_id = f.tag_id LEFT JOIN m ON m.query_id = f.query_id LEFT JOIN {_BOTH} e ON e.a = m.tag_id AND e.b = f.tag_id GROUP BY 1, 2, 3)"""
 
 
-@query("inward_ratio", f"SELECT * FROM {_INWARD}", "inward_ratio")
+@query("inward_ratio", f"SELECT query_id, tag_id, convergence, inward, ratio FROM {_INWARD}", "convergence, inward, ratio")
 def inward(t):  # noqa: ANN001, ANN201
-    return G.inward_ratio(t("tensor"), t("event_tags").filter("tag_id % 4 = 0"))
+    seeds = cut(LX.lexical_match(t("queries"), t("tags")))
+    return G.inward_ratio(t("tensor"), seeds, G.fan_out(t("tensor"), seeds)).select("query_id", "tag_id", "convergence", "inward", "ratio")
 
 
-@query("prune_by_inward", f"SELECT c.tag_id, CASE WHEN c.tag_id < 5 THEN 1e0 ELSE coalesce(inward_ratio, 0e0) END AS score, coalesce(inward_ratio, 0e0) AS inward_ratio FROM {_CHOSEN} c LEFT JOIN {_INWARD} i USING (tag_id) WHERE c.tag_id < 5 OR coalesce(inward_ratio, 0e0) >= 0.25", "score, inward_ratio")
+@query("prune_by_inward", f"SELECT query_id, tag_id, score * ratio AS score FROM {_INWARD} WHERE ratio >= 0.01e0 * sqrt(k / 4e0) UNION ALL SELECT query_id, tag_id, 1e0 FROM {_MATCHED}", "score")
 def prune_inward(t):  # noqa: ANN001, ANN201
-    return G.prune_by_inward(t("tensor"), t("event_tags").filter("tag_id % 4 = 0").withColumn("score", F.lit(1.0)), t("seeds"), 0.25)
+    seeds = cut(LX.lexical_match(t("queries"), t("tags")))
+    return G.prune_by_inward(t("tensor"), seeds, G.fan_out(t("tensor"), seeds).unionByName(seeds.withColumn("score", F.lit(1.0))))
 
 
-@query("semiotic_two_hop", f"SELECT target, max(s) AS strength, count(DISTINCT via) AS paths FROM (SELECT x.target AS via, y.target, x.strength * y.strength AS s FROM {_DIRECTED} x JOIN {_DIRECTED} y ON y.source = x.target WHERE x.strength > 0.05 AND y.strength > 0.05 AND x.source IN (SELECT tag_id FROM seeds) AND y.target <> x.source) GROUP BY 1", "strength")
-def two_hop(t):  # noqa: ANN001, ANN201
-    return G.two_hop(t("tensor"), t("seeds"))
+@query("score_lexical")
+def score_lexical(t):  # noqa: ANN001, ANN201
+    return LX.score_lexical(t("queries"), t("tags"), t("tensor"), t("user_tags"))[0]
 
 
-@query("semiotic_convergence", f"SELECT memory_id, sum(strength) AS convergence FROM user_tags JOIN (SELECT tag_id, sum(strength) AS strength FROM (SELECT target AS tag_id, strength FROM {_DIRECTED} WHERE strength > 0.05 AND source IN (SELECT tag_id FROM seeds) UNION ALL SELECT source, 0.5e0 * strength FROM {_DIRECTED} WHERE strength > 0.05 AND target IN (SELECT tag_id FROM seeds)) GROUP BY 1) USING (tag_id) GROUP BY 1", "convergence")
+_CONVERGED = f"(SELECT target AS tag_id, count(*) AS c FROM {_DIRECTED} WHERE strength > 0.05 AND target NOT IN {_SEEDS} AND source NOT IN {_SEEDS} AND source IN (SELECT target FROM {_DIRECTED} WHERE strength > 0.05 AND source IN {_SEEDS}) GROUP BY 1)"
+
+
+@query("semiotic_convergence", f"SELECT memory_id, CAST(sum(c) AS DOUBLE) AS convergence FROM user_tags JOIN {_CONVERGED} USING (tag_id) GROUP BY 1", "convergence")
 def sem_convergence(t):  # noqa: ANN001, ANN201
     return G.semiotic_convergence(t("tensor"), t("seeds"), t("user_tags"))
 
@@ -184,26 +228,28 @@ def components(t):  # noqa: ANN001, ANN201
     return G.connected_components(edges)
 
 
-@query(
-    "retrieve_hybrid",
-    """WITH s AS (SELECT retrieval_id AS query_id, memory_id, score / 500e0 AS sim FROM results WHERE retrieval_id % 100 = 7), c AS (SELECT *, (memory_id % 13) / 13e0 AS conv FROM s)
-       SELECT query_id, memory_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM (
-       SELECT query_id, memory_id, 0.7e0 * sim + CASE WHEN memory_id % 3 = 0 THEN 0.3e0 * sim ELSE 0e0 END + 0.15e0 * CASE WHEN memory_id % 5 = 0 THEN 0.5e0 ELSE 0e0 END + CASE WHEN max(conv) OVER (PARTITION BY query_id) > 0 THEN 0.12e0 * conv / max(conv) OVER (PARTITION BY query_id) ELSE 0e0 END AS score FROM c)) WHERE rank <= 5""",
-    "score",
-)
-def hybrid(t):  # noqa: ANN001, ANN201
-    return _hybrid(t("results").filter("retrieval_id % 100 = 7"))
-
+_SCORED = f"""(WITH r AS (SELECT retrieval_id AS query_id, memory_id, score / 500e0 AS sim, tag_id, event_type FROM results JOIN event_memories USING (memory_id)),
+    p AS {_PARTNERS}, g AS {_GLYPHS},
+    c AS (SELECT r.*, c, max(coalesce(c, 0)) OVER (PARTITION BY query_id) AS top, p.score AS ps, max(p.score) OVER (PARTITION BY query_id) AS ptop FROM r LEFT JOIN {_CONVERGED} v ON v.tag_id = r.tag_id LEFT JOIN p ON p.partner = r.tag_id)
+    SELECT query_id, memory_id, 0.7e0 * sim + CASE WHEN event_type = 'purchase' THEN 0.3e0 * sim ELSE 0e0 END + 0.15e0 * coalesce(ps / ptop, 0e0) + 0.1e0 * coalesce(g.s / (SELECT max(s) FROM g), 0e0)
+      + CASE WHEN top > 0 THEN 0.12e0 * coalesce(c, 0) / top ELSE 0e0 END AS score FROM c LEFT JOIN g ON g.partner = tag_id)"""
 
-def _hybrid(results: DataFrame) -> DataFrame:
-    s = results.select(F.col("retrieval_id").alias("query_id"), "memory_id", (F.col("score") / 500.0).alias("score"))
-    lexical = s.filter("memory_id % 5 = 0").withColumn("score", F.lit(0.5))
-    return G.hybrid({"similarity": s, "tags": s.filter("memory_id % 3 = 0"), "lexical": lexical, "convergence": s.withColumn("score", (F.col("memory_id") % 13) / F.lit(13.0))}, 5)
 
-
-@query("retrieve_hybrid_all")
-def hybrid_all(t):  # noqa: ANN001, ANN201
-    return _hybrid(t("results"))
+@query("retrieve_hybrid", f"SELECT query_id, memory_id, score, rank FROM (SELECT query_id, memory_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) AS rank FROM {_SCORED}) WHERE rank <= 5", "score")
+def hybrid(t):  # noqa: ANN001, ANN201
+    """Channels of the results of every retrieval, with the seeds as context of each."""
+    found = t("results").select(F.col("retrieval_id").alias("query_id"), "memory_id", (F.col("score") / 500.0).alias("score"))
+    tags, tensor = t("event_memories"), cut(t("tensor"))
+    candidates = cut(found.join(tags, "memory_id").select("query_id", "memory_id", "tag_id"))
+    context = cut(found.select("query_id").distinct().crossJoin(F.broadcast(t("seeds"))))
+    bought = found.join(tags.filter("event_type = 'purchase'"), "memory_id").select("query_id", "memory_id")
+    channels = {
+        "similarity": found, "tags": bought,
+        "resonant": RE.resonant(tensor, context, candidates, t("co_edges"), None, found),
+        "glyph": T.glyph_associations(tensor, context, candidates, t("co_edges")),
+        "convergence": G.semiotic_convergence(tensor, context, candidates).withColumnRenamed("convergence", "score"),
+    }
+    return G.hybrid(channels, 5)
 
 
 @query("deep_retrieve")

@@ -32,6 +32,11 @@ RELATIONS: dict[str, str] = {
         greatest(0e0, cos(2.1e0 * tag_a_id + tag_b_id)) AS glyph,
         greatest(0e0, sin(0.4e0 * (tag_a_id + tag_b_id))) AS inhibition,
         cos(1.7e0 * (tag_a_id - tag_b_id)) AS parallelness FROM pairs WHERE cnt >= 2""",
+    "co_edges": "SELECT x.tag_id AS tag_a_id, y.tag_id AS tag_b_id, 1 - power(0.85e0, count(*)) AS strength FROM session_tags x JOIN session_tags y ON x.retrieval_id = y.retrieval_id AND x.tag_id < y.tag_id GROUP BY 1, 2",
+    # Tags are named by parts; the first of each type has the type's name alone.
+    "tags": "SELECT p_partkey AS tag_id, CASE WHEN row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) = 1 THEN lower(p_type) ELSE replace(p_name, ' ', '-') END AS name, p_size > 2 AS is_active FROM part WHERE p_partkey IN (SELECT tag_id FROM event_tags)",
+    "queries": "SELECT p_partkey AS query_id, concat(p_name, ' of the ', p_type, ', ', p_brand) AS text FROM part WHERE p_partkey % 20 = 0",
+    "event_memories": "SELECT event_id AS memory_id, tag_id, event_type FROM tag_events",
     "seeds": "SELECT tag_id FROM event_tags WHERE tag_id < 5",
     "vectors": "SELECT vec_id AS memory_id, 0 AS chunk_index, label AS tag_id, embedding FROM embeddings",
     "near_pairs": """SELECT a.vec_id AS memory_a, b.vec_id AS memory_b, a.label AS tag_a, b.label AS tag_b, (a.vec_id + b.vec_id) % 100 / 100e0 AS similarity

@@ -128,9 +128,10 @@ def test_gate_fails_open(spark):
     columns = "tag_a_id int, tag_b_id int, cooccurrence double, synchronicity double, semantic double, semiotic_forward double, semiotic_reverse double, glyph double, inhibition double, parallelness double"
     t = spark.createDataFrame([(1, 2, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], columns)
     seeds = spark.createDataFrame([(1,)], "tag_id int")
-    empty = spark.createDataFrame([], "partner int")
-    other = spark.createDataFrame([(9,)], "partner int")
-    assert tensor.partner_scores(t, seeds, empty).count() == 1 and tensor.partner_scores(t, seeds, other).count() == 0
+    t = t.unionByName(spark.createDataFrame([(1, 3, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], columns))
+    for edges, want in (([], {2, 3}), ([(1, 9, 0.9)], {2, 3}), ([(1, 3, 0.2)], {2, 3}), ([(1, 3, 0.9), (2, 3, 0.9)], {3})):
+        gate = spark.createDataFrame(edges, "tag_a_id int, tag_b_id int, strength double")
+        assert {r["partner"] for r in tensor.partner_scores(t, seeds, gate).collect()} == want
 
 
 def test_tags_and_hashes(spark):

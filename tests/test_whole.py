@@ -46,7 +46,7 @@ def test_searches_take_every_twentieth_row(spark):
     assert {r["query_id"] for r in cells} == set(queries)
     assert sum(r["memory_id"] in true[r["query_id"]] for r in cells) >= 0.9 * 10 * len(queries)
     assert {r["query_id"] for r in catalog.QUERIES["deep_retrieve"](spark, SF).collect()} == set(queries)
-    hybrid = catalog.QUERIES["retrieve_hybrid_all"](spark, SF).select("query_id").distinct().count()
+    hybrid = catalog.QUERIES["retrieve_hybrid"](spark, SF).select("query_id").distinct().count()
     assert hybrid == spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id * 100 + extract(day FROM ts)").distinct().count()
 
 
@@ -84,7 +84,6 @@ WIDER = {
     "select_edges": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
     "square_motifs": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
     "zigzag_classes": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
-    "retrieve_hybrid": {"WHERE retrieval_id % 100 = 7": ""},
     "vector_top_k": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
     "retrieve_semantic": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
 }
