@@ -24,11 +24,13 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, or a folder of this machine where none is named."""
+    """The shared folder that the cluster names; on one machine, a folder of its own where none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tagloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

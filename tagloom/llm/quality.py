@@ -26,9 +26,10 @@ SHARED = [UPPER, DIGIT, MARK, BAR, SYMBOL, 9, 11, 12]
 
 @dataclass(frozen=True)
 class QualityParams:
-    """sample_docs: the field is learned from about so many labelled documents, chosen by a hash of the id."""
+    """sample_docs, sample_bytes: the field is learned from about so many labelled documents, and bytes, chosen by a hash of id and text."""
 
     sample_docs: int = 4000
+    sample_bytes: int = 24 << 20
     rounds: int = 150
     rate: float = 0.1
     seed: int = 3
@@ -105,10 +106,11 @@ class QualityModel:
         return logistic(self.summary(features, sizes, starts), self.last)
 
 
-def sampled(rows: DataFrame, size: int, seed: int) -> DataFrame:
-    """About ``size`` of the rows, by a hash of the id; whole table if it has no more."""
-    n = rows.count()
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, size / max(n, 1)))))
+def sampled(rows: DataFrame, docs: int, size: int, seed: int) -> DataFrame:
+    """About ``docs`` of the rows and ``size`` bytes of text, by a hash of id and text; the whole table if it has no more."""
+    n = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    part = min(1.0, docs / max(n["docs"], 1), size / max(n["bytes"] or 0, 1))
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * part)))
 
 
 def labelled_rows(rows: DataFrame, labels: DataFrame, label_col: str, learn_from: Column | None, label_id: str = "doc_id") -> DataFrame:
@@ -134,7 +136,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
     p, spark = params, docs.sparkSession
     small_batches(spark)
     rows = narrow(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
-    chosen = materialise(sampled(labelled_rows(rows, labels, label_col, learn_from), p.sample_docs, p.seed), "quality-sample")
+    chosen = materialise(sampled(labelled_rows(rows, labels, label_col, learn_from), p.sample_docs, p.sample_bytes, p.seed), "quality-sample")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
             y = pdf["y"].to_numpy()[np.cumsum(starts) - 1]
             yield pd.DataFrame({"x": list(features), "size": sizes, "start": starts, "y": y})
 
-    # The sample is bounded by sample_docs.
+    # The sample is bounded by sample_docs and sample_bytes.
     known = chosen.mapInPandas(extract, "x array<double>, size double, start boolean, y double").toPandas()
     share = float(known["y"][known["start"]].mean()) if len(known) else 0.5
     model = None

@@ -22,7 +22,7 @@ PREFIXES = (4, 5, 6, 7)
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """lexicon_docs, chain_docs: labelled documents, about, that the features and the field are learned from (by a hash of the id).
+    """lexicon_docs, chain_docs: labelled documents, about, that the features and the field are learned from (by a hash of id and text); sample_bytes of text at most of the first, a share of it of the second.
 
     least, ratio: a feature marks a token as toxic in learning if it is in so
     many toxic documents and so much likelier in toxic than in other ones.
@@ -30,6 +30,7 @@ class ToxicityParams:
 
     lexicon_docs: int = 8000
     chain_docs: int = 1500
+    sample_bytes: int = 48 << 20
     least: int = 4
     ratio: float = 6.0
     rounds: int = 60
@@ -128,7 +129,7 @@ class ToxicityModel:
 
 def learn(rows: DataFrame, labels: DataFrame, label_col: str, learn_from: Column | None, p: ToxicityParams) -> tuple[ToxicityModel | None, float]:
     """(model, share of toxic documents); no model without documents of both kinds."""
-    chosen = materialise(sampled(labelled_rows(rows, labels, label_col, learn_from), p.lexicon_docs, p.seed), "toxic-sample")
+    chosen = materialise(sampled(labelled_rows(rows, labels, label_col, learn_from), p.lexicon_docs, p.sample_bytes, p.seed), "toxic-sample")
     n = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     toxic, clean = sum(v for k, v in n.items() if k > 0), sum(v for k, v in n.items() if k <= 0)
     share = toxic / (toxic + clean) if toxic + clean else 0.5
@@ -150,7 +151,7 @@ def learn(rows: DataFrame, labels: DataFrame, label_col: str, learn_from: Column
         return None, share
     marks = (lexicon["ratio"] >= p.ratio).to_numpy()
     fraction = min(1.0, p.chain_docs / (toxic + clean))
-    picked = chosen.filter(F.pmod(F.xxhash64(F.lit(p.seed + 1), "id"), F.lit(1 << 30)) < F.lit(int(fraction * (1 << 30)))).orderBy("id").select("text", "y").toPandas()
+    picked = chosen.filter(F.pmod(F.xxhash64(F.lit(p.seed + 1), "id", "text"), F.lit(1 << 30)) < F.lit(int(fraction * (1 << 30)))).orderBy("id", "text").select("text", "y").toPandas()
     if picked["y"].gt(0).nunique() < 2:
         return None, share
     known = {f: i for i, f in enumerate(lexicon["f"])}

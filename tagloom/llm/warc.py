@@ -134,14 +134,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     writes one monolithic gzip stream, normalises it and drops the stream.  A
     task that runs again writes the same files anew under the same names.
 
-    Null html is an empty payload, null url an empty one.  Rows without id are
-    revisits of a page that has one, else all but one of them are.
+    Null html is an empty payload, null url an empty one.  A row without id
+    revisits the page of its group with the smallest id; where no page of a
+    group has an id there is nothing to refer to, and all are responses.
+    Repeated rows of the smallest id are responses each.  An empty table gives
+    no archive.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = narrow(pages, id=id_col, url=url_col, html=html_col).select("id", F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body, 256).alias("key"))
     first = rows.groupBy("key").agg(F.min("id").alias("keeper"))
     joined = rows.join(first, "key").select("id", "url", "html", "keeper")
-    # Repeated rows of the keeping id: each is a response.
     schema = "path string, records long"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

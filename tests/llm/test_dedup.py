@@ -153,6 +153,19 @@ def test_remove(spark, crowd):
     assert sum(x[1] for x in got.values()) > 1000
 
 
+def test_digests_tell_fragments_apart():
+    """The two digests of every run of strings: equal for equal bytes wherever they stand, different otherwise."""
+    rng, p = random.Random(4), SuffixParams(span=20, gram=6)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 60))) for _ in range(60)]
+    texts = ["".join(rng.choice(parts) for _ in range(12)).encode() for _ in range(30)]
+    doc, start, count, anchor, one, two = cut(texts, p)
+    seen: dict[tuple, bytes] = {}
+    for d, s, c, *key in zip(doc, start, count, anchor, one, two, strict=True):
+        raw = texts[d][s : s + c + 19]
+        assert seen.setdefault((c, *key), raw) == raw
+    assert len(set(seen.values())) == len({k[2:] for k in seen}) == len({k[3:] for k in seen})
+
+
 def test_remove_edges(spark):
     long = "abcdefghij" * 15
     rows = [(None, long, "a", "b"), (4, long, "a", "b"), (4, long, "a", "b"), (5, None, "a", "b")]

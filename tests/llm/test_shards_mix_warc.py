@@ -79,6 +79,42 @@ def test_mix(spark):
     assert sorted(map(tuple, again.fillna(-1, ["id"]).select("id", "size", "taken").collect())) == sorted((-1 if r["id"] is None else r["id"], r["size"], r["taken"]) for r in got)
 
 
+def plain_mix(rows, block, cap=3):
+    """Words that each document gives, by the schedule slot by slot."""
+    import hashlib
+
+    sizes = [len((t or "").split()) for _, t, *_ in rows]
+    by_source = defaultdict(list)
+    for n, (i, _, _, s) in enumerate(rows):
+        by_source[s].append((hashlib.md5(f"mix{i}".encode()).hexdigest(), i, sizes[n], n))
+    total = {s: sum(x[2] for x in v) for s, v in by_source.items()}
+    target = water(total)
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    ends, run = [], 0.0
+    for s in order:
+        run += target[s]
+        ends.append(run / sum(total.values()))
+    slots = Counter()
+    for j in range(-(-sum(total.values()) // block)):
+        u = (j * 0.6180339887498949) % 1.0
+        slots[next((s for s, e in zip(order, ends) if u < e and total[s]), order[-1])] += 1
+    taken = [0] * len(rows)
+    for s, docs in by_source.items():
+        blocks = -(-total[s] // block)
+        times = Counter(r % blocks for r in range(min(slots[s], cap * blocks))) if blocks else {}
+        at = 0
+        for _, _, size, n in sorted(docs):
+            taken[n] = sum(times.get(w // block, 0) for w in range(at, at + size))
+            at += size
+    return taken
+
+
+def test_mix_equals_the_schedule_slot_by_slot(spark):
+    rows = [(i, " ".join(["w"] * (i * 7 % 40)), "en", f"s{i % 4}") for i in range(120)]
+    got = {r["id"]: r["taken"] for r in mix(frame(spark, rows), block_words=16).collect()}
+    assert [got[i] for i, *_ in rows] == plain_mix(rows, 16)
+
+
 def test_mix_nothing(spark):
     assert mix(frame(spark, [])).count() == 0
     got = mix(frame(spark, [(1, None, "a", "s"), (2, " \t ", "a", None)])).collect()
@@ -90,7 +126,7 @@ PAGES = "page_id long, url string, html string"
 
 def test_archives(spark):
     rows = [(5, "u5", "same"), (2, "u2", "same"), (9, None, "same"), (3, "u3", None), (4, "u4", ""), (1, "u\r\n1", "é" * 5000), (8, "u", "x\r\n\r\ny"), (-7, "u", "only")]
-    df = spark.createDataFrame(rows, PAGES).withColumn("PAGE_ID2", F.lit(1))
+    df = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS PAGE_ID", "'h' AS HTML", "2 AS key", "3 AS keeper")
     got = {r["page_id"]: r for r in warc.archive_pages(df).collect()}
     assert len(got) == len(rows)
     first = {"same": 2, "": 3}
@@ -104,6 +140,12 @@ def test_archives(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_archives_without_ids_and_with_repeats(spark):
+    rows = [(None, "u", "a"), (None, "u", "a"), (3, "u", "b"), (None, "u", "b"), (3, "u", "b"), (4, "u", "b")]
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.archive_pages(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == sorted([("None", "response", None), ("None", "response", None), ("3", "response", None), ("3", "response", None), ("None", "revisit", 3), ("4", "revisit", 3)], key=lambda r: (r[0], r[1]))
+
+
 def test_normaliser(tmp_path):
     made = [warc.record(i, f"u{i}", bytes([i]) * (i * 1000), None, False) for i in range(1, 40)]
     mono, out = str(tmp_path / "m.gz"), str(tmp_path / "n.warc.gz")
