@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import materialise, narrow, small_batches
 
 U = np.uint64
-#: Sizes of windows, about a factor of sqrt(2) apart.
-SIZES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 45, 64, 91, 128)
+#: Sizes of windows.  Those from ANCHORED on begin at anchors only: one word of EVERY, by its hash.
+SIZES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 32, 64, 128)
+ANCHORED, EVERY = 16, 3
 #: Windows of fewer words are sampled at a step less, such of more words at twice as many samples.
-SHORT, LONG = 11, 91
+SHORT, LONG = 11, 64
 #: Places of documents that walk together.
 PIECE = 1 << 14
 #: Bits of one block of the filter, and bytes of rows in a batch.
@@ -36,7 +37,7 @@ class DecontaminationParams:
     """
 
     similarity: float = 0.8
-    walks: int = 4
+    walks: int = 3
     samples: int = 6
     bits: int = 3
     filter_bits: int = 26
@@ -46,13 +47,17 @@ class DecontaminationParams:
         return int((1 - self.similarity) * words + 1e-9)
 
 
+#: ASCII bytes that are no letters or digits.
+MARKS = bytes(i for i in range(128) if not chr(i).isalnum())
+
+
 class PlainWords(dict):
     """Hashes of words in plain form (letters and digits, case-folded); 0 for a word with neither."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 1_000_000:
             self.clear()
-        form = "".join(c for c in word.decode("utf-8", "replace").casefold() if c.isalnum())
+        form = word.lower().translate(None, MARKS).decode() if word.isascii() else "".join(c for c in word.decode("utf-8", "replace").casefold() if c.isalnum())
         self[word] = h = (xxhash.xxh3_64_intdigest(form) | 1) if form else 0
         return h
 
@@ -125,18 +130,29 @@ def probes(keys: np.ndarray, width: int) -> list[np.ndarray]:
     return [((keys * U(f)) >> U(64 - width)).astype(np.int64) for f in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def parts_of(size: int) -> tuple[int, list[int]]:
-    """(size of the windows, offsets of the windows that cover an item of ``size`` words)."""
-    n = max(x for x in SIZES if x <= size)
-    return n, [*range(0, size - n, n), size - n]
+def anchors(words: np.ndarray) -> np.ndarray:
+    """Which words windows begin at."""
+    return (words != 0) & ((words * U(0xD6E8FEB86659FD93) >> U(32)) % U(EVERY) == 0)
+
 
+def parts_of(words: np.ndarray) -> tuple[int, list[int]]:
+    """(size of the windows, offsets of the windows of an item): the largest size that leaves room for two anchors, some distance apart."""
+    for n in reversed([x for x in SIZES if x <= len(words)]):
+        last = len(words) - n
+        if n < ANCHORED:
+            return n, [*range(0, last, n), last]
+        offsets = []
+        for at in np.flatnonzero(anchors(words[: last + 1])).tolist():
+            if not offsets or at - offsets[-1] >= n // 8:
+                offsets.append(at)
+        if len(offsets) > 1:
+            return n, offsets
+    raise ValueError("an item without words")
 
-def reach(n: int, p: DecontaminationParams) -> tuple[int, int] | None:
-    """Words before and after the begin of a window of size ``n`` that an item of its class may take; None for whole documents."""
-    if n == SIZES[-1]:
-        return None
-    most = SIZES[SIZES.index(n) + 1] - 1
-    return most - n + 2 * p.edits(most), most + 2 * p.edits(most)
+
+def reach(n: int, longest: int, p: DecontaminationParams) -> tuple[int, int] | None:
+    """Words before and after the begin of a window of size ``n`` that an item of ``longest`` words may take; None for whole documents."""
+    return None if longest > 8 * SIZES[-1] else (longest - n + 2 * p.edits(longest), longest + 2 * p.edits(longest))
 
 
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -191,7 +207,7 @@ def embedded_items(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
                 for item_id, text in zip(pdf["id"], pdf["text"], strict=True):
                     w = plain_words(text, words)
                     if len(w):
-                        n, offsets = parts_of(len(w))
+                        n, offsets = parts_of(w)
                         of_size = walks.setdefault(n, Walks([n], p))
                         yield number, item_id, w.tobytes(), n, np.unique(item_keys(of_size, w, offsets)).view(np.int64).tolist()
                         number += 1
@@ -225,15 +241,19 @@ def key_filter(items: DataFrame, p: DecontaminationParams) -> tuple[int, bytes]:
     return width, bytes(out)
 
 
-def regions(docs: DataFrame, sizes: list[int], width: int, bits: bytes, p: DecontaminationParams) -> DataFrame:
-    """(region, row, id, first, words, keys): the parts of documents around windows whose keys pass the filter."""
+def regions(docs: DataFrame, longest: dict[int, int], width: int, bits: bytes, p: DecontaminationParams) -> DataFrame:
+    """(region, row, id, first, words, keys): the parts of documents around windows whose keys pass the filter.
+
+    longest: words of the longest item of each size of windows.
+    """
     kind = docs.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
-        words, walks = PlainWords(), Walks(sizes, p)
-        reaches = {n: reach(n, p) for n in sizes}
+        words = PlainWords()
+        walks = [Walks(x, p) if x else None for x in ([n for n in sorted(longest) if n < ANCHORED], [n for n in sorted(longest) if n >= ANCHORED])]
+        reaches = {n: reach(n, x, p) for n, x in longest.items()}
         row = region = TaskContext.get().partitionId() << 33
 
         def found(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -245,9 +265,10 @@ def regions(docs: DataFrame, sizes: list[int], width: int, bits: bytes, p: Decon
             for at, d in zip(firsts, docs, strict=True):
                 laid[at : at + len(d)] = d
             hits = []
-            for lo in range(0, len(laid), PIECE):
-                at = np.arange(lo, min(lo + PIECE, len(laid)))
-                for n, keys in walks.keys(laid, at):
+            starts = [np.arange(len(laid)), np.flatnonzero(anchors(laid))]
+            for some, walk, lo in ((x, w, lo) for x, w in zip(starts, walks, strict=True) if w for lo in range(0, len(x), PIECE)):
+                at = some[lo : lo + PIECE]
+                for n, keys in walk.keys(laid, at):
                     left = np.flatnonzero(flags[((keys * U(0x9E3779B97F4A7C15)) >> U(64 - width)).astype(np.int64)])
                     if len(left):
                         _, second, third = probes(keys[left], width)
@@ -290,9 +311,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     samples of its steps are its keys.  One scan of the documents, by a filter
     of the items' keys, leaves the windows that may share a key with an item;
     they join the items by key, and the edit distance of each pair that is left
-    is computed exactly.  Sizes are rounded down to classes; an item is covered
-    by windows of its class, of ``SIZES[-1]`` words at most, so that no array
-    is as long as the longest item.
+    is computed exactly.  Sizes are rounded down to classes, of ``SIZES[-1]``
+    words at most, so that no array is as long as the longest item; longer
+    windows begin at anchor words, in items as in documents.
 
     Returns id, item_id, edits, first_word, end_word (in words with a letter
     or digit), a row for each pair of document and item that match.
@@ -310,22 +331,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = narrow(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     entries = narrow(benchmark, id=item_col, text=item_text_col).withColumn("text", F.col("text").cast("string"))
     items = materialise(embedded_items(entries.filter("text is not null"), p), "decontaminate-items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # of the few in SIZES
+    longest = {r["size"]: r["n"] for r in items.groupBy("size").agg((F.max(F.octet_length("words")) / 8).cast("int").alias("n")).collect()}  # of the few in SIZES
     kinds = rows.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    if not sizes:
+    if not longest:
         return spark.createDataFrame([], f"id {kinds[0]}, item_id {kinds[1]}, edits long, first_word long, end_word long")
-    found = materialise(regions(rows, sizes, *key_filter(items, p), p), "decontaminate-regions")
+    found = materialise(regions(rows, longest, *key_filter(items, p), p), "decontaminate-regions")
     pairs = found.select("region", F.explode("keys").alias("key")).join(items.select("item", F.explode("keys").alias("key")), "key").select("region", "item").distinct()
     met = pairs.join(items.select("item", "item_id", F.col("words").alias("of_item")), "item").join(found.drop("keys"), "region")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for i, (of_item, raw, first) in enumerate(zip(pdf["of_item"], pdf["words"], pdf["first"], strict=True)):
+            out, ordered = [], {}
+            for i, (k, of_item, raw, first) in enumerate(zip(pdf["item"], pdf["of_item"], pdf["words"], pdf["first"], strict=True)):
                 item, region = np.frombuffer(of_item, U), np.frombuffer(raw, U)
                 most = p.edits(len(item))
+                if k not in ordered:
+                    ordered[k] = np.append(np.unique(item), U(0))  # no word is 0
                 # A match has all but ``most`` words of the item.
-                if int(np.isin(region, item).sum()) >= len(item) - most:
+                if np.count_nonzero(ordered[k][np.searchsorted(ordered[k][:-1], region)] == region) >= len(item) - most:
                     edits, lo, hi = best_match(item, region)
                     if edits <= most:
                         out.append((i, edits, first + lo, first + hi))
