@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators import align, cooccurrence, episodes, episodic, graph, lattice, memory, motifs, tensor, text, trends, vector_search
+from tagloom.operators import align, cooccurrence, episodes, episodic, graph, lattice, memory, motifs, retrieval, tensor, text, trends, vector_search
 from tagloom.params import Params
 from tagloom.sources import sinks
 
@@ -44,6 +44,9 @@ class Engine:
 
     def retrieve_memories(self, queries: DataFrame, k: int = 10, tags: list | None = None) -> DataFrame:
         """Memories of each query (query_id, embedding) above the least score, which is higher with tags."""
+        if "text" in queries.columns and {"tags", "tag_centroids"} <= self.relations.keys():
+            r = self.relations
+            return retrieval.retrieve(queries, r["vectors"], r["memory_tags"], r["tags"], r["tensor"], r["tag_centroids"], r.get("co_retrieval"), r.get("edges"), k=k, p=self.params).filter(F.col("score") >= self.params.min_score_untagged)
         found = vector_search.top_k(queries, self._of("vectors"), k * 3, self.params.similarity_threshold)
         channels = {"similarity": found}
         if tags:
@@ -64,11 +67,18 @@ class Engine:
         return space if quadrant is None else space.filter(F.col("quadrant") == quadrant)
 
     def get_synchronicities(self, limit: int = 20) -> DataFrame:
-        """Dormant tags that are retrieved, and similar memories of different retrievals."""
+        """Dormant tags that are retrieved, similar memories of different retrievals, and resonant tags that meet for the first time.
+
+        The last need a relation resonances (a, b) of tags.
+        """
         dormant = trends.dormant_reactivations(self.get_phase_space(), params=self.params).select(F.lit("dormant_reactivation").alias("event_type"), F.col("tag_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "strength")
         meet = vector_search.semantic_convergence(self._of("results"), self._of("vectors"), self._of("memory_tags"), threshold=self.params.convergence_threshold)
         met = meet.select(F.lit("semantic_convergence").alias("event_type"), F.col("memory_a").cast("long").alias("a"), F.col("memory_b").cast("long").alias("b"), F.col("similarity").alias("strength"))
-        return dormant.unionByName(met).orderBy(F.col("strength").desc(), "event_type", "a", "b").limit(limit)
+        found = dormant.unionByName(met)
+        if "resonances" in self.relations:
+            crossed = trends.cross_domain_bridges(self._of("results"), self._of("memory_tags"), self._of("resonances"), self._of("memories").filter("not is_archived").count(), params=self.params)
+            found = found.unionByName(crossed.select(F.lit("cross_domain_bridge").alias("event_type"), F.col("tag_a").cast("long").alias("a"), F.col("tag_b").cast("long").alias("b"), "strength"))
+        return found.orderBy(F.col("strength").desc(), "event_type", "a", "b").limit(limit)
 
     def get_meta_patterns(self, least: float = 0.05) -> DataFrame:
         scores = self._of("tensor").select(F.col("tag_a_id").alias("a"), F.col("tag_b_id").alias("b"), tensor.direct_score(self.params).alias("score"))

@@ -11,7 +11,9 @@ from tagloom.operators.lineage import cut
 
 CHANNELS = ["cooccurrence", "synchronicity", "semantic", "semiotic", "glyph"]
 OVERLAP_WEIGHT = 0.5
-PRESSURE = {"co_retrieval": 0.6, "bridge": 0.4}
+PRESSURE = {"co_retrieval": 0.65, "bridge": 0.35}
+#: How much the flow of a cluster adds to its pressure.
+FLOW_WEIGHTS = {"outflow": 0.5, "inflow": 0.4}
 
 
 def project_channels(pairs: DataFrame, memory_tags: DataFrame, tensor: DataFrame) -> DataFrame:
@@ -87,11 +89,11 @@ def canopy_clusters(edges: DataFrame) -> DataFrame:
     return connected_components(strong).select(F.col("node").alias("memory_id"), F.col("component").alias("cluster"))
 
 
-def canopy_scores(edges: DataFrame, clusters: DataFrame, memory_tags: DataFrame) -> DataFrame:
+def canopy_scores(edges: DataFrame, clusters: DataFrame, memory_tags: DataFrame, flow: DataFrame | None = None) -> DataFrame:
     """Pressure, inhibition and growth of each cluster.
 
     Pressure is the weighted mean of the positive strengths, over the channels
-    that have any.  Inhibition is half the mean Jaccard of the tags of all its
+    that have any; ``flow`` (cluster, outflow, inflow) raises it.  Inhibition is half the mean Jaccard of the tags of all its
     pairs of memories.  That mean needs only pairs with a common tag, as the
     others add nothing: they meet by tag, and the number of all pairs comes
     from the cluster's size.
@@ -111,7 +113,12 @@ def canopy_scores(edges: DataFrame, clusters: DataFrame, memory_tags: DataFrame)
     members = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     mean_jaccard = F.coalesce("_sum", F.lit(0.0)) / (F.col("members") * (F.col("members") - 1) / 2)
     out = means.join(members, "cluster").filter("members > 1").join(overlap, "cluster", "left")
-    out = out.withColumns({"pressure": F.when(weight > 0, value / weight).otherwise(0.0), "inhibition": OVERLAP_WEIGHT * mean_jaccard})
+    boost = F.lit(1.0)
+    if flow is not None:
+        out = out.join(flow.select("cluster", *FLOW_WEIGHTS), "cluster", "left")
+        for name, w in FLOW_WEIGHTS.items():
+            boost *= 1 + w * F.greatest(F.coalesce(name, F.lit(0.0)), F.lit(0.0))
+    out = out.withColumns({"pressure": F.when(weight > 0, value / weight).otherwise(0.0) * boost, "inhibition": OVERLAP_WEIGHT * mean_jaccard})
     growth = F.col("pressure") - F.col("inhibition")
     return out.select("cluster", "members", "edges", clamp(F.col("pressure")).alias("pressure"), clamp(F.col("inhibition")).alias("inhibition"), growth.alias("growth_potential"), F.greatest(F.lit(0.0), growth).alias("canopy_growth"))
 

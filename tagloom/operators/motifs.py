@@ -115,22 +115,25 @@ def zigzag_report(motifs: DataFrame) -> DataFrame:
 def zigzag_baseline(motifs: DataFrame, permutations: int = 200, seed: int = 13) -> DataFrame:
     """Zig-zags against permutations of all side layers: observed, mean, stdev, z, two-sided p = (exceed + 1) / (n + 1).
 
-    Permutations deal the layers of the selected motifs, a bounded report.
+    Observed zig-zags and the number of sides of each layer are counted in
+    Spark; only these counts come to the driver, where they are dealt anew.
     """
     import numpy as np
 
-    rows = np.array([r["side_layers"] for r in motifs.select("side_layers").orderBy("tag_ids").limit(20_000).collect()])
-    spark = motifs.sparkSession
+    spark, kinds = motifs.sparkSession, F.explode("side_layers").alias("layer")
+    zigzag = F.sum((side_class(F.col("side_layers")) == "zigzag").cast("long"))
+    found = motifs.agg(F.count(F.lit(1)).alias("n"), zigzag.alias("z")).first()
     schema = "observed long, mean double, stdev double, z double, p double"
-    if not len(rows):
+    if not found["n"]:
         return spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0)], schema)
+    sides = motifs.select(kinds).groupBy("layer").count().orderBy("layer").collect()  # a row a layer
+    flat, rng = np.repeat(np.arange(len(sides), dtype=np.int8), [r["count"] for r in sides]), np.random.default_rng(seed)
 
     def zigzags(x: np.ndarray) -> int:
         return int(((x[:, 0] == x[:, 2]) & (x[:, 1] == x[:, 3]) & (x[:, 0] != x[:, 1])).sum())
 
-    rng, flat = np.random.default_rng(seed), rows.reshape(-1)
-    counts = np.array([zigzags(rng.permutation(flat).reshape(rows.shape)) for _ in range(permutations)])
-    seen, mean = zigzags(rows), float(counts.mean())
+    counts = np.array([zigzags(rng.permutation(flat).reshape(-1, 4)) for _ in range(permutations)])
+    seen, mean = int(found["z"]), float(counts.mean())
     spread = float(counts.std(ddof=1)) if permutations > 1 else 0.0
     exceed = int((np.abs(counts - mean) >= abs(seen - mean)).sum())
     return spark.createDataFrame([(seen, mean, spread, (seen - mean) / spread if spread else 0.0, (exceed + 1) / (permutations + 1))], schema)

@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.scalar import content_hash, normalize_tag
 
+#: Headings, and where sentences end; so are the sizes of chunks below.
 HEADING = re.compile(r"^(#{1,6}\s+.+|[A-Z][A-Z\s]{3,}[A-Z])$", re.MULTILINE)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def pack(parts: list[str], size: int, glue: str, overlap: int = 0) -> list[str]:
-    """Parts put together up to ``size`` characters; a new piece begins with the last ``overlap`` ones of the piece before."""
+    """Parts put together up to ``size`` characters; a new piece begins with the last ``overlap`` ones of the piece before, from the first sentence that begins there."""
     out: list[str] = []
     for part in parts:
         if out and len(out[-1]) + len(glue) + len(part) <= size:
             out[-1] += glue + part
+        elif out and overlap and len(out[-1]) > overlap:
+            rest = out[-1][-overlap:]
+            begin = rest.find(". ")
+            out.append((rest[begin + 2 :] if begin > 0 else rest) + glue + part)
         else:
-            out.append((out[-1][-overlap:] + glue + part) if out and overlap and len(out[-1]) > overlap else part)
+            out.append(part)
     return out
 
 
@@ -79,7 +84,7 @@ def new_chunks(found: DataFrame, stored: DataFrame) -> DataFrame:
     return hashed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-#: Tags of file name endings.
+#: Tags of file name endings.
 SUFFIX_TAGS = {"md": "markdown", "txt": "text", "pdf": "pdf", "docx": "document", "json": "data", "csv": "data", "py": "python", "js": "javascript", "ts": "typescript", "rs": "rust", "go": "golang", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "sh": "shell", "sql": "sql", "html": "web", "css": "web", "yaml": "config", "yml": "config", "toml": "config"}
 
 
@@ -159,15 +164,34 @@ def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(make, "id long, summary string")
 
 
-DETAIL = r"(?i)\b(when|where|who|which|how many|how much|what (date|year|name|number|time))\b"
-STOP_WORDS = ["a", "an", "and", "are", "did", "do", "does", "for", "how", "in", "is", "of", "on", "or", "the", "to", "was", "were", "what", "when", "where", "which", "who", "why", "with"]
+#: What a question for a detail matches, in any case.
+DETAIL = (
+    r"\bwhat (?:is|are|was|were) the (?:default|exact|specific|target|recommended)\b",
+    r"\bwhat (?:is|are|was|were) the (?:name|metric|threshold|limit|percentage|duration|period|value|score|count|number|size|rate|cost|price|fee|credit)\b",
+    r"\bhow (?:long|many|much|often)\b",
+    r"\bwhat (?:percentage|ratio|fraction|proportion)\b",
+    r"\bwhat (?:device|mode|version|firmware|configuration|setting)\b",
+    r"\bwhat (?:metric|counter|gauge|alert)\b",
+    r"\b(?:percentage|percent|latency|threshold|timeout|limit|credit|fee|price|cost|budget|cap)\w*\b.*\b(?:propos|specif|set|target|report|observ|measur)",
+    r"\b(?:root cause|misconfiguration|bug|error|failure mode)\b",
+)
+#: Words that are no terms.
+STOP_WORDS = (
+    "a an the is are was were what which how does did do will would could should can may might have has had been being for of in on at to by with "
+    "from and or but not this that these those it its they their them he she his her about after before between into through during when where who "
+    "whom whose why new recent specific default current proposed recommended according describe"
+).split()
 
 
 def classify_questions(questions: DataFrame, text_col: str = "question") -> DataFrame:
-    """Type (detail or broad) and content words of each question."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(F.col(text_col), r"[^\w\s]", " ")), r"\s+"), lambda w: F.length(w) > 2)
-    terms = F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in STOP_WORDS]))
-    return questions.withColumns({"question_type": F.when(F.col(text_col).rlike(DETAIL), "detail").otherwise("broad"), "terms": terms})
+    """Type (detail or broad) and terms of each question: its words of three letters and more, and its quoted phrases."""
+    text = F.col(text_col)
+    words = F.filter(F.split(F.lower(text), r"[^a-z0-9_.\-/]+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    phrases = F.regexp_extract_all(F.lower(text), F.lit('"([^"]+)"'))
+    detail = F.lit(False)
+    for pattern in DETAIL:
+        detail |= text.rlike("(?i)" + pattern)
+    return questions.withColumns({"question_type": F.when(detail, "detail").otherwise("broad"), "terms": F.concat(words, phrases)})
 
 
 def relevant_sentences(text: Column, terms: Column) -> Column:
@@ -176,7 +200,7 @@ def relevant_sentences(text: Column, terms: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat_ws(" ", found)).otherwise(text)
 
 
-#: Concepts and the signs that stand for them.
+#: Concepts and the signs that stand for them, an example; a lexicon is a parameter.
 LEXICON = {"time": "τ", "change": "Δ", "flow": "≈", "love": "♥", "death": "†", "light": "☼", "dark": "●", "water": "~", "fire": "△", "earth": "▽", "mind": "Ψ", "order": "≡", "chaos": "※", "life": "∞", "open": "○", "path": "→"}
 OPPOSITES = [("light", "dark"), ("life", "death"), ("order", "chaos"), ("fire", "water")]
 

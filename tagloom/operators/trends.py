@@ -116,3 +116,41 @@ def latest_snapshots(snapshots: DataFrame, keep: int = 1) -> DataFrame:
     """The last ``keep`` snapshots of each tag.  snapshots: tag_id, computed_at, temperature, ..."""
     w = Window.partitionBy("tag_id").orderBy(F.col("computed_at").desc())
     return snapshots.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
+
+
+def cross_domain_bridges(results: DataFrame, memory_tags: DataFrame, resonant: DataFrame, memories: int, recent: int = 10, since_hours: float = 1.0, params: Params = Params()) -> DataFrame:
+    """(retrieval_id, tag_a, tag_b, strength): resonant tags that a recent retrieval found together and no memory has together.
+
+    results: (retrieval_id, occurred_at, memory_id), of which the ``recent``
+    latest retrievals within ``since_hours`` count.  resonant: pairs (a, b) of
+    tags, a < b.  memories: number of active memories.  strength is the
+    surprise -ln(share of a * share of b), ``surprise_threshold`` at least,
+    where fewer than one memory with both is expected.
+    """
+    p = params
+    inside = results.filter(hours_between(F.lit(p.now).cast("timestamp"), F.col("occurred_at")) <= since_hours)
+    last = inside.groupBy("retrieval_id").agg(F.max("occurred_at").alias("at")).orderBy(F.col("at").desc(), F.col("retrieval_id").desc()).limit(recent)
+    mt = memory_tags.select("memory_id", "tag_id").distinct()
+    found = inside.join(F.broadcast(last.select("retrieval_id")), "retrieval_id").join(mt, "memory_id").select("retrieval_id", "tag_id").distinct()
+    a, b = (found.select("retrieval_id", F.col("tag_id").alias(f"tag_{s}")) for s in "ab")
+    pairs = resonant.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b")).distinct()
+    met = pairs.join(a, "tag_a").join(b, ["retrieval_id", "tag_b"])
+    # Pairs of the few recent retrievals meet their memories; co-occurrence of all tags isn't computed.
+    wanted = met.select("tag_a", "tag_b").distinct()
+    both = wanted.join(mt.withColumnRenamed("tag_id", "tag_a"), "tag_a").join(mt.withColumnRenamed("tag_id", "tag_b"), ["memory_id", "tag_b"]).select("tag_a", "tag_b").distinct()
+    share = mt.groupBy("tag_id").agg((F.count(F.lit(1)) / F.lit(float(memories or 1))).alias("share"))
+    fa, fb = share.select(F.col("tag_id").alias("tag_a"), F.col("share").alias("_a")), share.select(F.col("tag_id").alias("tag_b"), F.col("share").alias("_b"))
+    out = met.join(both, ["tag_a", "tag_b"], "left_anti").join(fa, "tag_a").join(fb, "tag_b")
+    out = out.filter(F.col("_a") * F.col("_b") * memories < 1).withColumn("strength", -F.log(F.greatest(F.col("_a") * F.col("_b"), F.lit(1e-10))))
+    return out.filter(F.col("strength") >= p.surprise_threshold).select("retrieval_id", "tag_a", "tag_b", "strength")
+
+
+def sync_velocity(events: DataFrame, strength: Column, window_hours: float = 168.0, params: Params = Params()) -> DataFrame:
+    """One row level, velocity, jerk, event_count of the synchronicity events (detected_at) within the window.
+
+    strength: an event's weight as a column, such as ``effective_strength``.
+    """
+    age = hours_between(F.lit(params.now).cast("timestamp"), F.col("detected_at"))
+    inside = events.filter(age < window_hours)
+    kernels = trend_kernels(age, strength, window_hours)
+    return inside.agg(*[F.round(F.coalesce(k, F.lit(0.0)), 3).alias(n) for n, k in kernels.items()], F.count(F.lit(1)).alias("event_count"))

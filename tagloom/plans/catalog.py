@@ -36,7 +36,7 @@ def rounded_sql(columns: str, sql: str, digits: int = 6) -> str:
     return f"SELECT * REPLACE ({inner}) FROM ({sql})"
 
 
-def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Callable], Callable]:
+def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6) -> Callable[[Callable], Callable]:
     """Register a function of a getter of relations as a query; ``doubles`` are rounded in the SQL, as in the result."""
 
     def add(f: Callable) -> Callable:
@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Cal
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLE_SQL[name] = with_relations(rounded_sql(doubles, sql) if doubles else f"SELECT * FROM ({sql})")
+            ORACLE_SQL[name] = with_relations(rounded_sql(doubles, sql, digits) if doubles else f"SELECT * FROM ({sql})")
         return f
 
     return add

@@ -607,11 +607,40 @@ def paths(t):  # noqa: ANN001, ANN201
     return t("pages").select("page_id", F.array_join(X.path_tags(plain), ",").alias("tags"))
 
 
-@query("classify_questions", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b(when|where|who|which|how many|how much|what (date|year|name|number|time))\\b') THEN 'detail' ELSE 'broad' END AS question_type FROM conversations")
+_DETAIL = " OR ".join(f"regexp_matches(text, '(?i){x}')" for x in X.DETAIL)
+
+
+@query("classify_questions", f"SELECT conv_id, turn, CASE WHEN {_DETAIL} THEN 'detail' ELSE 'broad' END AS question_type FROM conversations")
 def questions(t):  # noqa: ANN001, ANN201
     return X.classify_questions(t("conversations"), "text").select("conv_id", "turn", "question_type")
 
 
+_RESONANT_TAGS = "(SELECT tag_a_id AS a, tag_b_id AS b FROM tensor WHERE synchronicity > 0.3)"
+
+
+@query(
+    "cross_domain_bridges",
+    f"""WITH l AS (SELECT retrieval_id FROM (SELECT retrieval_id, max(occurred_at) AS last_at FROM hits GROUP BY 1) WHERE (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_at)) / 3.6e9 <= 24 ORDER BY last_at DESC, retrieval_id DESC LIMIT 10),
+        f AS (SELECT DISTINCT r.retrieval_id, tag_id FROM results r JOIN event_memories USING (memory_id) WHERE retrieval_id IN (SELECT retrieval_id FROM l)),
+        n AS (SELECT tag_id, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM event_memories) AS share FROM event_memories GROUP BY 1)
+        SELECT x.retrieval_id, a AS tag_a, b AS tag_b, -ln(greatest(p.share * q.share, 1e-10)) AS strength FROM {_RESONANT_TAGS} JOIN f x ON x.tag_id = a JOIN f y ON y.tag_id = b AND y.retrieval_id = x.retrieval_id JOIN n p ON p.tag_id = a JOIN n q ON q.tag_id = b
+        WHERE p.share * q.share * (SELECT count(*) FROM event_memories) < 1 AND -ln(greatest(p.share * q.share, 1e-10)) >= 3""",
+    "strength",
+)
+def cross_domain(t):  # noqa: ANN001, ANN201
+    """Memories are single events here, so that no two tags are ever together."""
+    when = t("hits").groupBy("retrieval_id").agg(F.max("occurred_at").cast("timestamp").alias("occurred_at"))
+    results = t("results").join(when, "retrieval_id").select("retrieval_id", "occurred_at", "memory_id")
+    resonant = t("tensor").filter("synchronicity > 0.3").select(F.col("tag_a_id").alias("a"), F.col("tag_b_id").alias("b"))
+    return TR.cross_domain_bridges(results, t("event_memories"), resonant, t("event_memories").count(), since_hours=24.0)
+
+
+@query("sync_velocity", "SELECT sum(exp(-ln(2e0) * age / 84) * value) AS level, sum(CASE WHEN age <= 84 THEN value ELSE -value END) AS velocity, sum(CASE WHEN age <= 56 THEN value WHEN age <= 112 THEN -2 * value ELSE value END) AS jerk, count(*) AS event_count FROM (SELECT value, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(occurred_at)) / 3.6e9 AS age FROM tag_events) WHERE age < 168", "level, velocity, jerk", 2)
+def velocity(t):  # noqa: ANN001, ANN201
+    e = t("tag_events").select(F.col("occurred_at").cast("timestamp").alias("detected_at"), "value")
+    return TR.sync_velocity(e, F.col("value")).select(*[F.round(c, 2).alias(c) for c in ("level", "velocity", "jerk")], "event_count")
+
+
 @query("document_summaries")
 def summaries(t):  # noqa: ANN001, ANN201
     return X.summaries(t("documents"))
