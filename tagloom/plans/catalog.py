@@ -367,8 +367,8 @@ def upper_median(t):  # noqa: ANN001, ANN201
     return C.upper_median(t("pairs"), "cnt")
 
 
-_BLOCKS = "(SELECT DISTINCT user_id % 40 AS block_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS tag_id FROM events WHERE event_type = 'signup' AND value > 60)"
-_ACTS = "(SELECT DISTINCT user_id % 40 AS block_id, CAST(extract(day FROM ts) AS BIGINT) AS retrieval_id FROM events WHERE event_type = 'purchase' AND value > 100)"
+_BLOCKS = "(SELECT DISTINCT user_id % 40 AS block_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS tag_id FROM events WHERE event_type = 'signup')"
+_ACTS = "(SELECT DISTINCT user_id % 40 AS block_id, CAST(extract(day FROM ts) AS BIGINT) AS retrieval_id FROM events WHERE event_type = 'purchase')"
 _FREQ = "(SELECT tag_id, count(*) / CAST((SELECT count(*) FROM events) AS DOUBLE) AS freq FROM tag_events GROUP BY 1)"
 _BRIDGES = f"""(WITH m AS {_BLOCKS}, act AS {_ACTS}, fr AS {_FREQ},
     sh AS (SELECT DISTINCT x.block_id AS l, y.block_id AS r FROM m x JOIN m y ON x.tag_id = y.tag_id AND x.block_id < y.block_id),
@@ -387,11 +387,11 @@ _BRIDGES = f"""(WITH m AS {_BLOCKS}, act AS {_ACTS}, fr AS {_FREQ},
     SELECT DISTINCT l, r, bridge FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY bridge DESC, l, r) AS k FROM e) WHERE k <= 5)"""
 
 
-def _blocks_of(t, signups: str = "value > 60", purchases: str = "value > 100") -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+def _blocks_of(t) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
     e = t("events")
     tag = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS tag_id"
-    members = e.filter(f"event_type = 'signup' AND {signups}").selectExpr("user_id % 40 AS block_id", tag).distinct()
-    acts = e.filter(f"event_type = 'purchase' AND {purchases}").selectExpr("user_id % 40 AS block_id", "CAST(extract(day FROM ts) AS BIGINT) AS retrieval_id").distinct()
+    members = e.filter("event_type = 'signup'").selectExpr("user_id % 40 AS block_id", tag).distinct()
+    acts = e.filter("event_type = 'purchase'").selectExpr("user_id % 40 AS block_id", "CAST(extract(day FROM ts) AS BIGINT) AS retrieval_id").distinct()
     total = e.agg(F.count(F.lit(1)).alias("_n"))
     freq = t("tag_events").groupBy("tag_id").agg(F.count(F.lit(1)).alias("_c")).crossJoin(F.broadcast(total)).select("tag_id", (F.col("_c") / F.col("_n")).alias("freq"))
     return members, acts, freq
@@ -417,33 +417,6 @@ def bridged(t):  # noqa: ANN001, ANN201
     return C.bridged_pmi(C.pmi(t("user_tags"), "memory_id"), pair_bridges(t))
 
 
-# The same over all signups and purchases, without SQL.
-
-
-def _all_blocks(t) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
-    return _blocks_of(t, "true", "true")
-
-
-@query("bridge_scores_all")
-def bridges_all(t):  # noqa: ANN001, ANN201
-    return C.bridge_scores(*_all_blocks(t))
-
-
-@query("bridge_sum_all")
-def bridge_sum_all(t):  # noqa: ANN001, ANN201
-    return C.bridge_sum(bridges_all(t))
-
-
-@query("tag_pair_bridges_all")
-def pair_bridges_all(t):  # noqa: ANN001, ANN201
-    return C.tag_pair_bridges(_all_blocks(t)[0], bridges_all(t))
-
-
-@query("bridged_pmi_all")
-def bridged_all(t):  # noqa: ANN001, ANN201
-    return C.bridged_pmi(C.pmi(t("user_tags"), "memory_id"), pair_bridges_all(t))
-
-
 # ---- lattice ------------------------------------------------------------------------------------
 
 _ANGLE = "CAST(CAST('0x' || substr(sha256({}), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616e0 * " + repr(2 * math.pi)
@@ -522,22 +495,23 @@ def poincare(t):  # noqa: ANN001, ANN201
 # ---- vectors ------------------------------------------------------------------------------------
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
-_QUERIES = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10)"
+_QUERIES = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
 _SCORES = f"(SELECT query_id, vec_id AS memory_id, label, {_DOT.format('q', 'embedding')} AS score FROM embeddings, {_QUERIES})"
 
 
-def _vector_queries(t):  # noqa: ANN001, ANN202
-    return t("embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+def all_queries(t):  # noqa: ANN001, ANN202
+    """Every row whose id is divisible by 20."""
+    return t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("vector_top_k", f"SELECT query_id, memory_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM {_SCORES}) WHERE rank <= 10 AND score >= 0.1", "score")
 def vector_top_k(t):  # noqa: ANN001, ANN201
-    return VS.top_k(_vector_queries(t), t("vectors"), 10, 0.1).select("query_id", "memory_id", "score", "rank")
+    return VS.top_k_blocks(all_queries(t), t("vectors"), 10, 0.1).select("query_id", "memory_id", "score", "rank")
 
 
 @query("retrieve_semantic", f"SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS r FROM {_SCORES}) WHERE r <= 50 AND label < 5 QUALIFY rank <= 10", "score")
 def semantic(t):  # noqa: ANN001, ANN201
-    return VS.retrieve_semantic(_vector_queries(t), t("vectors"), 10, t("vectors").filter("tag_id < 5")).select("query_id", "memory_id", "score", "rank")
+    return VS.retrieve_semantic(all_queries(t), t("vectors"), 10, t("vectors").filter("tag_id < 5"), VS.top_k_blocks).select("query_id", "memory_id", "score", "rank")
 
 
 _MEANS = "(SELECT label AS tag_id, i AS position, avg(CAST(embedding[i + 1] AS DOUBLE)) AS mean FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2)"
@@ -565,21 +539,6 @@ def convergence(t):  # noqa: ANN001, ANN201
     return VS.semantic_convergence(v.select("retrieval_id", F.timestamp_seconds("retrieval_id").alias("occurred_at"), "memory_id"), t("vectors"), t("vectors"), 20, 0.2)
 
 
-def all_queries(t):  # noqa: ANN001, ANN202
-    """Every row whose id is divisible by 20; the SQL of the others takes the first ten."""
-    return t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-@query("vector_top_k_all")
-def vector_top_k_all(t):  # noqa: ANN001, ANN201
-    return VS.top_k_blocks(all_queries(t), t("vectors"), 10, 0.1)
-
-
-@query("retrieve_semantic_all")
-def semantic_all(t):  # noqa: ANN001, ANN201
-    return VS.retrieve_semantic(all_queries(t), t("vectors"), 10, t("vectors").filter("tag_id < 5"), VS.top_k_blocks).select("query_id", "memory_id", "score", "rank")
-
-
 @query("cell_search")
 def cell_search(t):  # noqa: ANN001, ANN201
     return VS.cell_search(all_queries(t), t("vectors"), 10)

@@ -74,9 +74,9 @@ def degree(t):  # noqa: ANN001, ANN201
     return T.degree(t("tensor"))
 
 
-@query("inhibition_score", "SELECT coalesce(sum(inhibition * greatest(0e0, -parallelness)), 0e0) AS inhibition_score FROM tensor WHERE tag_a_id < 10 AND tag_b_id < 20", "inhibition_score")
+@query("inhibition_score", "SELECT coalesce(sum(inhibition * greatest(0e0, -parallelness)), 0e0) AS inhibition_score FROM tensor", "inhibition_score")
 def inhibition(t):  # noqa: ANN001, ANN201
-    return T.inhibition_score(t("tensor"), t("pairs").filter("tag_a_id < 10 and tag_b_id < 20"))
+    return T.inhibition_score(t("tensor"), t("pairs"))
 
 
 _RESONANT = f"(SELECT memory_id, s / max(s) OVER () AS score FROM (SELECT memory_id, max(score) AS s FROM user_tags JOIN {_PARTNERS} ON partner = tag_id GROUP BY 1))"
@@ -100,12 +100,12 @@ def glyphs(t):  # noqa: ANN001, ANN201
     return T.glyph_associations(t("tensor"), t("seeds"), t("user_tags"), t("co_edges"))
 
 
-_LIST = "(SELECT tag_a_id, tag_b_id, round(cooccurrence, 9) AS strength FROM tensor WHERE tag_a_id < 6 AND tag_b_id < 10)"
+_LIST = "(SELECT tag_a_id, tag_b_id, round(cooccurrence, 9) AS strength FROM tensor)"
 _RANKED = f"(SELECT *, row_number() OVER (ORDER BY strength DESC, tag_a_id, tag_b_id) AS rank, count(*) OVER () AS n FROM {_LIST})"
 
 
-def _listed(t, where: str = "tag_a_id < 6 and tag_b_id < 10") -> DataFrame:  # noqa: ANN001
-    return t("tensor").filter(where).select("tag_a_id", "tag_b_id", F.round("cooccurrence", 9).alias("strength"))
+def _listed(t) -> DataFrame:  # noqa: ANN001
+    return t("tensor").select("tag_a_id", "tag_b_id", F.round("cooccurrence", 9).alias("strength"))
 
 
 @query("rank_invert", f"SELECT x.tag_a_id, x.tag_b_id, x.strength, x.rank, y.strength AS inverted FROM {_RANKED} x JOIN {_RANKED} y ON y.rank = x.n + 1 - x.rank", "strength, inverted")
@@ -125,16 +125,6 @@ def prefix(t):  # noqa: ANN001, ANN201
     return T.prefix_parallelness(T.rank_invert(_listed(t)), VS.centroids(t("vectors"), "tag_id", normalise=False))
 
 
-@query("rank_invert_all")
-def rank_invert_all(t):  # noqa: ANN001, ANN201
-    return T.rank_invert(_listed(t, "true"))
-
-
-@query("prefix_parallelness_all")
-def prefix_all(t):  # noqa: ANN001, ANN201
-    return T.prefix_parallelness(T.rank_invert(_listed(t, "true")), VS.centroids(t("vectors"), "tag_id", normalise=False))
-
-
 @query("symbolic_bonus", "SELECT tag_a_id, tag_b_id, CASE WHEN tag_a_id % 7 = tag_b_id % 7 THEN 2e0 WHEN least(tag_a_id % 7, tag_b_id % 7) = 1 AND greatest(tag_a_id % 7, tag_b_id % 7) = 2 THEN 1.5e0 ELSE 1e0 END AS factor FROM pairs", "factor")
 def symbolic(t):  # noqa: ANN001, ANN201
     glyph = t("event_tags").select("tag_id", (F.col("tag_id") % 7).alias("glyph"))
@@ -279,25 +269,15 @@ def scored(t):  # noqa: ANN001, ANN201
 
 
 _REDGES = f"(SELECT a, b, round(score, 9) AS score, layer FROM {_EDGES})"
-_SELECTED = f"(SELECT a, b, score, layer FROM (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r, row_number() OVER (PARTITION BY layer ORDER BY score DESC, a, b) AS l FROM {_REDGES} WHERE score >= 0.1) WHERE r <= 60 OR l <= 20)"
+_SELECTED = f"(SELECT a, b, score, layer FROM (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r, row_number() OVER (PARTITION BY layer ORDER BY score DESC, a, b) AS l FROM {_REDGES} WHERE score >= 0.1) WHERE r <= 500 OR l <= 100)"
 
 
 def _selected(t) -> DataFrame:  # noqa: ANN001
-    return MO.select_edges(_edges(t).withColumn("score", F.round("score", 9)), 0.1, 60, 20)
-
-
-def _all_selected(t) -> DataFrame:  # noqa: ANN001
-    """The operator's own selection; the SQL of other queries takes 60 and 20."""
     return MO.select_edges(_edges(t).withColumn("score", F.round("score", 9)))
 
 
-def _all_squares(t) -> DataFrame:  # noqa: ANN001
-    return MO.square_motifs(_edges(t), _all_selected(t))
-
-
-@query("select_edges_all")
-def selected_all(t):  # noqa: ANN001, ANN201
-    return _all_selected(t).select("a", "b", "score", "layer")
+def _squares(t) -> DataFrame:  # noqa: ANN001
+    return MO.square_motifs(_edges(t), _selected(t))
 
 
 @query("select_edges", f"SELECT * FROM {_SELECTED}", "score")
@@ -312,66 +292,41 @@ _CYCLES = f"""(WITH s AS {_SELECTED}, d AS (SELECT a, b, score, layer FROM s UNI
 
 @query("square_motifs", f"SELECT concat_ws(',', p, m, q, n) AS tag_ids, concat_ws(',', l1, l2, l3, l4) AS side_layers, side_score, CAST(len(list_distinct([l1, l2, l3, l4])) AS INT) AS diversity FROM {_CYCLES}", "side_score")
 def squares(t):  # noqa: ANN001, ANN201
-    m = MO.square_motifs(_edges(t), _selected(t))
-    return m.select(F.array_join("tag_ids", ",").alias("tag_ids"), F.array_join("side_layers", ",").alias("side_layers"), "side_score", "diversity")
-
-
-@query("square_motifs_all")
-def squares_all(t):  # noqa: ANN001, ANN201
-    return _all_squares(t).select(F.array_join("tag_ids", ",").alias("tag_ids"), F.array_join("side_layers", ",").alias("side_layers"), "side_score", "diversity")
+    return _squares(t).select(F.array_join("tag_ids", ",").alias("tag_ids"), F.array_join("side_layers", ",").alias("side_layers"), "side_score", "diversity")
 
 
 @query("square_motif_diagonals")
 def diagonals(t):  # noqa: ANN001, ANN201
-    return _all_squares(t)
+    return _squares(t)
 
 
 @query("zigzag_classes", f"SELECT CASE WHEN k = 1 THEN 'uniform' WHEN l1 = l3 AND l2 = l4 THEN 'zigzag' WHEN (l1 = l2 AND l3 = l4) OR (l2 = l3 AND l4 = l1) THEN 'banded' ELSE 'mixed' END AS side_class, count(*) AS motifs FROM (SELECT *, len(list_distinct([l1, l2, l3, l4])) AS k FROM {_CYCLES}) GROUP BY 1")
 def zigzags(t):  # noqa: ANN001, ANN201
-    return MO.zigzag_report(MO.square_motifs(_edges(t), _selected(t))).groupBy("side_class").agg(F.sum("motifs").alias("motifs"))
-
-
-@query("zigzag_classes_all")
-def zigzags_all(t):  # noqa: ANN001, ANN201
-    return MO.zigzag_report(_all_squares(t)).groupBy("side_class").agg(F.sum("motifs").alias("motifs"))
+    return MO.zigzag_report(_squares(t)).groupBy("side_class").agg(F.sum("motifs").alias("motifs"))
 
 
 @query("zigzag_baseline")
 def zigzag_baseline(t):  # noqa: ANN001, ANN201
-    return MO.zigzag_baseline(_all_squares(t))
+    return MO.zigzag_baseline(_squares(t))
 
 
 _SOURCES = "(SELECT user_id % 30 AS source, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS tag_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1, 2)"
 
 
-@query("rectangles", f"WITH s AS {_SOURCES}, p AS (SELECT x.source, x.tag_id AS ta, y.tag_id AS tb, x.n AS na, y.n AS nb FROM s x JOIN s y ON x.source = y.source AND x.tag_id < y.tag_id WHERE x.tag_id < 12 AND y.tag_id < 12) SELECT x.source AS source_x, y.source AS source_y, x.ta AS tag_a, x.tb AS tag_b, ln(1e0 + x.na) + ln(1e0 + x.nb) + ln(1e0 + y.na) + ln(1e0 + y.nb) AS repetition, least(x.na, x.nb, y.na, y.nb) / CAST(greatest(x.na, x.nb, y.na, y.nb) AS DOUBLE) AS balance FROM p x JOIN p y ON x.ta = y.ta AND x.tb = y.tb AND x.source < y.source", "repetition, balance")
+@query("rectangles", f"WITH s AS {_SOURCES}, p AS (SELECT x.source, x.tag_id AS ta, y.tag_id AS tb, x.n AS na, y.n AS nb FROM s x JOIN s y ON x.source = y.source AND x.tag_id < y.tag_id) SELECT x.source AS source_x, y.source AS source_y, x.ta AS tag_a, x.tb AS tag_b, ln(1e0 + x.na) + ln(1e0 + x.nb) + ln(1e0 + y.na) + ln(1e0 + y.nb) AS repetition, least(x.na, x.nb, y.na, y.nb) / CAST(greatest(x.na, x.nb, y.na, y.nb) AS DOUBLE) AS balance FROM p x JOIN p y ON x.ta = y.ta AND x.tb = y.tb AND x.source < y.source", "repetition, balance")
 def rectangles(t):  # noqa: ANN001, ANN201
-    return _rectangles(t, "tag_id < 12")
-
-
-def _rectangles(t, where: str) -> DataFrame:  # noqa: ANN001
-    s = t("tag_events").join(t("events").select("event_id", "user_id"), "event_id").filter(f"event_type = 'signup' and {where}").groupBy((F.col("user_id") % 30).alias("source"), "tag_id").agg(F.count(F.lit(1)).alias("n"))
+    s = t("tag_events").join(t("events").select("event_id", "user_id"), "event_id").filter("event_type = 'signup'").groupBy((F.col("user_id") % 30).alias("source"), "tag_id").agg(F.count(F.lit(1)).alias("n"))
     return MO.rectangles(s).select("source_x", "source_y", "tag_a", "tag_b", "repetition", "balance")
 
 
-@query("rectangles_all")
-def rectangles_all(t):  # noqa: ANN001, ANN201
-    return _rectangles(t, "true")
-
-
-@query("longest_chains", f"WITH s AS {_SELECTED}, d AS (SELECT layer, a, b, score FROM s UNION ALL SELECT layer, b, a, score FROM s), t AS (SELECT layer, a, b FROM d QUALIFY row_number() OVER (PARTITION BY layer, a ORDER BY score DESC, b) <= 5), p2 AS (SELECT d.layer, least(d.a, d.b) AS sa, greatest(d.a, d.b) AS sb, d.a AS x, d.b AS y, t.b AS z FROM d JOIN t ON t.layer = d.layer AND t.a = d.b AND t.b <> d.a), p3 AS (SELECT p2.*, t.b AS w FROM p2 JOIN t ON t.layer = p2.layer AND t.a = z AND t.b <> x AND t.b <> y) SELECT layer, a AS start_a, b AS start_b, CASE WHEN (layer, a, b) IN (SELECT (layer, sa, sb) FROM p3) THEN 3 WHEN (layer, a, b) IN (SELECT (layer, sa, sb) FROM p2) THEN 2 ELSE 1 END AS length FROM s")
+@query("longest_chains")
 def chains(t):  # noqa: ANN001, ANN201
-    return MO.longest_chains(_selected(t), depth=3)
-
-
-@query("longest_chains_all")
-def chains_all(t):  # noqa: ANN001, ANN201
-    return MO.longest_chains(_all_selected(t))
+    return MO.longest_chains(_selected(t))
 
 
 @query("chain_anisotropy")
 def anisotropy(t):  # noqa: ANN001, ANN201
-    return MO.chain_anisotropy(_all_selected(t))
+    return MO.chain_anisotropy(_selected(t))
 
 
 # ---- episodic edges and clusters ----------------------------------------------------------------
@@ -493,9 +448,9 @@ def _operations(t) -> DataFrame:  # noqa: ANN001
     return E.operation_centroids(ops, VS.centroids(t("vectors"), "tag_id", normalise=False))
 
 
-@query("operation_centroids", "SELECT event_id AS op_id, i AS position, x FROM (SELECT label, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(4)) AS i) GROUP BY 1, 2) JOIN tag_events ON tag_id % 10 = label", "x")
+@query("operation_centroids", "SELECT event_id AS op_id, i AS position, x FROM (SELECT label, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2) JOIN tag_events ON tag_id % 10 = label", "x")
 def operation_centroids(t):  # noqa: ANN001, ANN201
-    return _operations(t).select("op_id", F.posexplode("centroid").alias("position", "x")).filter("position < 4").withColumn("position", F.col("position").cast("long"))
+    return _operations(t).select("op_id", F.posexplode("centroid").alias("position", "x")).withColumn("position", F.col("position").cast("long"))
 
 
 @query("assign_episodes")
@@ -583,20 +538,22 @@ def dedup(t):  # noqa: ANN001, ANN201
     return X.new_chunks(d, stored).select("content_hash", F.col("id").alias("doc_id"))
 
 
-@query("criticality")
+@query(
+    "criticality",
+    """WITH k AS (SELECT tag_id, ln(1e0 + count(*)) AS w FROM memory_tags GROUP BY 1), n AS (SELECT memory_id, count(*) AS n FROM user_tags GROUP BY 1),
+        rel AS (SELECT u.memory_id, CASE WHEN count(k.w) > 0 THEN count(k.w) / CAST(count(*) AS DOUBLE) * (0.6e0 + 0.4e0 * avg(k.w) / max(k.w)) ELSE 0e0 END AS r FROM user_tags u LEFT JOIN k USING (tag_id) GROUP BY 1),
+        c AS (SELECT x.memory_id AS x, y.memory_id AS y, count(*) AS c FROM user_tags x JOIN user_tags y ON x.tag_id = y.tag_id AND x.memory_id <> y.memory_id GROUP BY 1, 2),
+        d AS (SELECT x AS memory_id, sum(c / CAST(nx.n + ny.n - c AS DOUBLE)) AS j FROM c JOIN n nx ON nx.memory_id = x JOIN n ny ON ny.memory_id = y GROUP BY 1),
+        s AS (SELECT memory_id, 0.6e0 * r + 0.4e0 * coalesce(j, 0e0) / ((SELECT count(*) FROM n) - 1) AS score FROM rel LEFT JOIN d USING (memory_id))
+        SELECT memory_id AS doc_id, score, CASE WHEN score >= 0.3 THEN 'critical' ELSE 'reference' END AS class FROM s""",
+    "score",
+)
 def criticality(t):  # noqa: ANN001, ANN201
     docs = t("user_tags").groupBy(F.col("memory_id").alias("doc_id")).agg(F.collect_set(F.concat(F.lit("t"), "tag_id")).alias("tags"))
     known = t("memory_tags").groupBy("tag_id").agg(F.count(F.lit(1)).alias("cnt")).select(F.concat(F.lit("t"), "tag_id").alias("name"), "cnt")
     return X.criticality(docs, known)
 
 
-@query("criticality_relevance", "WITH k AS (SELECT tag_id, ln(1e0 + count(*)) AS w FROM memory_tags GROUP BY 1) SELECT u.memory_id AS doc_id, CASE WHEN count(k.w) > 0 THEN count(k.w) / CAST(count(*) AS DOUBLE) * (0.6e0 + 0.4e0 * avg(k.w) / max(k.w)) ELSE 0e0 END AS score FROM user_tags u LEFT JOIN k USING (tag_id) WHERE u.memory_id = 5 GROUP BY 1", "score")
-def relevance(t):  # noqa: ANN001, ANN201
-    docs = t("user_tags").filter("memory_id = 5").groupBy(F.col("memory_id").alias("doc_id")).agg(F.collect_set(F.concat(F.lit("t"), "tag_id")).alias("tags"))
-    known = t("memory_tags").groupBy("tag_id").agg(F.count(F.lit(1)).alias("cnt")).select(F.concat(F.lit("t"), "tag_id").alias("name"), "cnt")
-    return X.criticality(docs, known).select("doc_id", "score")
-
-
 _PLAIN = "regexp_replace(split_part(url, '?', 1), '#.*$', '')"
 _KIND = f"CASE lower(regexp_extract({_PLAIN}, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SUFFIX_TAGS.items()) + " ELSE '' END"
 
@@ -659,9 +616,9 @@ def glyph_tags(t):  # noqa: ANN001, ANN201
     return X.glyph_tags(t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), lexicon=_SIGNS)
 
 
-@query("project_overview", "SELECT CASE WHEN contains(substr(url, 9), '/') THEN regexp_extract(url, '^(.*)/[^/]*$', 1) ELSE '' END AS folder, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS suffix, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes FROM pages WHERE contains(substr(url, 9), '/') GROUP BY 1, 2")
+@query("project_overview", "SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS suffix, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1, 2")
 def overview(t):  # noqa: ANN001, ANN201
-    return X.project_overview(t("pages").filter("contains(substr(url, 9), '/')").select(F.col("url").alias("path"), F.length("html").cast("long").alias("length")))
+    return X.project_overview(t("pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("length")))
 
 
 # ---- signals ------------------------------------------------------------------------------------
@@ -698,14 +655,9 @@ def pending(t):  # noqa: ANN001, ANN201
 # ---- further readers and writers ----------------------------------------------------------------
 
 
-@query("ids_by_source", "SELECT source_model, array_to_string(list_sort(list(memory_id)), ',') AS memory_ids, count(*) AS cnt FROM memories WHERE memory_id < 2000 GROUP BY 1")
+@query("ids_by_source", "SELECT source_model, memory_id, count(*) OVER (PARTITION BY source_model) AS cnt FROM memories")
 def by_source(t):  # noqa: ANN001, ANN201
-    return M.ids_by_source(t("memories").filter("memory_id < 2000")).withColumn("memory_ids", F.array_join("memory_ids", ","))
-
-
-@query("ids_by_source_all")
-def by_source_all(t):  # noqa: ANN001, ANN201
-    """Over the whole table, in rows: a list of each source would grow with it."""
+    """In rows: a list of each source would grow with the table."""
     return M.rows_by_source(t("memories"))
 
 
@@ -743,15 +695,15 @@ def boost(t):  # noqa: ANN001, ANN201
     return M.boost_salience(m, m.filter("memory_id % 3 = 0"))
 
 
-@query("cross_reference", "SELECT tag_a_id, tag_b_id, 1 / (1 + exp(-(ln(1e0 + cnt) - 2))) AS cooccurrence, CASE WHEN (tag_a_id + tag_b_id) % 3 = 0 THEN 0.6e0 WHEN (tag_a_id + tag_b_id) % 3 = 1 THEN 0.7e0 ELSE 0e0 END AS semantic, CASE WHEN (tag_a_id + tag_b_id) % 3 = 0 THEN 0.5e0 ELSE 0e0 END AS inhibition FROM pairs WHERE tag_a_id < 20", "cooccurrence, semantic, inhibition")
+@query("cross_reference", "SELECT tag_a_id, tag_b_id, 1 / (1 + exp(-(ln(1e0 + cnt) - 2))) AS cooccurrence, CASE WHEN (tag_a_id + tag_b_id) % 3 = 0 THEN 0.6e0 WHEN (tag_a_id + tag_b_id) % 3 = 1 THEN 0.7e0 ELSE 0e0 END AS semantic, CASE WHEN (tag_a_id + tag_b_id) % 3 = 0 THEN 0.5e0 ELSE 0e0 END AS inhibition FROM pairs", "cooccurrence, semantic, inhibition")
 def cross_reference(t):  # noqa: ANN001, ANN201
     kinds = F.when((F.col("tag_a_id") + F.col("tag_b_id")) % 3 == 0, "opposition").when((F.col("tag_a_id") + F.col("tag_b_id")) % 3 == 1, "transformation").otherwise("kinship")
-    return T.cross_reference(t("pairs"), t("pairs").filter("tag_a_id < 20").select(*T.PAIR, kinds.alias("relation")))
+    return T.cross_reference(t("pairs"), t("pairs").select(*T.PAIR, kinds.alias("relation")))
 
 
-@query("apply_deltas", "SELECT tag_a_id, tag_b_id, CASE WHEN tag_a_id < 10 THEN 0.15e0 * glyph + 0.85e0 * inhibition ELSE inhibition END AS inhibition, CASE WHEN tag_a_id < 10 THEN 0.15e0 * semantic + 0.85e0 * parallelness ELSE parallelness END AS parallelness FROM tensor", "inhibition, parallelness")
+@query("apply_deltas", "SELECT tag_a_id, tag_b_id, CASE WHEN glyph > 0 THEN 0.15e0 * glyph + 0.85e0 * inhibition ELSE inhibition END AS inhibition, CASE WHEN glyph > 0 THEN 0.15e0 * semantic + 0.85e0 * parallelness ELSE parallelness END AS parallelness FROM tensor", "inhibition, parallelness")
 def deltas(t):  # noqa: ANN001, ANN201
-    d = t("tensor").filter("tag_a_id < 10").select(*T.PAIR, F.col("glyph").alias("inhibition"), F.col("semantic").alias("parallelness"))
+    d = t("tensor").filter("glyph > 0").select(*T.PAIR, F.col("glyph").alias("inhibition"), F.col("semantic").alias("parallelness"))
     return T.apply_deltas(t("tensor"), d).select(*T.PAIR, "inhibition", "parallelness")
 
 
@@ -772,19 +724,10 @@ def centroid_fold(t):  # noqa: ANN001, ANN201
     return VS.centroid_fold(v.select("tag_id", F.col("memory_id").alias("stored_at"), "memory_id", "embedding"))
 
 
-@query("source_summaries", "SELECT motif, summary, memories, rank FROM (SELECT motif, summary, count(*) AS memories, row_number() OVER (PARTITION BY motif ORDER BY count(*) DESC, summary) AS rank FROM (SELECT motif, l_orderkey, l_returnflag || l_linestatus AS summary FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT tag_id, CAST(tag_id % 2 AS INT) AS motif FROM basket_tags WHERE tag_id < 12) ON tag_id = p_size GROUP BY 1, 2, 3 HAVING count(DISTINCT tag_id) >= 2) GROUP BY 1, 2) WHERE rank <= 5")
+@query("source_summaries", "SELECT motif, summary, memories, rank FROM (SELECT motif, summary, count(*) AS memories, row_number() OVER (PARTITION BY motif ORDER BY count(*) DESC, summary) AS rank FROM (SELECT motif, l_orderkey, l_returnflag || l_linestatus AS summary FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT tag_id, CAST(tag_id % 2 AS INT) AS motif FROM basket_tags) ON tag_id = p_size GROUP BY 1, 2, 3 HAVING count(DISTINCT tag_id) >= 2) GROUP BY 1, 2) WHERE rank <= 5")
 def source_summaries(t):  # noqa: ANN001, ANN201
-    return _source_summaries(t, "tag_id < 12")
-
-
-def _source_summaries(t, where: str) -> DataFrame:  # noqa: ANN001
     m = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("memory_id"), F.col("p_size").alias("tag_id"), F.concat("l_returnflag", "l_linestatus").alias("summary"))
-    return MO.source_summaries(m, t("basket_tags").filter(where).select("tag_id", (F.col("tag_id") % 2).alias("motif")))
-
-
-@query("source_summaries_all")
-def source_summaries_all(t):  # noqa: ANN001, ANN201
-    return _source_summaries(t, "true")
+    return MO.source_summaries(m, t("basket_tags").select("tag_id", (F.col("tag_id") % 2).alias("motif")))
 
 
 @query("name_predicates", "SELECT p_partkey, contains(lower(p_name), 're') AND NOT contains(lower(p_name), 'ed') AS matched, length(p_mfgr) = 1 AND false AS letter FROM (SELECT *, p_brand AS p_mfgr FROM part)")

@@ -1,6 +1,5 @@
-"""Queries that stand beside bounded ones cover all their rows."""
+"""Queries cover all their rows."""
 
-import glob
 import os
 
 import numpy as np
@@ -8,6 +7,7 @@ import pytest
 
 from tagloom.operators import graph as G
 from tagloom.operators import memory as M
+from tagloom.operators import motifs as MO
 from tagloom.operators import vector_search as VS
 from tagloom.plans import catalog
 
@@ -23,7 +23,7 @@ def test_rows_by_source(spark):
 
 @tables
 def test_ids_by_source_has_every_memory(spark):
-    got = catalog.QUERIES["ids_by_source_all"](spark, SF)
+    got = catalog.QUERIES["ids_by_source"](spark, SF)
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert got.count() == orders.count() and got.select("memory_id").exceptAll(orders.select("o_orderkey")).isEmpty()
 
@@ -38,7 +38,7 @@ def test_searches_take_every_twentieth_row(spark):
         scores = np.round(x @ x[ids == i][0], 9)
         true[i] = ids[np.lexsort((ids, -scores))[:10]].tolist()
     top = {}
-    for r in catalog.QUERIES["vector_top_k_all"](spark, SF).orderBy("query_id", "rank").collect():
+    for r in catalog.QUERIES["vector_top_k"](spark, SF).orderBy("query_id", "rank").collect():
         assert r["score"] >= 0.1
         top.setdefault(r["query_id"], []).append(r["memory_id"])
     assert sorted(top) == sorted(queries) and all(true[i][: len(m)] == m for i, m in top.items())
@@ -71,44 +71,6 @@ def test_deep_retrieve_by_query(spark):
         assert sorted((r["memory_id"], r["score"], r["depth"]) for r in both if r["query_id"] == q) == sorted(map(tuple, alone))
 
 
-#: The bounds in the SQL of the query, and what stands there in a copy of it without them.
-WIDER = {
-    "rectangles": {"x.tag_id < 12 AND y.tag_id < 12": "true"},
-    "source_summaries": {"WHERE tag_id < 12": ""},
-    "rank_invert": {"WHERE tag_a_id < 6 AND tag_b_id < 10": ""},
-    "prefix_parallelness": {"WHERE tag_a_id < 6 AND tag_b_id < 10": ""},
-    "bridge_scores": {"AND value > 60": "", "AND value > 100": ""},
-    "bridge_sum": {"AND value > 60": "", "AND value > 100": ""},
-    "tag_pair_bridges": {"AND value > 60": "", "AND value > 100": ""},
-    "bridged_pmi": {"AND value > 60": "", "AND value > 100": ""},
-    "select_edges": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
-    "square_motifs": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
-    "zigzag_classes": {"r <= 60 OR l <= 20": "r <= 500 OR l <= 100"},
-    "vector_top_k": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
-    "retrieve_semantic": {"WHERE vec_id < 10": "WHERE vec_id % 20 = 0"},
-}
-
-
-@tables
-@pytest.mark.parametrize("name", WIDER)
-def test_without_bounds(spark, name):
-    import duckdb
-
-    small, sql = "/root/testdata/sf0.001", catalog.ORACLE_SQL[name]
-    for bound, instead in WIDER[name].items():
-        assert bound in sql
-        sql = sql.replace(bound, instead)
-    c = duckdb.connect()
-    c.execute("SET TimeZone = 'UTC'")
-    for path in glob.glob(f"{small}/*.parquet"):
-        c.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-    want = c.sql(sql)
-    got = catalog.QUERIES[f"{name}_all"](spark, small).select(*want.columns).collect()
-    a, b = (sorted((tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in rows)) for rows in (got, want.fetchall()))
-    assert len(a) == len(b) > len(catalog.QUERIES[name](spark, small).head(1))
-    assert sum(x != y for x, y in zip(a, b, strict=True)) <= len(a) * 0.001
-
-
 @tables
 def test_canopy_has_every_memory_of_an_edge(spark):
     small = "/root/testdata/sf0.001"
@@ -135,8 +97,24 @@ def test_canopy_has_every_memory_of_an_edge(spark):
 
 @tables
 def test_chains_see_the_whole_selection(spark):
-    chains, edges = (catalog.QUERIES[n](spark, SF) for n in ("longest_chains_all", "select_edges_all"))
+    chains, edges = (catalog.QUERIES[n](spark, SF) for n in ("longest_chains", "select_edges"))
     assert chains.count() == edges.count() > 180
     assert chains.selectExpr("max(length)").first()[0] > 4
     assert catalog.QUERIES["chain_anisotropy"](spark, SF).selectExpr("sum(edges)").first()[0] == edges.count()
-    assert catalog.QUERIES["square_motif_diagonals"](spark, SF).count() == catalog.QUERIES["square_motifs_all"](spark, SF).count()
+    assert catalog.QUERIES["square_motif_diagonals"](spark, SF).count() == catalog.QUERIES["square_motifs"](spark, SF).count()
+
+
+def test_longest_chains_against_every_path(spark):
+    rng = np.random.default_rng(6)
+    rows = [(layer, a, b, float(rng.integers(1, 9))) for layer in ("x", "y") for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.35]
+    got = {tuple(r)[:3]: r["length"] for r in MO.longest_chains(spark.createDataFrame(rows, "layer string, a int, b int, score double"), depth=5, branching=2).collect()}
+    best = {}
+    for layer, node in {(x[0], n) for x in rows for n in x[1:3]}:
+        ends = sorted((-s, b if a == node else a) for x, a, b, s in rows if x == layer and node in (a, b))
+        best[layer, node] = [n for _, n in ends[:2]]
+
+    def longest(layer, path):
+        onward = [n for n in best[layer, path[-1]] if n not in path] if len(path) <= 5 else []
+        return max([longest(layer, [*path, n]) for n in onward], default=len(path) - 1)
+
+    assert got == {(x, a, b): max(longest(x, [a, b]), longest(x, [b, a])) for x, a, b, _ in rows}
