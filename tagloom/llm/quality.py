@@ -108,15 +108,18 @@ class QualityModel:
 
 def sampled(rows: DataFrame, docs: int, size: int, seed: int) -> DataFrame:
     """About ``docs`` of the rows and ``size`` bytes of text, by a hash of id and text; the whole table if it has no more."""
-    n = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("bytes")).first()
     part = min(1.0, docs / max(n["docs"], 1), size / max(n["bytes"] or 0, 1))
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * part)))
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * part))).drop("bytes")
 
 
 def labelled_rows(rows: DataFrame, labels: DataFrame, label_col: str, learn_from: Column | None, label_id: str = "doc_id") -> DataFrame:
-    """(id, text, y) of the rows that have a label; of several labels of an id the largest counts."""
+    """(id, text, bytes, y) of the rows that have a label; of several labels of an id the largest counts.
+
+    Bytes are counted ahead of the join, so that their sum moves no text.
+    """
     known = narrow(labels, id=label_id, y=label_col).filter("id is not null and y is not null").groupBy("id").agg(F.max("y").cast("double").alias("y"))
-    out = rows.join(known, "id")
+    out = rows.withColumn("bytes", F.octet_length("text")).join(known, "id")
     return out if learn_from is None else out.filter(learn_from)
 
 
