@@ -106,7 +106,8 @@ class Engine:
         return motifs.square_motifs(edges, motifs.select_edges(edges)).orderBy(F.col("interestingness").desc(), "tag_ids").limit(limit)
 
     def chain_anisotropy(self) -> DataFrame:
-        return motifs.chain_anisotropy(motifs.select_edges(motifs.scored_edges(self._of("tensor"))))
+        """Chains along each layer against chains beside it, and shuffles of the layers."""
+        return motifs.chain_baseline(motifs.select_edges(motifs.scored_edges(self._of("tensor")), overall=1500, per_layer=200))
 
 
 def run_sync(engine: Engine, folder: str) -> dict[str, str]:

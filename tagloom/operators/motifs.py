@@ -28,33 +28,67 @@ def scored_edges(tensor: DataFrame, weights: dict[str, float] | None = None) ->
     return flat.select(F.col("tag_a_id").alias("a"), F.col("tag_b_id").alias("b"), score.alias("score"), layer.alias("layer"), vector.alias("profile")).filter("score > 0")
 
 
-def select_edges(edges: DataFrame, least: float = 0.1, overall: int = 500, per_layer: int = 100) -> DataFrame:
-    """The ``overall`` best edges and the ``per_layer`` best of each layer."""
+def select_edges(edges: DataFrame, least: float = 0.05, overall: int = 500, per_layer: int = 100, names: DataFrame | None = None, min_length: int = 2) -> DataFrame:
+    """The ``overall`` best edges and the ``per_layer`` best of each layer.
+
+    names: (tag_id, name); where given, both tags of an edge have a name of
+    ``min_length`` characters at least.
+    """
     good = edges.filter(F.col("score") >= least)
+    if names is not None:
+        long = names.filter(F.length("name") >= min_length).select("tag_id")
+        for end in ("a", "b"):
+            good = good.join(long.withColumnRenamed("tag_id", end), end, "left_semi")
     order = [F.col("score").desc(), F.col("a"), F.col("b")]
     best = good.orderBy(*order).limit(overall)
     by_layer = good.withColumn("_rl", F.row_number().over(Window.partitionBy("layer").orderBy(*order))).filter(F.col("_rl") <= per_layer).drop("_rl")
     return best.unionByName(by_layer).dropDuplicates(["a", "b"])
 
 
-def square_motifs(edges: DataFrame, selected: DataFrame, least: float = 0.1, min_consistency: float = 0.65) -> DataFrame:
-    """Four-cycles whose neighbouring sides are of different layers, each once.
+def edge_evidence(selected: DataFrame, memory_tags: DataFrame) -> DataFrame:
+    """(a, b, memory_id): the memories that hold both tags of a selected edge.  A memory meets only its edges, not all its pairs."""
+    held = memory_tags.select("memory_id", "tag_id").distinct()
+    first = held.withColumnRenamed("tag_id", "a").join(selected.select("a", "b"), "a")
+    return first.join(held.withColumnRenamed("tag_id", "b"), ["memory_id", "b"]).select("a", "b", "memory_id")
+
+
+def shared_memories(cycles: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(tag_ids, shared): number of memories on every side that has any, of the cycles with two such sides at least.
+
+    evidence: (a, b, memory_id), a < b.  Cycles meet it side by side, in rows.
+    """
+    corner = [F.element_at("tag_ids", i) for i in (1, 2, 3, 4)]
+    ends = [F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")) for u, v in zip(corner, corner[1:] + corner[:1], strict=True)]
+    sides = cycles.select("tag_ids", F.explode(F.array(*ends)).alias("_s")).select("tag_ids", "_s.a", "_s.b")
+    met = sides.join(evidence.select("a", "b", "memory_id").distinct(), ["a", "b"])
+    kept = met.select("tag_ids", "a", "b").distinct().groupBy("tag_ids").agg(F.count(F.lit(1)).alias("_k")).filter("_k >= 2")
+    per = met.groupBy("tag_ids", "memory_id").agg(F.count(F.lit(1)).alias("_c"))
+    return per.join(kept, "tag_ids").filter("_c = _k").groupBy("tag_ids").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def square_motifs(edges: DataFrame, selected: DataFrame, least: float = 0.05, min_consistency: float = 0.65, min_colors: int = 2, distinct_sides: bool = True, evidence: DataFrame | None = None) -> DataFrame:
+    """Four-cycles of ``min_colors`` layers at least, each once; with ``distinct_sides`` neighbouring sides differ in layer.
 
     A pair of wedges over a diagonal.  The selection bounds the edges before
     the join.  Diagonals look up all edges: drawn if one is there, else void,
-    implied or missing by the support of the two paths.
+    implied or missing by the support of the two paths.  Memories shared by
+    the sides (evidence, see ``shared_memories``) add to the interest.
     """
     both = selected.select("a", "b", "score", "layer", "profile").unionByName(selected.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "layer", "profile"))
     w1 = both.select(F.col("a").alias("p"), F.col("b").alias("m"), F.col("score").alias("s1"), F.col("layer").alias("l1"), F.col("profile").alias("v1"))
     w2 = both.select(F.col("a").alias("m"), F.col("b").alias("q"), F.col("score").alias("s2"), F.col("layer").alias("l2"), F.col("profile").alias("v2"))
-    wedges = w1.join(w2, "m").filter("p < q and l1 <> l2")
+    wedges = w1.join(w2, "m").filter("p < q")
+    if distinct_sides:
+        wedges = wedges.filter("l1 <> l2")
     x, y = (wedges.select("p", "q", *[F.col(c).alias(f"{c}{n}") for c in ("m", "s1", "s2", "l1", "l2", "v1", "v2")]) for n in "xy")
     # p is the smallest corner, mx before my: the canonical rotation and direction of the cycle.
-    cycles = x.join(y, ["p", "q"]).filter("mx < my and p < mx and l1x <> l1y and l2x <> l2y")
+    cycles = x.join(y, ["p", "q"]).filter("mx < my and p < mx")
+    if distinct_sides:
+        cycles = cycles.filter("l1x <> l1y and l2x <> l2y")
     corners = F.array("p", "mx", "q", "my")
     layers = F.array("l1x", "l2x", "l2y", "l1y")
     scores = [F.col(c) for c in ("s1x", "s2x", "s2y", "s1y")]
-    out = cycles.select("p", "mx", "q", "my", corners.alias("tag_ids"), layers.alias("side_layers"), ((scores[0] + scores[1] + scores[2] + scores[3]) / 4).alias("side_score"), *scores, "v1x", "v2x", "v2y", "v1y")
+    out = cycles.select("p", "mx", "q", "my", corners.alias("tag_ids"), layers.alias("side_layers"), ((scores[0] + scores[1] + scores[2] + scores[3]) / 4).alias("side_score"), *scores, "v1x", "v2x", "v2y", "v1y").filter(F.size(F.array_distinct("side_layers")) >= min_colors)
 
     def unit(v: Column) -> Column:
         n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
@@ -87,8 +121,13 @@ def square_motifs(edges: DataFrame, selected: DataFrame, least: float = 0.1, min
     diversity = F.size(F.array_distinct("side_layers"))
     centre = (F.col("ac_consistency") + F.col("bd_consistency")) / 2
     out = out.withColumns({"void_score": void, "center_score": centre, "diversity": diversity})
-    interest = F.col("side_score") * (1 + F.col("diversity") / 6) + F.col("void_score") + 0.5 * F.col("center_score") - 0.1 * drawn
-    return out.select("tag_ids", "side_layers", "diversity", "ac_status", "bd_status", "side_score", "void_score", "center_score", interest.alias("interestingness"))
+    if evidence is None:
+        out = out.withColumn("shared", F.lit(0).cast("long"))
+    else:
+        out = cut(out.drop("v1x", "v2x", "v2y", "v1y"))
+        out = out.join(shared_memories(out, evidence), "tag_ids", "left").fillna({"shared": 0})
+    interest = F.col("side_score") * (1 + F.col("diversity") / 6) + F.col("void_score") + 0.5 * F.col("center_score") + 0.05 * F.log1p(F.col("shared").cast("double")) - 0.1 * drawn
+    return out.select("tag_ids", "side_layers", "diversity", "ac_status", "bd_status", "side_score", "void_score", "center_score", "shared", interest.alias("interestingness"))
 
 
 def side_class(layers: Column) -> Column:
@@ -187,6 +226,100 @@ def chain_anisotropy(edges: DataFrame, depth: int = 6, branching: int = 5) -> Da
     return axis.join(side, "layer", "left").select("layer", "edges", "axis_length", "mean_length", F.coalesce("side_length", F.lit(0.0)).alias("side_length"), (F.col("axis_length") / F.greatest(F.coalesce("side_length", F.lit(0.0)), F.lit(1.0))).alias("anisotropy"))
 
 
+def chain_contrast(edges: list[tuple[int, int]], layers: list[str], depth: int = 6, branching: int = 5, side_branching: int = 2, probes: int = 100, least: int = 10) -> dict[str, tuple[int, int, float, float]]:
+    """Of each layer with ``least`` edges: (edges, probes, mean chain along the layer, mean chain of other layers beside it).
+
+    edges: best first, with a layer each.  A probe is one of the first
+    ``probes`` edges of a layer.  Its chain is the longest simple path that
+    the edge begins, in either direction, of ``depth`` edges at most and over
+    the ``branching`` best edges of a node.  Beside it, at both ends, the
+    chains that begin with the ``side_branching`` best edges of each other
+    layer are averaged (0 where there is none).
+    """
+    near: dict[tuple[str, int], list[int]] = {}
+    for (a, b), layer in zip(edges, layers, strict=True):
+        for u, v in ((a, b), (b, a)):
+            heads = near.setdefault((layer, u), [])
+            if len(heads) < branching:
+                heads.append(v)
+    known: dict[tuple[str, int, int], int] = {}
+
+    def chain(layer: str, u: int, v: int) -> int:
+        """Length of the longest chain from u over v; ends at the first that is ``depth`` long."""
+        if (layer, u, v) not in known:
+            best, open_paths = 0, [(u, v)]
+            while open_paths and best < depth:
+                path = open_paths.pop()
+                best = max(best, len(path) - 1)
+                open_paths.extend(path + (w,) for w in reversed(near.get((layer, path[-1]), ())) if w not in path)
+            known[layer, u, v] = min(best, depth)
+        return known[layer, u, v]
+
+    def mean(values: list) -> float:
+        return sum(values) / len(values) if values else 0.0
+
+    out = {}
+    for layer in LAYER_ORDER:
+        own = [e for e, x in zip(edges, layers, strict=True) if x == layer]
+        if len(own) < least:
+            continue
+        along, beside = [], []
+        for a, b in own[:probes]:
+            along.append(max(chain(layer, a, b), chain(layer, b, a)))
+            starts = [(x, u, v) for u in (a, b) for x in LAYER_ORDER if x != layer for v in [w for w in near.get((x, u), ()) if w not in (a, b)][:side_branching]]
+            beside.append(mean([chain(*s) for s in starts]))
+        out[layer] = (len(own), len(along), mean(along), mean(beside))
+    return out
+
+
+def chain_baseline(edges: DataFrame, iterations: int = 80, seed: int = 23, depth: int = 6, branching: int = 5, side_branching: int = 2, probes: int = 100, least: int = 10, bound: int = 20_000) -> DataFrame:
+    """Contrast of the chains along and beside each layer, against shuffles of the layers over the edges.
+
+    edges: a selection (``select_edges``), best first after its order here, at
+    most ``bound`` of them: with more this raises instead of leaving any out.
+    The selection goes to the workers, where each shuffle is a row of its own.
+    p is two-sided, (exceed + 1) / (n + 1).  No edges give no rows.
+    """
+    import random
+
+    import pandas as pd
+
+    spark = edges.sparkSession
+    best = edges.select("a", "b", "score", "layer").orderBy(F.col("score").desc(), "a", "b").limit(bound + 1).collect()
+    if len(best) > bound:
+        raise ValueError(f"select at most {bound} edges first")
+    ends, layers, rng = [(r["a"], r["b"]) for r in best], [r["layer"] for r in best], random.Random(seed)
+
+    def shuffled() -> str:
+        again = layers.copy()
+        rng.shuffle(again)
+        return ",".join(again)
+
+    deals = [(0, ",".join(layers))] + [(i + 1, shuffled()) for i in range(iterations)]
+    run = spark.createDataFrame(deals if best else [], "iteration int, layers string").repartition(max(1, min(len(deals), spark.sparkContext.defaultParallelism)), "iteration")
+
+    def measure(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            rows = [
+                (i, layer, *found)
+                for i, dealt in zip(pdf["iteration"], pdf["layers"], strict=True)
+                for layer, found in chain_contrast(ends, dealt.split(","), depth, branching, side_branching, probes, 1 if i else least).items()
+            ]
+            yield pd.DataFrame(rows, columns=["iteration", "layer", "edges", "probes", "axis_mean", "side_mean"])
+
+    found = run.mapInPandas(measure, "iteration int, layer string, edges long, probes long, axis_mean double, side_mean double").withColumn("contrast", F.col("axis_mean") - F.col("side_mean"))
+    found = cut(found)
+    seen = found.filter("iteration = 0").drop("iteration")
+    null = found.filter("iteration > 0").select("layer", F.col("contrast").alias("_c"))
+    stats = null.groupBy("layer").agg(F.avg("_c").alias("_m"), F.count(F.lit(1)).alias("_n"), F.coalesce(F.stddev_samp("_c"), F.lit(0.0)).alias("_d"))
+    joined = seen.join(stats, "layer", "left").fillna({"_m": 0.0, "_n": 0, "_d": 0.0})
+    exceed = null.join(joined.select("layer", "_m", F.col("contrast").alias("_o")), "layer").groupBy("layer").agg(F.sum((F.abs(F.col("_c") - F.col("_m")) >= F.abs(F.col("_o") - F.col("_m"))).cast("long")).alias("_e"))
+    z = F.when(F.col("_d") > 1e-12, (F.col("contrast") - F.col("_m")) / F.col("_d")).otherwise(0.0)
+    ratio = F.when(F.col("side_mean") > 1e-12, F.col("axis_mean") / F.col("side_mean")).otherwise(F.col("axis_mean"))
+    p = (F.coalesce("_e", F.lit(0)) + 1) / (F.col("_n") + 1)
+    return joined.join(exceed, "layer", "left").select("layer", "edges", "probes", "axis_mean", "side_mean", "contrast", ratio.alias("ratio"), F.col("_m").alias("baseline_mean"), F.col("_d").alias("baseline_stdev"), z.alias("z"), p.alias("p"))
+
+
 def matches_terms(text: Column, include: str = "", exclude: str = "") -> Column:
     """Any of the included terms (all texts where there is none) and none of the excluded; comma-separated, trimmed, lower-cased."""
 
@@ -199,8 +332,6 @@ def matches_terms(text: Column, include: str = "", exclude: str = "") -> Column:
     return out if unwanted is None else out & ~unwanted
 
 
-
-
 def source_summaries(memories: DataFrame, tags: DataFrame, least: int = 2, top: int = 5) -> DataFrame:
     """The ``top`` sources (summary) of the memories that have ``least`` of the tags at least, by their number.
 

@@ -269,7 +269,7 @@ def scored(t):  # noqa: ANN001, ANN201
 
 
 _REDGES = f"(SELECT a, b, round(score, 9) AS score, layer FROM {_EDGES})"
-_SELECTED = f"(SELECT a, b, score, layer FROM (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r, row_number() OVER (PARTITION BY layer ORDER BY score DESC, a, b) AS l FROM {_REDGES} WHERE score >= 0.1) WHERE r <= 500 OR l <= 100)"
+_SELECTED = f"(SELECT a, b, score, layer FROM (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r, row_number() OVER (PARTITION BY layer ORDER BY score DESC, a, b) AS l FROM {_REDGES} WHERE score >= 0.05) WHERE r <= 500 OR l <= 100)"
 
 
 def _selected(t) -> DataFrame:  # noqa: ANN001
@@ -297,7 +297,13 @@ def squares(t):  # noqa: ANN001, ANN201
 
 @query("square_motif_diagonals")
 def diagonals(t):  # noqa: ANN001, ANN201
-    return _squares(t)
+    chosen = cut(_selected(t))
+    return MO.square_motifs(_edges(t), chosen, evidence=MO.edge_evidence(chosen, t("user_tags")))
+
+
+@query("square_motifs_any_layer")
+def squares_any(t):  # noqa: ANN001, ANN201
+    return MO.square_motifs(_edges(t), _selected(t), distinct_sides=False)
 
 
 @query("zigzag_classes", f"SELECT CASE WHEN k = 1 THEN 'uniform' WHEN l1 = l3 AND l2 = l4 THEN 'zigzag' WHEN (l1 = l2 AND l3 = l4) OR (l2 = l3 AND l4 = l1) THEN 'banded' ELSE 'mixed' END AS side_class, count(*) AS motifs FROM (SELECT *, len(list_distinct([l1, l2, l3, l4])) AS k FROM {_CYCLES}) GROUP BY 1")
@@ -329,6 +335,12 @@ def anisotropy(t):  # noqa: ANN001, ANN201
     return MO.chain_anisotropy(_selected(t))
 
 
+@query("chain_baseline")
+def chain_baseline(t):  # noqa: ANN001, ANN201
+    scored_ = _edges(t).withColumn("score", F.round("score", 9))
+    return MO.chain_baseline(MO.select_edges(scored_, overall=1500, per_layer=200))
+
+
 # ---- episodic edges and clusters ----------------------------------------------------------------
 
 _UT = "(SELECT DISTINCT vec_id AS memory_id, label AS tag_id FROM embeddings UNION SELECT vec_id, 100 + vec_id % 3 FROM embeddings)"
