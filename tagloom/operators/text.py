@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.scalar import content_hash, normalize_tag
+from tagloom.functions.scalar import content_hash
 
 #: Headings, and where sentences end; so are the sizes of chunks below.
 HEADING = re.compile(r"^(#{1,6}\s+.+|[A-Z][A-Z\s]{3,}[A-Z])$", re.MULTILINE)
@@ -84,17 +84,88 @@ def new_chunks(found: DataFrame, stored: DataFrame) -> DataFrame:
     return hashed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-#: Tags of file name endings.
-SUFFIX_TAGS = {"md": "markdown", "txt": "text", "pdf": "pdf", "docx": "document", "json": "data", "csv": "data", "py": "python", "js": "javascript", "ts": "typescript", "rs": "rust", "go": "golang", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "sh": "shell", "sql": "sql", "html": "web", "css": "web", "yaml": "config", "yml": "config", "toml": "config"}
+#: Tags by the ending of an ingested file.
+FILE_TAGS = {
+    "py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby",
+    "md": "markdown", "pdf": "pdf", "docx": "word-doc", "json": "json", "csv": "data", "sql": "sql",
+    "html": "html", "css": "css", "tex": "latex", "yaml": "config", "yml": "config", "toml": "config",
+}
+#: Tags by the ending of a document.
+DOCUMENT_TAGS = {
+    "txt": "text", "md": "markdown", "rst": "restructuredtext", "csv": "csv", "tsv": "tsv", "log": "log", "json": "json", "jsonl": "jsonl",
+    "xml": "xml", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "config", "cfg": "config", "env": "config", "properties": "config",
+    "html": "html", "htm": "html", "css": "css", "tex": "latex", "bib": "latex", "py": "python", "js": "javascript", "ts": "typescript",
+    "sh": "shell", "bat": "batch", "ps1": "powershell", "sql": "sql", "r": "r", "jl": "julia", "go": "go", "rs": "rust", "java": "java",
+    "c": "c", "cpp": "cpp", "h": "header",
+}
+#: Folders and names that give no tag.
+PLAIN_FOLDERS = ("src", "lib", "dist")
+PLAIN_DOCUMENT_FOLDERS = ("src", "lib", "dist", "app", "docs", "doc")
+PLAIN_STEMS = ("readme", "index", "main", "app")
+#: Ending and name of a file's path; a name that begins with a dot has no ending.
+ENDING, STEM = r"[^/]\.([^./]+)$", r"([^/]+?)(?:\.[^./]+)?$"
 
 
-def path_tags(path: Column) -> Column:
-    """Tags of a path: its folders, its name without ending, and the kind of the ending."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    names = F.transform(parts, lambda p: normalize_tag(F.regexp_replace(p, r"\.[A-Za-z0-9]+$", "")))
-    kinds = F.create_map(*[F.lit(x) for kv in SUFFIX_TAGS.items() for x in kv])
-    kind = F.element_at(kinds, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(names, F.array(kind)), lambda n: n.isNotNull() & (n != ""))))
+def _tag_of(part: Column) -> Column:
+    return F.translate(F.lower(part), " _", "--")
+
+
+def _folder_tags(path: Column, plain: tuple[str, ...]) -> Column:
+    parts = F.split(path, "/")
+    return F.filter(F.transform(F.slice(parts, 1, F.size(parts) - 1), _tag_of), lambda n: (F.length(n) > 1) & ~n.isin(*plain))
+
+
+def _kind(path: Column, kinds: dict[str, str]) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return F.element_at(table, F.lower(F.regexp_extract(path, ENDING, 1)))
+
+
+def file_tags(path: Column) -> Column:
+    """Tags of an ingested file, by its path below the base: kind of the ending, folders, ``document``.  A null path gives null."""
+    return F.filter(F.concat(F.array(_kind(path, FILE_TAGS)), _folder_tags(path, PLAIN_FOLDERS), F.array(F.lit("document"))), lambda n: n.isNotNull())
+
+
+def document_tags(path: Column) -> Column:
+    """Tags of a document, by its path below the base: ``document``, kind of the ending, the ending itself, name, folders.  A null path gives null."""
+    ending, stem = F.lower(F.regexp_extract(path, ENDING, 1)), _tag_of(F.regexp_extract(path, STEM, 1))
+    named = F.array(
+        F.lit("document"),
+        _kind(path, DOCUMENT_TAGS),
+        F.when(ending != "", F.concat(F.lit("ext:"), ending)),
+        F.when((F.length(stem) > 2) & ~stem.isin(*PLAIN_STEMS), stem),
+    )
+    return F.filter(F.concat(named, _folder_tags(path, PLAIN_DOCUMENT_FOLDERS)), lambda n: n.isNotNull())
+
+
+def parts(text: str | None, path: str, size: int = 3000, overlap: int = 200) -> list[str]:
+    """Pieces of a document by paragraphs, headed by its path; each but the first begins with the last characters of the piece before.
+
+    A null or blank text has none; a paragraph longer than a piece stays whole.
+    """
+    if not text or not text.strip():
+        return []
+    if len(text) <= size:
+        return [f"[{path}]\n\n{text.strip()}"]
+    out: list[str] = []
+    for part in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+        if out and len(out[-1]) + 2 + len(part) <= size:
+            out[-1] += "\n\n" + part
+        elif out and 0 < overlap < len(out[-1]):
+            out.append(out[-1][-overlap:] + "\n\n" + part)
+        else:
+            out.append(part)
+    return [f"[{path} (part {n}/{len(out)})]\n\n{piece.strip()}" for n, piece in enumerate(out, 1)]
+
+
+def document_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", size: int = 3000, overlap: int = 200) -> DataFrame:
+    """(id, chunk_index, total, chunk) of every document; a null path is empty."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, n, len(found), c) for i, text, path in zip(pdf["id"], pdf["text"], pdf["path"], strict=True) for found in [parts(text, path, size, overlap)] for n, c in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["id", "chunk_index", "total", "chunk"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(path_col, F.lit("")).alias("path")).mapInPandas(cut, "id long, chunk_index int, total int, chunk string")
 
 
 def criticality(doc_tags: DataFrame, known: DataFrame, threshold: float = 0.3) -> DataFrame:

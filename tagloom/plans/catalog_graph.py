@@ -10,6 +10,7 @@ from tagloom.operators import align as A
 from tagloom.operators import directional as D
 from tagloom.operators import episodes as E
 from tagloom.operators import episodic as EP
+from tagloom.operators import forest as FO
 from tagloom.operators import graph as G
 from tagloom.operators import lexical as LX
 from tagloom.operators import memory as M
@@ -567,13 +568,69 @@ def criticality(t):  # noqa: ANN001, ANN201
 
 
 _PLAIN = "regexp_replace(split_part(url, '?', 1), '#.*$', '')"
-_KIND = f"CASE lower(regexp_extract({_PLAIN}, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SUFFIX_TAGS.items()) + " ELSE '' END"
+# A page as a file of a mirror.
+_FILE = f"(regexp_replace(regexp_replace({_PLAIN}, '^[a-z]+://', ''), '/+$', '') || '.html')"
 
 
-@query("path_tags", f"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_append(list_transform(string_split({_PLAIN}, '/'), lambda p: regexp_replace(regexp_replace(lower(trim(regexp_replace(p, '\\.[A-Za-z0-9]+$', ''))), '\\s+', '-', 'g'), '[^a-z0-9\\-:]', '', 'g')), {_KIND}), lambda n: n <> ''))), ',') AS tags FROM pages")
-def paths(t):  # noqa: ANN001, ANN201
+def _path_sql(first: str, plain: tuple[str, ...], last: str) -> str:
+    folders = f"list_filter(list_transform(string_split({_FILE}, '/')[:-2], lambda x: translate(lower(x), ' _', '--')), lambda n: length(n) > 1 AND n NOT IN {plain})"
+    return f"SELECT page_id, array_to_string(list_filter(list_concat({first}, {folders}, {last}), lambda n: n IS NOT NULL), ',') AS tags FROM pages"
+
+
+_STEM = f"translate(lower(regexp_extract({_FILE}, '([^/]+)\\.html$', 1)), ' _', '--')"
+
+
+def _mirrored(t) -> DataFrame:  # noqa: ANN001
     plain = F.regexp_replace(F.substring_index("url", "?", 1), "#.*$", "")
-    return t("pages").select("page_id", F.array_join(X.path_tags(plain), ",").alias("tags"))
+    return t("pages").withColumn("path", F.concat(F.regexp_replace(F.regexp_replace(plain, "^[a-z]+://", ""), "/+$", ""), F.lit(".html")))
+
+
+@query("file_tags", _path_sql("['html']", X.PLAIN_FOLDERS, "['document']"))
+def file_tags(t):  # noqa: ANN001, ANN201
+    return _mirrored(t).select("page_id", F.array_join(X.file_tags(F.col("path")), ",").alias("tags"))
+
+
+@query("document_tags", _path_sql(f"['document', 'html', 'ext:html', CASE WHEN length({_STEM}) > 2 AND {_STEM} NOT IN {X.PLAIN_STEMS} THEN {_STEM} END]", X.PLAIN_DOCUMENT_FOLDERS, "[]"))
+def document_tags(t):  # noqa: ANN001, ANN201
+    return _mirrored(t).select("page_id", F.array_join(X.document_tags(F.col("path")), ",").alias("tags"))
+
+
+@query("document_parts")
+def document_parts(t):  # noqa: ANN001, ANN201
+    return X.document_parts(t("documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
+# ---- forest -------------------------------------------------------------------------------------
+
+_GATED = "(SELECT s.retrieval_id, tag_a_id AS a, tag_b_id AS b FROM tensor JOIN session_tags s ON s.tag_id = tag_a_id JOIN session_tags r ON r.tag_id = tag_b_id AND r.retrieval_id = s.retrieval_id)"
+_FOREST = f"""(SELECT a, b, raw, n.c * m.c / CAST(t.c AS DOUBLE) AS expected, greatest(0e0, ln(raw * t.c / CAST(n.c * m.c AS DOUBLE))) AS strength
+    FROM (SELECT a, b, CAST(count(*) AS DOUBLE) AS raw FROM {_GATED} GROUP BY 1, 2) JOIN (SELECT tag_id, count(*) AS c FROM session_tags GROUP BY 1) n ON n.tag_id = a JOIN (SELECT tag_id, count(*) AS c FROM session_tags GROUP BY 1) m ON m.tag_id = b
+    CROSS JOIN (SELECT count(DISTINCT retrieval_id) AS c FROM session_tags) t)"""
+
+
+def _grown(t) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    hits = t("session_tags")
+    active = hits.select(F.col("retrieval_id").cast("string").alias("scope_id"), F.lit("tag").alias("target_type"), F.col("tag_id").cast("string").alias("target_id"))
+    counts = active.groupBy("target_type", "target_id").agg(F.count(F.lit(1)).alias("n"))
+    total = hits.agg(F.countDistinct("retrieval_id").alias("total"))
+    return active, t("tensor"), FO.grow_edges(None, active, "retrieval", t("tensor"), counts, total)
+
+
+@query("forest_edges", f"SELECT CAST(a AS VARCHAR) AS left_id, CAST(b AS VARCHAR) AS right_id, raw AS raw_count, expected AS expected_count, strength AS co_strength FROM {_FOREST}", "raw_count, expected_count, co_strength")
+def forest_edges(t):  # noqa: ANN001, ANN201
+    return _grown(t)[2].select("left_id", "right_id", "raw_count", "expected_count", "co_strength")
+
+
+@query(
+    "forest_blocks",
+    f"""SELECT left(sha256('cooccurrence:tag_set:' || tags), 32) AS block_key, avg(density) AS density, count(*) AS evidence_count
+        FROM (SELECT retrieval_id, string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY CAST(tag_id AS VARCHAR)) AS tags FROM session_tags GROUP BY 1)
+        JOIN (SELECT retrieval_id, avg(strength) AS density FROM {_GATED} JOIN {_FOREST} USING (a, b) GROUP BY 1) USING (retrieval_id) GROUP BY 1""",
+    "density",
+)
+def forest_blocks(t):  # noqa: ANN001, ANN201
+    active, gate, edges = _grown(t)
+    return FO.grow_blocks(None, active, edges, gate)
 
 
 _DETAIL = " OR ".join(f"regexp_matches(text, '(?i){x}')" for x in X.DETAIL)

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tagloom.operators import text
 from tagloom.sources import files, sinks
 from tagloom.streaming import jobs
 
@@ -68,3 +69,53 @@ def test_windowed_counts(spark, tmp_path):
     q = jobs.windowed_counts(stream, "24 hours", "24 hours", "24 hours").writeStream.format("memory").queryName("w").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("events")).first()[0] == 48
+
+
+def test_events_and_retrievals(spark, tmp_path):
+    events = spark.createDataFrame([(1, "store", "m"), (1, "store", "m"), (2, "store", None)], "tag_id int, event_type string, memory_id string")
+    for _ in range(2):
+        sinks.record_events(events, str(tmp_path / "events"))
+    stored = spark.read.parquet(str(tmp_path / "events"))
+    assert stored.count() == 6 and stored.filter("weight = 1 and occurred_at is not null").count() == 6
+    sinks.record_events(events.withColumn("weight", F.lit(0.5)), str(tmp_path / "events"))
+    assert spark.read.parquet(str(tmp_path / "events")).filter("weight = 0.5").count() == 3
+    results = spark.createDataFrame([(1, "q", "b", 0.5), (1, "q", "a", 0.5), (1, "q", "c", 0.9), (2, "none", None, None)], "retrieval_id long, query_text string, memory_id string, score double")
+    sinks.log_retrievals(results, str(tmp_path), "hybrid", "v")
+    heads = {r["retrieval_id"]: r["result_count"] for r in spark.read.parquet(str(tmp_path / "retrievals")).collect()}
+    assert heads == {1: 3, 2: 0}
+    assert sorted((r["rank"], r["memory_id"]) for r in spark.read.parquet(str(tmp_path / "results")).collect()) == [(1, "c"), (2, "a"), (3, "b")]
+    hits = spark.createDataFrame([(1, 5, "direct"), (1, 5, "direct"), (1, 6, None)], "retrieval_id long, tag_id long, hit_type string")
+    sinks.log_tag_hits(hits, str(tmp_path / "hits"))
+    sinks.log_tag_hits(hits.unionByName(hits.selectExpr("2L AS retrieval_id", "tag_id", "hit_type")), str(tmp_path / "hits"))
+    assert spark.read.parquet(str(tmp_path / "hits")).count() == 4
+
+
+def test_tags_of_paths(spark):
+    paths = ["My_Docs/src/Read Me.MD", "docs/app/index.html", "a.tar.gz", ".env", "x/y1/report_final.csv", "notes", None]
+    got = spark.createDataFrame([(p,) for p in paths], "path string").select("path", text.file_tags(F.col("path")).alias("f"), text.document_tags(F.col("path")).alias("d")).collect()
+    found = {r["path"]: (r["f"], r["d"]) for r in got}
+    assert found["My_Docs/src/Read Me.MD"] == (["markdown", "my-docs", "document"], ["document", "markdown", "ext:md", "read-me", "my-docs"])
+    assert found["docs/app/index.html"] == (["html", "docs", "app", "document"], ["document", "html", "ext:html"])
+    assert found["a.tar.gz"] == (["document"], ["document", "ext:gz", "a.tar"])
+    assert found[".env"] == (["document"], ["document", ".env"])
+    assert found["x/y1/report_final.csv"] == (["data", "y1", "document"], ["document", "csv", "ext:csv", "report-final", "y1"])
+    assert found["notes"] == (["document"], ["document", "notes"]) and found[None] == (None, None)
+
+
+def test_document_parts(spark):
+    paragraphs = [f"{i} " + "word " * 50 for i in range(40)]
+    body = "\n\n".join(paragraphs)
+    rows = [(1, body, "x/a.md"), (2, " short ", None), (3, None, "y"), (4, " \n ", "y"), (5, "z" * 4000, "long"), (1, body, "x/a.md")]
+    got = text.document_parts(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()
+    mine = [r for r in got if r["id"] == 1]
+    n = mine[0]["total"]
+    assert len(mine) == 2 * n and n > 2
+    pieces = [r["chunk"].split("\n\n", 1)[1] for r in sorted(mine[:n], key=lambda r: r["chunk_index"])]
+    assert mine[0]["chunk"].startswith(f"[x/a.md (part 1/{n})]\n\n0 word")
+    assert all(len(p) <= 3000 + 200 + 2 for p in pieces)
+    # Every paragraph is whole in a piece, and a piece begins with the end of the piece before.
+    assert all(any(p.strip() in piece for piece in pieces) for p in paragraphs)
+    assert all(a[-150:] in b for a, b in zip(pieces, pieces[1:], strict=False))
+    assert [r["chunk"] for r in got if r["id"] == 2] == ["[]\n\nshort"]
+    assert not [r for r in got if r["id"] in (3, 4)]
+    assert [r["chunk"] for r in got if r["id"] == 5] == ["[long (part 1/1)]\n\n" + "z" * 4000]
