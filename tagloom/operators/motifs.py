@@ -72,7 +72,9 @@ def square_motifs(edges: DataFrame, selected: DataFrame, least: float = 0.05, mi
     A pair of wedges over a diagonal.  The selection bounds the edges before
     the join.  Diagonals look up all edges: drawn if one is there, else void,
     implied or missing by the support of the two paths.  Memories shared by
-    the sides (evidence, see ``shared_memories``) add to the interest.
+    the sides (evidence, see ``shared_memories``) add to the interest.  The
+    vector score is positive where opposite sides are more alike than
+    neighbouring ones.
     """
     both = selected.select("a", "b", "score", "layer", "profile").unionByName(selected.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "layer", "profile"))
     w1 = both.select(F.col("a").alias("p"), F.col("b").alias("m"), F.col("score").alias("s1"), F.col("layer").alias("l1"), F.col("profile").alias("v1"))
@@ -106,7 +108,10 @@ def square_motifs(edges: DataFrame, selected: DataFrame, least: float = 0.05, mi
 
     ac = cosine(path("v1x", "v2x"), path("v1y", "v2y"))
     bd = cosine(path("v1x", "v1y"), path("v2x", "v2y"))
-    out = out.withColumns({"ac_consistency": ac, "bd_consistency": bd})
+    ring = [F.col(c) for c in ("v1x", "v2x", "v2y", "v1y")]
+    opposite = (cosine(ring[0], ring[2]) + cosine(ring[1], ring[3])) / 2
+    beside = sum((cosine(ring[i], ring[(i + 1) % 4]) for i in range(1, 4)), cosine(ring[0], ring[1])) / 4
+    out = out.withColumns({"ac_consistency": ac, "bd_consistency": bd, "vector_score": opposite - beside})
     out = out.withColumn("ac_support", F.least((F.col("s1x") + F.col("s2x")) / 2, (F.col("s1y") + F.col("s2y")) / 2) * F.col("ac_consistency"))
     out = out.withColumn("bd_support", F.least((F.col("s1x") + F.col("s1y")) / 2, (F.col("s2x") + F.col("s2y")) / 2) * F.col("bd_consistency"))
     for name, u, v in (("ac", "p", "q"), ("bd", "mx", "my")):
@@ -127,7 +132,7 @@ def square_motifs(edges: DataFrame, selected: DataFrame, least: float = 0.05, mi
         out = cut(out.drop("v1x", "v2x", "v2y", "v1y"))
         out = out.join(shared_memories(out, evidence), "tag_ids", "left").fillna({"shared": 0})
     interest = F.col("side_score") * (1 + F.col("diversity") / 6) + F.col("void_score") + 0.5 * F.col("center_score") + 0.05 * F.log1p(F.col("shared").cast("double")) - 0.1 * drawn
-    return out.select("tag_ids", "side_layers", "diversity", "ac_status", "bd_status", "side_score", "void_score", "center_score", "shared", interest.alias("interestingness"))
+    return out.select("tag_ids", "side_layers", "diversity", "ac_status", "bd_status", "side_score", "void_score", "center_score", "vector_score", "shared", interest.alias("interestingness"))
 
 
 def side_class(layers: Column) -> Column:
@@ -141,9 +146,9 @@ def side_class(layers: Column) -> Column:
 
 
 def side_signature(layers: Column) -> Column:
-    """The least of the eight rotations and reflections of the side layers, joined by ``>``."""
+    """The least of the eight rotations and reflections of the side layers, joined by ``|``."""
     order = [[0, 1, 2, 3], [1, 2, 3, 0], [2, 3, 0, 1], [3, 0, 1, 2], [3, 2, 1, 0], [2, 1, 0, 3], [1, 0, 3, 2], [0, 3, 2, 1]]
-    return F.array_min(F.array(*[F.concat_ws(">", *[F.element_at(layers, i + 1) for i in o]) for o in order]))
+    return F.array_min(F.array(*[F.concat_ws("|", *[F.element_at(layers, i + 1) for i in o]) for o in order]))
 
 
 def zigzag_report(motifs: DataFrame) -> DataFrame:
@@ -151,6 +156,18 @@ def zigzag_report(motifs: DataFrame) -> DataFrame:
     return motifs.groupBy(side_class(F.col("side_layers")).alias("side_class"), side_signature(F.col("side_layers")).alias("signature")).agg(F.count(F.lit(1)).alias("motifs"))
 
 
+def zigzag_pairs(motifs: DataFrame) -> DataFrame:
+    """Number of zig-zags of each pair of layers."""
+    pair = F.array_join(F.array_sort(F.array_distinct("side_layers")), "|")
+    return motifs.filter(side_class(F.col("side_layers")) == "zigzag").groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("motifs"))
+
+
+def zigzag_vectors(motifs: DataFrame) -> DataFrame:
+    """Number of motifs, their mean vector score and the share of positive ones (0 without motifs)."""
+    positive = F.avg((F.col("vector_score") > 1e-9).cast("double"))
+    return motifs.agg(F.count(F.lit(1)).alias("motifs"), F.coalesce(F.avg("vector_score"), F.lit(0.0)).alias("vector_mean"), F.coalesce(positive, F.lit(0.0)).alias("positive_rate"))
+
+
 def zigzag_baseline(motifs: DataFrame, permutations: int = 200, seed: int = 13) -> DataFrame:
     """Zig-zags against permutations of all side layers: observed, mean, stdev, z, two-sided p = (exceed + 1) / (n + 1).
 

@@ -302,19 +302,50 @@ def diagonals(t):  # noqa: ANN001, ANN201
     return MO.square_motifs(_edges(t), chosen, evidence=MO.edge_evidence(chosen, t("user_tags")))
 
 
-@query("square_motifs_any_layer")
+# All four-cycles, whatever the layers of their sides: what zig-zags are counted in.
+_SIDES = ("x", "y", "z", "w")
+_ALL_CYCLES = f"""(WITH s AS {_SELECTED}, d AS (SELECT a, b, score, layer FROM s UNION ALL SELECT b, a, score, layer FROM s)
+    SELECT x.a AS p, x.b AS m, y.b AS q, z.b AS n, x.layer AS l1, y.layer AS l2, z.layer AS l3, w.layer AS l4, (x.score + y.score + z.score + w.score) / 4 AS side_score FROM d x JOIN d y ON y.a = x.b JOIN d z ON z.a = y.b JOIN d w ON w.a = z.b AND w.b = x.a
+    WHERE x.a < x.b AND x.a < y.b AND x.b < z.b AND x.a < z.b)"""
+_CLASSED = f"(SELECT *, len(list_distinct([l1, l2, l3, l4])) AS k, list_max(list_transform([l1, l2, l3, l4], lambda x: len(list_filter([l1, l2, l3, l4], lambda y: y = x)))) AS most FROM {_ALL_CYCLES})"
+_CLASS = "CASE WHEN k = 1 THEN 'uniform' WHEN l1 = l3 AND l2 = l4 THEN 'zigzag' WHEN (l1 = l2 AND l3 = l4) OR (l2 = l3 AND l4 = l1) THEN 'banded' WHEN most = 3 THEN 'three-one' ELSE 'mixed' END"
+_RING = ("1234", "2341", "3412", "4123", "4321", "3214", "2143", "1432")
+_SIGNATURE = "least(" + ", ".join("concat_ws('|', " + ", ".join(f"l{i}" for i in r) + ")" for r in _RING) + ")"
+
+
+def _all_squares(t) -> DataFrame:  # noqa: ANN001
+    return MO.square_motifs(_edges(t), _selected(t), min_colors=1, distinct_sides=False)
+
+
+@query("square_motifs_any_layer", f"SELECT concat_ws(',', p, m, q, n) AS tag_ids, concat_ws(',', l1, l2, l3, l4) AS side_layers, side_score, CAST(k AS INT) AS diversity FROM {_CLASSED}", "side_score")
 def squares_any(t):  # noqa: ANN001, ANN201
-    return MO.square_motifs(_edges(t), _selected(t), distinct_sides=False)
+    return _all_squares(t).select(F.array_join("tag_ids", ",").alias("tag_ids"), F.array_join("side_layers", ",").alias("side_layers"), "side_score", "diversity")
 
 
-@query("zigzag_classes", f"SELECT CASE WHEN k = 1 THEN 'uniform' WHEN l1 = l3 AND l2 = l4 THEN 'zigzag' WHEN (l1 = l2 AND l3 = l4) OR (l2 = l3 AND l4 = l1) THEN 'banded' ELSE 'mixed' END AS side_class, count(*) AS motifs FROM (SELECT *, len(list_distinct([l1, l2, l3, l4])) AS k FROM {_CYCLES}) GROUP BY 1")
+@query("zigzag_classes", f"SELECT {_CLASS} AS side_class, {_SIGNATURE} AS signature, count(*) AS motifs FROM {_CLASSED} GROUP BY 1, 2")
 def zigzags(t):  # noqa: ANN001, ANN201
-    return MO.zigzag_report(_squares(t)).groupBy("side_class").agg(F.sum("motifs").alias("motifs"))
+    return MO.zigzag_report(_all_squares(t))
+
+
+@query("zigzag_pairs", f"SELECT least(l1, l2) || '|' || greatest(l1, l2) AS pair, count(*) AS motifs FROM {_CLASSED} WHERE {_CLASS} = 'zigzag' GROUP BY 1")
+def zigzag_pairs(t):  # noqa: ANN001, ANN201
+    return MO.zigzag_pairs(_all_squares(t))
+
+
+_PROFILES = f"(SELECT tag_a_id AS a, tag_b_id AS b, [{', '.join(f'{w}e0 * {k}' for k, w in _W.items())}] AS v FROM {_FLAT})"
+_COS = "greatest(0e0, least(1e0, list_cosine_similarity({0}.v, {1}.v)))"
+_VECTOR = "(" + " + ".join(_COS.format(*e) for e in ("xz", "yw")) + ") / 2 - (" + " + ".join(_COS.format(*e) for e in ("xy", "yz", "zw", "wx")) + ") / 4"
+_MEETS = " ".join(f"JOIN f {s} ON {s}.a = c.{u} AND {s}.b = c.{v}" for s, u, v in zip(_SIDES, "pmqn", "mqnp", strict=True))
+
+
+@query("zigzag_vectors", f"WITH e AS {_PROFILES}, f AS (SELECT a, b, v FROM e UNION ALL SELECT b, a, v FROM e), r AS (SELECT {_VECTOR} AS s FROM {_ALL_CYCLES} c {_MEETS}) SELECT count(*) AS motifs, coalesce(avg(s), 0) AS vector_mean, coalesce(avg(CASE WHEN s > 1e-9 THEN 1e0 ELSE 0e0 END), 0) AS positive_rate FROM r", "vector_mean, positive_rate")
+def zigzag_vectors(t):  # noqa: ANN001, ANN201
+    return MO.zigzag_vectors(_all_squares(t))
 
 
 @query("zigzag_baseline")
 def zigzag_baseline(t):  # noqa: ANN001, ANN201
-    return MO.zigzag_baseline(_squares(t))
+    return MO.zigzag_baseline(_all_squares(t))
 
 
 _SOURCES = "(SELECT user_id % 30 AS source, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS tag_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1, 2)"

@@ -104,3 +104,17 @@ def test_chain_baseline(spark):
     assert MO.chain_baseline(table(spark, edges).filter("score > 9")).count() == 0
     with pytest.raises(ValueError):
         MO.chain_baseline(table(spark, edges), bound=10)
+
+
+def test_zigzag_pairs_and_vectors(spark):
+    zigzag = [(1, 2, 0.9, "semantic"), (2, 3, 0.8, "glyph"), (3, 4, 0.7, "semantic"), (1, 4, 0.6, "glyph")]
+    banded = [(11, 12, 0.9, "semantic"), (12, 13, 0.8, "semantic"), (13, 14, 0.7, "glyph"), (11, 14, 0.6, "glyph")]
+    edges = table(spark, zigzag + banded)
+    motifs = MO.square_motifs(edges, edges, min_colors=1, distinct_sides=False)
+    # Opposite sides alike and neighbours not: 1; opposite unlike, two of four neighbours alike: -0.5.
+    assert {r["tag_ids"][0]: r["vector_score"] for r in motifs.collect()} == pytest.approx({1: 1.0, 11: -0.5})
+    assert [tuple(r) for r in MO.zigzag_pairs(motifs).collect()] == [("glyph|semantic", 1)]
+    assert tuple(MO.zigzag_vectors(motifs).first()) == pytest.approx((2, 0.25, 0.5))
+    assert tuple(MO.zigzag_vectors(motifs.limit(0)).first()) == (0, 0.0, 0.0)
+    found = {(r["side_class"], r["signature"]) for r in MO.zigzag_report(motifs).collect()}
+    assert found == {("zigzag", "glyph|semantic|glyph|semantic"), ("banded", "glyph|glyph|semantic|semantic")}
