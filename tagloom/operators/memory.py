@@ -52,6 +52,20 @@ def get_or_create_tags(tags: DataFrame, names: DataFrame) -> DataFrame:
     return wanted.join(tags.select("name"), "name", "left_anti")
 
 
+def list_active_names(tags: DataFrame) -> DataFrame:
+    """Names of the active tags, in order; a tag without the flag is active."""
+    return tags.filter(F.coalesce(F.col("is_active"), F.lit(True))).select("name").orderBy("name")
+
+
+def overview(**tables: DataFrame) -> DataFrame:
+    """(name, total): rows of each table, counted in one pass each."""
+    counts = [df.agg(F.count(F.lit(1)).alias("total")).select(F.lit(name).alias("name"), "total") for name, df in tables.items()]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def split_compounds(tags: DataFrame) -> DataFrame:
     """Parts of compound names (name) that aren't names already: over one letter, not numeric."""
     parts = tags.select(F.explode(F.split("name", "[-_]")).alias("name")).filter((F.length("name") > 1) & ~F.col("name").rlike("^[0-9]+$")).distinct()

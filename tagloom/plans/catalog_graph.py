@@ -631,6 +631,19 @@ def document_parts(t):  # noqa: ANN001, ANN201
     return X.document_parts(t("documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
 
 
+@query("list_active_names", "SELECT name FROM tags WHERE is_active")
+def active_names(t):  # noqa: ANN001, ANN201
+    return M.list_active_names(t("tags"))
+
+
+_COUNTED = {"active_memories": "memories WHERE NOT is_archived", "active_tags": "tags WHERE is_active", "tag_events": "tag_events", "retrievals": "(SELECT DISTINCT retrieval_id FROM hits)", "tensor_edges": "tensor"}
+
+
+@query("overview", " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS total FROM {v}" for k, v in _COUNTED.items()))
+def overview(t):  # noqa: ANN001, ANN201
+    return M.overview(active_memories=M.active(t("memories")), active_tags=t("tags").filter("is_active"), tag_events=t("tag_events"), retrievals=t("hits").select("retrieval_id").distinct(), tensor_edges=t("tensor"))
+
+
 # ---- forest -------------------------------------------------------------------------------------
 
 _GATED = "(SELECT s.retrieval_id, tag_a_id AS a, tag_b_id AS b FROM tensor JOIN session_tags s ON s.tag_id = tag_a_id JOIN session_tags r ON r.tag_id = tag_b_id AND r.retrieval_id = s.retrieval_id)"
