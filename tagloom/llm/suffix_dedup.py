@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,16 @@ U = np.uint64
 class SuffixParams:
     """span: length of the strings.  gram: length of the anchors, below span.
 
+    longer: length of the anchors among strings whose first anchor is shared.
     bucket_bytes: text whose fragments, as hashes, make one bucket.  finer: a
     bucket of bytes to sort is so many times smaller.  crowd: distinct
-    fragments of one anchor beyond which its strings are dealt one by one.
+    fragments of one longer anchor beyond which its strings are dealt one by
+    one.
     """
 
     span: int = 100
     gram: int = 24
+    longer: int = 64
     bucket_bytes: int = 16 << 20
     finer: int = 16
     piece_bytes: int = 2 << 20
@@ -129,11 +134,17 @@ def _second() -> tuple[int, int]:
     return base, pow(base, -1, 1 << 64)
 
 
-@lru_cache(4)
-def _powers(base: int, n: int) -> np.ndarray:
+@lru_cache(8)
+def _row(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, base, U)]), dtype=U)
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fine, coarse): the power i of ``base`` is fine[i % 2048] * coarse[i // 2048], for i below n."""
+    rows = 1 << (n >> 11).bit_length()
+    return _row(base, 2048), _row(pow(base, 2048, 1 << 64), rows)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(31))) * U(0x9FB21C651E98DF25)
     return h ^ (h >> U(28))
@@ -175,8 +186,7 @@ def cut(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, ...]:
     if len(raw) < p.span:
         return none
     h = gram_hashes(raw, p.gram)
-    keyed = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U)
-    anchor = (sliding_minimum(keyed, p.span - p.gram + 1) & U(0xFFFFFFFF)).astype(np.int64)
+    anchor = (sliding_minimum((h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U), p.span - p.gram + 1) & U(0xFFFFFFFF)).astype(np.int64)
     firsts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
     valid = np.flatnonzero(np.arange(len(anchor)) + p.span <= (firsts + sizes)[owner])
@@ -185,16 +195,20 @@ def cut(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, ...]:
     at = anchor[valid]
     heads = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(valid) != 1)]))
     count = np.diff(np.append(heads, len(valid)))
-    start = valid[heads]
-    size = 1 << int(len(h)).bit_length()
+    start, named = valid[heads], h[at[heads]]
+    doc = owner[start]
+    del anchor, owner, valid, at  # as long as the texts, eight times over
 
     def digest(values: np.ndarray, base: int, inverse: int) -> np.ndarray:
-        running = np.concatenate([np.zeros(1, U), np.cumsum(values * _powers(base, size)[: len(h)], dtype=U)])
-        return _mixed((running[start + count + p.span - p.gram] - running[start]) * _powers(inverse, size)[start])
+        fine, coarse = _powers(base, len(h))
+        weighed = (coarse[: -(-len(h) // 2048), None] * fine).reshape(-1)[: len(h)]
+        weighed *= values
+        running = np.concatenate([np.zeros(1, U), np.cumsum(weighed, dtype=U)])
+        fine, coarse = _powers(inverse, len(h))
+        return _mixed((running[start + count + p.span - p.gram] - running[start]) * fine[start & 2047] * coarse[start >> 11])
 
     one, two = digest(h, *_constants()[1:]), digest(_mixed(h + U(0x9E3779B97F4A7C15)), *_second())
-    doc = owner[start]
-    return doc, start - firsts[doc], count, h[at[heads]], one, two
+    return doc, start - firsts[doc], count, named, one, two
 
 
 def pieces(texts: list[bytes], p: SuffixParams) -> Iterator[tuple[np.ndarray, ...]]:
@@ -261,11 +275,47 @@ def _found(kind: int, doc: np.ndarray, start: np.ndarray, count: np.ndarray, anc
     return pd.DataFrame({"kind": kind, "id": doc, "start": start, "count": count, "anchor": anchor if isinstance(anchor, int) else anchor.view(np.int64)})
 
 
+def deal(parts: Iterator[tuple[np.ndarray, list[bytes], np.ndarray]], p: SuffixParams, buckets: int, turn: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of the fragments; parts: ids, texts and where these begin in their documents.
+
+    Fragments equal to an earlier one of the same stretch of ``bucket_bytes``
+    are repeats.  They only pass through and may go anywhere: stretches take
+    turns over the buckets (as -1 - bucket), whatever they hold.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[int, bytes]]:
+        doc, start, count, anchor, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor = anchor & U(SIX)
+        order, first = _first_of_equals(anchor, one, two, doc, start, count)
+        late = (doc[order] != doc[first]) | (start[order] != start[first])
+        again, ours = order[late], np.unique(first)
+        if len(again):
+            yield -1 - turn % buckets, _pack(anchor[again], one[again], two[again], doc[again], start[again], count[again])
+        bucket = (anchor[ours] % U(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        ours, bucket = ours[by], bucket[by]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for x in np.split(ours, cuts) if len(ours) else []:
+            yield int(anchor[x[0]] % U(buckets)), _pack(anchor[x], one[x], two[x], doc[x], start[x], count[x])
+
+    for ids, texts, begins in parts:
+        for doc, start, *rest in pieces(texts, p):
+            held.append((ids[doc], start + begins[doc], *rest))
+        size += sum(map(len, texts))
+        if held and size >= p.bucket_bytes:
+            yield from flush()
+            held, size, turn = [], 0, turn + 1
+    if held:
+        yield from flush()
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SuffixParams = SuffixParams()) -> DataFrame:
     """Remove every byte of a ``span``-byte string that also starts earlier.
 
     Earlier is a smaller id, or an earlier start in the same document; strings
-    are judged on the input.  Four steps:
+    are judged on the input.  Five steps:
 
     1. Every string has an anchor (see ``cut``); runs of strings with one
        anchor are fragments.  A fragment equal to an earlier one of its batch
@@ -273,14 +323,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     2. Fragments, as hashes, meet by anchor.  Again all but the first of equal
        ones are repeats.  An anchor whose fragments differ asks for the bytes
        of the first of each kind.
-    3. Those bytes meet by anchor, and their suffixes are sorted with a
-       difference cover: sampled triples are sorted, their names recursed on,
-       the other suffixes merged in.  Neighbours that agree in ``span`` bytes
-       are one string, and all but its earliest start are repeats.
-    4. Documents meet their repeats and lose the bytes that these cover.
-
-    The strings of an anchor with more than ``crowd`` kinds of fragments are
-    dealt one by one, by their own hash, so that no anchor fills a task.
+    3. In those bytes every string has a second, longer anchor, and the first
+       two steps are done again with these: many texts share a common phrase
+       and nothing longer.
+    4. The bytes that are still asked for meet by longer anchor, and their
+       suffixes are sorted with a difference cover: sampled triples are sorted,
+       their names recursed on, the other suffixes merged in.  Neighbours that
+       agree in ``span`` bytes are one string, and all but its earliest start
+       are repeats.
+    5. Documents meet their repeats and lose the bytes that these cover.
+
+    The strings of a longer anchor with more than ``crowd`` kinds of fragments
+    are dealt one by one, by their own hash, so that no anchor fills a task.
 
     Fragments are called equal by two 64-bit digests, their number of strings
     and their anchor: among n fragments of the corpus a pair is mistaken with a
@@ -301,33 +355,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, -(-total // p.bucket_bytes))
     sorts = buckets * p.finer
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+        for pdf in batches:
+            yield pdf["id"].to_numpy(np.int64), [bytes(t) for t in pdf["text"]], np.zeros(len(pdf), np.int64)
+
+    def of_runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
         for pdf in batches:
-            pdf = pdf.sort_values("id", kind="stable")
-            ids = pdf["id"].to_numpy(np.int64)
-            made = [np.concatenate(x) for x in zip(*pieces([bytes(t) for t in pdf["text"]], p), strict=True)]
-            if not made or not len(made[0]):
-                continue
-            doc, start, count, anchor, one, two = ids[made[0]], *made[1:]
-            anchor = anchor & U(SIX)
-            order, first = _first_of_equals(anchor, one, two, doc, start, count)
-            late = (doc[order] != doc[first]) | (start[order] != start[first])
-            out, keys = [], []
-            if late.any():
-                again = order[late]
-                keys.append(-1 - int(one[again[0]] % U(buckets)))  # as many groups as buckets, which grow with the input
-                out.append(_pack(anchor[again], one[again], two[again], doc[again], start[again], count[again]))
-            ours = np.unique(first)
-            bucket = (anchor[ours] % U(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            ours, bucket = ours[by], bucket[by]
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(ours)), strict=True):
-                x = ours[lo:hi]
-                keys.append(int(bucket[lo]))
-                out.append(_pack(anchor[x], one[x], two[x], doc[x], start[x], count[x]))
-            for lo in range(0, len(out), 64):
-                yield pd.DataFrame({"bucket": keys[lo : lo + 64], "blob": out[lo : lo + 64]})
+            texts: list[bytes] = []
+            for runs, sizes in zip(pdf["runs"], pdf["sizes"], strict=True):
+                ends = np.cumsum(sizes)
+                texts.extend(runs[lo:hi] for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+            yield np.repeat(pdf["id"].to_numpy(np.int64), [len(x) for x in pdf["sizes"]]), texts, np.concatenate(list(pdf["starts"]))
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"]), strict=True)]
@@ -346,22 +384,51 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         marked = anchor[several] | (crowded.astype(U) << U(63))
         return pd.concat([_found(SPAN, doc[again], start[again], count[again]), _found(WANTED, doc[several], start[several], count[several], marked)])
 
-    dealt = searched.mapInPandas(deal, "bucket long, blob binary")
-    met = materialise(dealt.groupBy("bucket").applyInPandas(meet, FOUND), "suffix-met")
-    wanted = met.filter(F.col("kind") == WANTED).groupBy("id").agg(F.collect_list(F.struct("start", "count", "anchor")).alias("asked"))
+    def level(source: DataFrame, of: Callable, gram: int, name: str) -> DataFrame:
+        def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            made = deal(of(batches), replace(p, gram=min(gram, p.span)), buckets, TaskContext.get().partitionId())
+            while some := list(islice(made, 64)):
+                yield pd.DataFrame(some, columns=["bucket", "blob"])
+
+        return materialise(source.mapInPandas(dealt, "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, FOUND), name)
+
+    def asked(met: DataFrame) -> DataFrame:
+        """The fragments wanted of each document, as arrays."""
+        lists = met.filter(F.col("kind") == WANTED).groupBy("id").agg(F.collect_list(F.struct("start", "count", "anchor")).alias("asked"))
+        return lists.select("id", *[F.col(f"asked.{c}").alias(c) for c in ("start", "count", "anchor")])
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The bytes of the wanted fragments, those in a row or overlapping as one run."""
+        for pdf in batches:
+            out = []
+            for doc, text, start, count in zip(pdf["id"], pdf["text"], pdf["start"], pdf["count"], strict=True):
+                by = np.argsort(start)
+                lo, hi = start[by], np.maximum.accumulate((start + count)[by])
+                heads = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+                starts = lo[heads]
+                runs = [text[x : y - 1 + p.span] for x, y in zip(starts.tolist(), hi[np.append(heads[1:], len(lo)) - 1].tolist(), strict=True)]
+                out.append((doc, starts, np.array([len(x) for x in runs], np.int64), b"".join(runs)))
+            yield pd.DataFrame(out, columns=["id", "starts", "sizes", "runs"])
+
+    met = level(searched, of_texts, p.gram, "suffix-met")
+    runs = materialise(searched.join(asked(met), "id").mapInPandas(gather, "id long, starts array<long>, sizes array<long>, runs binary"), "suffix-runs")
+    met_again = level(runs, of_runs, max(p.gram, p.longer), "suffix-longer")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text, asked in zip(pdf["id"], pdf["text"], pdf["asked"], strict=True):
-                for x in asked:
-                    start, count, anchor = x["start"], x["count"], x["anchor"]
-                    if anchor >= 0:
-                        out.append((anchor % sorts, doc, start, text[start : start + count - 1 + p.span]))
-                        continue
-                    whole = text[start : start + count - 1 + p.span]
-                    dealt_to = gram_hashes(np.frombuffer(whole, np.uint8), p.span) % U(sorts)
-                    out.extend((int(b), doc, start + i, whole[i : i + p.span]) for i, b in enumerate(dealt_to))
+            for doc, starts, sizes, text, start, count, anchor in zip(*(pdf[c] for c in ("id", "starts", "sizes", "runs", "start", "count", "anchor")), strict=True):
+                ends = np.cumsum(sizes)
+                run = np.searchsorted(starts, start, "right") - 1
+                lo = (ends - sizes)[run] + start - starts[run]
+                hi = np.minimum(lo + count - 1 + p.span, ends[run])
+                fine = (anchor >= 0) & (hi - lo >= p.span)
+                out.extend((b, doc, s, text[x:y]) for b, s, x, y in zip(*((v[fine]).tolist() for v in (anchor % sorts, start, lo, hi)), strict=True))
+                crowded = (anchor < 0) & (hi - lo >= p.span)
+                if crowded.any():
+                    own = gram_hashes(np.frombuffer(text, np.uint8), p.span) % U(sorts)
+                    for s, x, y in zip(*((v[crowded]).tolist() for v in (start, lo, hi)), strict=True):
+                        out.extend((b, doc, s + i, text[x + i : x + i + p.span]) for i, b in enumerate(own[x : y - p.span + 1].tolist()))
             for lo in range(0, len(out), 5000):
                 yield pd.DataFrame(out[lo : lo + 5000], columns=["bucket", "id", "start", "bytes"])
 
@@ -375,9 +442,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         count = np.diff(np.append(heads, len(which))) if len(which) else heads
         return _found(SPAN, doc[which[heads]], start[which[heads]] + offset[heads], count)
 
-    fetched = searched.join(wanted, "id").select("id", "text", "asked").mapInPandas(fetch, "bucket long, id long, start long, bytes binary")
+    fetched = runs.join(asked(met_again), "id").mapInPandas(fetch, "bucket long, id long, start long, bytes binary")
     sorted_ = fetched.groupBy("bucket").applyInPandas(order, FOUND)
-    spans = met.filter(F.col("kind") == SPAN).unionByName(sorted_).groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    spans = met.unionByName(met_again).filter(F.col("kind") == SPAN).unionByName(sorted_).groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

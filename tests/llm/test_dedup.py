@@ -9,10 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tagloom.llm import suffix_dedup
 from tagloom.llm.exact_dedup import exact_dedup
 from tagloom.llm.graph import components
 from tagloom.llm.minhash import MinHashParams, WordHashes, band_keys, near_dedup, shingles, signature
-from tagloom.llm.suffix_dedup import SuffixParams, brute_force, cut, remove_repeats, repeated, suffix_array
+from tagloom.llm.suffix_dedup import SuffixParams, brute_force, cut, deal, remove_repeats, repeated, suffix_array
 from tests.llm.helpers import SCHEMA, clashing, corpus, frame, prose
 
 
@@ -153,6 +154,43 @@ def test_remove(spark, crowd):
     assert sum(x[1] for x in got.values()) > 1000
 
 
+def removed(df):
+    return {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in df.collect()}
+
+
+def test_remove_short_strings(spark):
+    """Strings shorter than the longer anchors."""
+    rows = [r for r in corpus() if r[0] is not None]
+    got = removed(remove_repeats(frame(spark, rows), params=SuffixParams(span=40, gram=12, bucket_bytes=4000, crowd=5)))
+    assert got == brute_force({i: (t or "").encode() for i, t, *_ in rows}, 40)
+
+
+def test_common_phrases_ask_for_little(spark, monkeypatch):
+    """A phrase in very many different texts, and nothing longer: its strings don't go to the sort."""
+    rng, made, write = random.Random(8), [], suffix_dedup.materialise
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    rows = [(i, f"{prose(rng, 30)} {phrase} {prose(rng, 30)}", "en", "s") for i in range(300)]
+    rows += [(300, rows[0][1][:230] + prose(rng, 30), "en", "s"), (301, rows[1][1], "en", "s")]
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, name: made.append(write(df, name)) or made[-1])
+    got = removed(remove_repeats(frame(spark, rows), params=SuffixParams(crowd=50)))
+    assert got == brute_force({i: t.encode() for i, t, *_ in rows}, 100)
+    assert got[300][1] >= 230 and got[301][1] == len(rows[1][1])
+    asked = made[-1].filter(F.col("kind") == suffix_dedup.WANTED).agg(F.sum("count")).first()[0]
+    assert 0 < asked < 500
+
+
+def test_repeats_of_a_batch_take_turns():
+    """Repeats that every batch finds, of one passage, don't go to one group, and blobs don't multiply by batches."""
+    rng = random.Random(9)
+    passage = prose(rng, 60)
+    parts = [(np.arange(3 * i, 3 * i + 3), [f"{prose(rng, 20)} {passage}".encode() for _ in range(3)], np.zeros(3, np.int64)) for i in range(8)]
+    one_by_one = [k for k, _ in deal(iter(parts), SuffixParams(bucket_bytes=1), 4, 0) if k < 0]
+    assert sorted(one_by_one) == [-4, -4, -3, -3, -2, -2, -1, -1]
+    by_task = [k for turn in range(4) for k, _ in deal(iter(parts[:1]), SuffixParams(), 4, turn) if k < 0]
+    assert sorted(by_task) == [-4, -3, -2, -1]
+    assert len(list(deal(iter(parts), SuffixParams(), 4, 0))) <= 5
+
+
 def test_digests_tell_fragments_apart():
     """The two digests of every run of strings: equal for equal bytes wherever they stand, different otherwise."""
     rng, p = random.Random(4), SuffixParams(span=20, gram=6)
