@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,8 +23,10 @@ SIZES = (1, 2, 3, 4, 5, 6, 8, 11, 16, 32, 64, 128)
 ANCHORED, EVERY = 16, 3
 #: Windows of fewer words are sampled at a step less, such of more words at twice as many samples.
 SHORT, LONG = 11, 64
-#: Places of documents that walk together.
-PIECE = 1 << 14
+#: A window may begin a word or two beside its place in the item and still share a key; at an anchor hardly more than one.
+SLIP, ANCHOR_SLIP = 2, 1
+#: Places of documents that are looked at together.
+PIECE = 1 << 15
 #: Bits of one block of the filter, and bytes of rows in a batch.
 BLOCK = 16
 BATCH = 4 << 20
@@ -49,6 +54,8 @@ class DecontaminationParams:
 
 #: ASCII bytes that are no letters or digits.
 MARKS = bytes(i for i in range(128) if not chr(i).isalnum())
+MARKS_IN_WORDS = MARKS.translate(None, b" \t\n\r\x0b\x0c")
+OTHER_MARKS = re.compile(r"[^\w\n]+|_+")
 
 
 class PlainWords(dict):
@@ -68,6 +75,33 @@ def plain_words(text: str | None, words: PlainWords) -> np.ndarray:
     return h[h != 0]
 
 
+def plain_hashes(raw: list[str]) -> np.ndarray:
+    """What PlainWords has for words that are lower-cased and free of MARKS as far as ASCII goes."""
+    forms, other = raw, [i for i, w in enumerate(raw) if not w.isascii()]
+    if other:
+        forms = raw.copy()
+        for i, form in zip(other, OTHER_MARKS.sub("", "\n".join(raw[i] for i in other).casefold()).split("\n"), strict=True):
+            forms[i] = form
+    return np.fromiter(((xxhash.xxh3_64_intdigest(x) | 1) if x else 0 for x in forms), U, len(forms))
+
+
+def laid_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(``plain_words`` of all texts, a 0 after each text and one more; where each text begins; its number of words).
+
+    Each different word of the texts is hashed once.
+    """
+    plain = [(t or "").encode().lower().translate(None, MARKS_IN_WORDS) for t in texts]
+    split = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).cast(pa.large_string()))
+    raw = split.flatten().dictionary_encode()
+    h = plain_hashes(raw.dictionary.to_numpy(zero_copy_only=False).tolist())[raw.indices.to_numpy()]
+    kept = np.flatnonzero(h)
+    lengths = np.diff(np.searchsorted(kept, split.offsets.to_numpy()))
+    firsts = np.cumsum(lengths + 1) - lengths - 1
+    laid = np.zeros(len(kept) + len(plain) + 1, U)
+    laid[np.arange(len(kept)) + np.repeat(np.arange(len(plain)), lengths)] = h[kept]
+    return laid, firsts, lengths
+
+
 class Walks:
     """The CGK walks and the steps sampled from them, for windows of the given sizes.
 
@@ -125,9 +159,17 @@ class Walks:
                     yield n, key
 
 
+#: Factors of the probes of a filter.
+FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def probe(keys: np.ndarray, width: int, factor: int) -> np.ndarray:
+    return ((keys * U(factor)) >> U(64 - width)).view(np.int64)
+
+
 def probes(keys: np.ndarray, width: int) -> list[np.ndarray]:
     """The three bits of each key in a filter of 2**width bits."""
-    return [((keys * U(f)) >> U(64 - width)).astype(np.int64) for f in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+    return [probe(keys, width, f) for f in FACTORS]
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
@@ -135,6 +177,29 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return (words != 0) & ((words * U(0xD6E8FEB86659FD93) >> U(32)) % U(EVERY) == 0)
 
 
+def word_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """Keys by which the filter knows the words of items whose windows have ``n`` words."""
+    return words + U(n * 0xD6E8FEB86659FD93 % 2**64)
+
+
+def begins(words: np.ndarray, lo: int, n: int, foreign: int, flags: np.ndarray, width: int) -> np.ndarray:
+    """Which of the PIECE places from ``lo`` on may begin a window that shares a key with an item.
+
+    A window of ``n`` words in a match has at most ``foreign`` words that are
+    in no item of the size: each of them is an edit, or stands for a word that
+    was taken out.  The filter knows all words of items, and some more.
+    """
+    here = words[lo : lo + PIECE]
+    fit = anchors(here) if n >= ANCHORED else here != 0
+    if foreign < n:
+        known = np.zeros(len(here) + n + 1, np.int32)  # beyond the end nothing is known
+        seen = flags[probe(word_keys(words[lo : lo + len(here) + n], n), width, FACTORS[0])]
+        known[1 : len(seen) + 1] = np.cumsum(seen, dtype=np.int32)
+        known[len(seen) + 1 :] = known[len(seen)]
+        fit &= known[n : n + len(here)] - known[: len(here)] >= n - foreign
+    return fit
+
+
 def parts_of(words: np.ndarray) -> tuple[int, list[int]]:
     """(size of the windows, offsets of the windows of an item): the largest size that leaves room for two anchors, some distance apart."""
     for n in reversed([x for x in SIZES if x <= len(words)]):
@@ -155,6 +220,12 @@ def reach(n: int, longest: int, p: DecontaminationParams) -> tuple[int, int] | N
     return None if longest > 8 * SIZES[-1] else (longest - n + 2 * p.edits(longest), longest + 2 * p.edits(longest))
 
 
+def shared_words(words: np.ndarray, counts: np.ndarray, region: np.ndarray) -> int:
+    """How many words an item (its different words in order, and how often each is in it) and a region have in common, repeats counted."""
+    at = np.minimum(np.searchsorted(words, region), len(words) - 1)
+    return int(np.minimum(np.bincount(at[words[at] == region], minlength=len(words)), counts).sum())
+
+
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(edits, first, end) of the part of ``region`` at the smallest edit distance from ``item``."""
 
@@ -194,7 +265,7 @@ def item_keys(walks: Walks, words: np.ndarray, offsets: list[int]) -> np.ndarray
 
 
 def embedded_items(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
-    """(item, item_id, words, size, keys) of the items with a word; keys of all windows that cover the item."""
+    """(item, item_id, words, size, keys, known) of the items with a word: keys of all windows that cover the item, and of its words."""
     kind = benchmark.schema["id"].dataType.simpleString()
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,12 +280,13 @@ def embedded_items(benchmark: DataFrame, p: DecontaminationParams) -> DataFrame:
                     if len(w):
                         n, offsets = parts_of(w)
                         of_size = walks.setdefault(n, Walks([n], p))
-                        yield number, item_id, w.tobytes(), n, np.unique(item_keys(of_size, w, offsets)).view(np.int64).tolist()
+                        keys, known = np.unique(item_keys(of_size, w, offsets)), word_keys(np.unique(w), n)
+                        yield number, item_id, w.tobytes(), n, keys.view(np.int64).tolist(), known.view(np.int64).tolist()
                         number += 1
 
-        yield from _batches(made(), ["item", "item_id", "words", "size", "keys"], [2, 4])
+        yield from _batches(made(), ["item", "item_id", "words", "size", "keys", "known"], [2, 4, 5])
 
-    return benchmark.mapInPandas(embed, f"item long, item_id {kind}, words binary, size int, keys array<long>")
+    return benchmark.mapInPandas(embed, f"item long, item_id {kind}, words binary, size int, keys array<long>, known array<long>")
 
 
 def key_filter(items: DataFrame, p: DecontaminationParams) -> tuple[int, bytes]:
@@ -251,25 +323,30 @@ def regions(docs: DataFrame, longest: dict[int, int], width: int, bits: bytes, p
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
-        words = PlainWords()
-        walks = [Walks(x, p) if x else None for x in ([n for n in sorted(longest) if n < ANCHORED], [n for n in sorted(longest) if n >= ANCHORED])]
+        groups = [x for x in ([n for n in sorted(longest) if n < ANCHORED], [n for n in sorted(longest) if n >= ANCHORED]) if x]
+        walks = {tuple(x): Walks(x, p) for group in groups for x in (group, *([n] for n in group))}
+        foreign = {n: p.edits(x) + (ANCHOR_SLIP if n >= ANCHORED else SLIP) for n, x in longest.items()}
         reaches = {n: reach(n, x, p) for n, x in longest.items()}
         row = region = TaskContext.get().partitionId() << 33
 
+        def lots(laid: np.ndarray) -> Iterator[tuple[Walks, np.ndarray]]:
+            """Walks and the places that may begin their windows: a walk for each size, or one for all where that is shorter."""
+            for lo in range(0, len(laid), PIECE):
+                for group in groups:
+                    fit = [begins(laid, lo, n, foreign[n], flags, width) for n in group]
+                    any_size = np.logical_or.reduce(fit)
+                    if group[-1] * np.count_nonzero(any_size) <= sum(n * np.count_nonzero(x) for n, x in zip(group, fit, strict=True)):
+                        yield walks[tuple(group)], lo + np.flatnonzero(any_size)
+                    else:
+                        yield from ((walks[(n,)], lo + np.flatnonzero(x)) for n, x in zip(group, fit, strict=True))
+
         def found(pdf: pd.DataFrame) -> Iterator[tuple]:
             nonlocal region
-            docs = [plain_words(t, words) for t in pdf["text"]]
-            lengths = np.array([len(d) for d in docs])
-            firsts = np.cumsum(lengths + 1) - lengths - 1
-            laid = np.zeros(int(lengths.sum()) + len(docs) + 1, U)  # a 0 ends each document, and holds every pointer
-            for at, d in zip(firsts, docs, strict=True):
-                laid[at : at + len(d)] = d
+            laid, firsts, lengths = laid_words(pdf["text"])  # a 0 ends each document, and holds every pointer
             hits = []
-            starts = [np.arange(len(laid)), np.flatnonzero(anchors(laid))]
-            for some, walk, lo in ((x, w, lo) for x, w in zip(starts, walks, strict=True) if w for lo in range(0, len(x), PIECE)):
-                at = some[lo : lo + PIECE]
-                for n, keys in walk.keys(laid, at):
-                    left = np.flatnonzero(flags[((keys * U(0x9E3779B97F4A7C15)) >> U(64 - width)).astype(np.int64)])
+            for walk, at in lots(laid):
+                for n, keys in walk.keys(laid, at) if len(at) else ():
+                    left = np.flatnonzero(flags[probe(keys, width, FACTORS[0])])
                     if len(left):
                         _, second, third = probes(keys[left], width)
                         left = left[flags[second] & flags[third]]
@@ -277,7 +354,7 @@ def regions(docs: DataFrame, longest: dict[int, int], width: int, bits: bytes, p
             if not hits:
                 return
             place, key, size = (np.concatenate(x) for x in zip(*hits, strict=True))
-            doc = np.minimum(np.searchsorted(firsts, place, "right") - 1, len(docs) - 1)
+            doc = np.searchsorted(firsts, place, "right") - 1
             begin, end = firsts[doc], firsts[doc] + lengths[doc]
             lo, hi = begin.copy(), end.copy()
             for n, around in reaches.items():
@@ -309,7 +386,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Every window of an item's size is embedded by CGK walks over words, and
     samples of its steps are its keys.  One scan of the documents, by a filter
-    of the items' keys, leaves the windows that may share a key with an item;
+    of the items' words and keys, leaves the windows that have enough words of
+    items to be in a match, and may share a key with an item;
     they join the items by key, and the edit distance of each pair that is left
     is computed exactly.  Sizes are rounded down to classes, of ``SIZES[-1]``
     words at most, so that no array is as long as the longest item; longer
@@ -335,20 +413,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kinds = rows.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     if not longest:
         return spark.createDataFrame([], f"id {kinds[0]}, item_id {kinds[1]}, edits long, first_word long, end_word long")
-    found = materialise(regions(rows, longest, *key_filter(items, p), p), "decontaminate-regions")
+    in_filter = key_filter(items.select(F.concat("keys", "known").alias("keys")), p)
+    found = materialise(regions(rows, longest, *in_filter, p), "decontaminate-regions")
     pairs = found.select("region", F.explode("keys").alias("key")).join(items.select("item", F.explode("keys").alias("key")), "key").select("region", "item").distinct()
     met = pairs.join(items.select("item", "item_id", F.col("words").alias("of_item")), "item").join(found.drop("keys"), "region")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, ordered = [], {}
+            out, counted = [], {}
             for i, (k, of_item, raw, first) in enumerate(zip(pdf["item"], pdf["of_item"], pdf["words"], pdf["first"], strict=True)):
                 item, region = np.frombuffer(of_item, U), np.frombuffer(raw, U)
                 most = p.edits(len(item))
-                if k not in ordered:
-                    ordered[k] = np.append(np.unique(item), U(0))  # no word is 0
-                # A match has all but ``most`` words of the item.
-                if np.count_nonzero(ordered[k][np.searchsorted(ordered[k][:-1], region)] == region) >= len(item) - most:
+                if k not in counted:
+                    counted[k] = np.unique(item, return_counts=True)
+                # A match has all but ``most`` words of the item, each as often.
+                if shared_words(*counted[k], region) >= len(item) - most:
                     edits, lo, hi = best_match(item, region)
                     if edits <= most:
                         out.append((i, edits, first + lo, first + hi))

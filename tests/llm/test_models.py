@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.llm import decontaminate
 from tagloom.llm.crf import Chain, marginals
 from tagloom.llm.decontaminate import DecontaminationParams, PlainWords, best_match, contaminated, key_filter, plain_words, probes
 from tagloom.llm.ppm import Index, PpmModel, PpmParams, codes_at, identify, laid, plain, split
@@ -284,3 +285,38 @@ def test_filter_blocks(spark):
     assert width > 20 and len(flags) == 1 << width
     assert all(flags[x].all() for x in probes(np.arange(0, 10**6, 7).astype(np.uint64), width))
     assert np.mean(np.all([flags[x] for x in probes(np.arange(10**7, 10**7 + 10**5).astype(np.uint64), width)], 0)) < 0.01
+
+
+def test_candidates_have_words_of_items(spark, monkeypatch):
+    """Documents that share common words with the items, but too few for a match, make hardly any candidates; the matches stay."""
+    made, materialise = {}, decontaminate.materialise
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name: made.setdefault(name, materialise(df, name)))
+    rng = random.Random(26)
+    common = [f"common{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.7 else prose(rng, 1) for _ in range(n))) for i, n in enumerate([20, 40, 60] * 10)]
+    mixed = [(i, " ".join(rng.choice(common) if rng.random() < 0.2 else f"other{rng.randrange(10**6)}" for _ in range(400)), "en", "s") for i in range(60)]
+    planted = [(100 + i, prose(rng, 30) + " " + " ".join(edited(rng, t.split(), 2)) + " " + prose(rng, 30), "en", "s") for i, t in items]
+    got = contaminated(frame(spark, mixed + planted), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(100 + i, i) for i, _ in items} <= {(r["id"], r["item_id"]) for r in got}
+    candidates = made["decontaminate-regions"].filter("id < 100").select("id").distinct().count()
+    print("candidates", candidates, "of", len(mixed))
+    assert candidates <= len(mixed) // 4
+
+
+def test_words_of_many_texts():
+    texts = [None, "", " \t\x0b", "a\x1cb C\x85d E!", "ẞtraße STRASSE İstanbul ﬁ _x_ É_ü", "!! -- 中文。字 ²½ ๑", "it's,\nIts", None]
+    texts += [" ".join(f"{chr(c)} a{chr(c)}B" for c in range(lo, lo + 1024)) for lo in range(0, 0x3000, 1024)]
+    laid, firsts, lengths = decontaminate.laid_words(texts)
+    words = PlainWords()
+    for text, at, n in zip(texts, firsts, lengths, strict=True):
+        assert laid[at : at + n + 1].tolist() == [*plain_words(text, words).tolist(), 0]
+    assert len(laid) == lengths.sum() + len(texts) + 1
+
+
+def test_shared_words():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = rng.integers(1, 9, 12).astype(np.uint64), rng.integers(1, 12, 20).astype(np.uint64)
+        counts = [min((a == x).sum(), (b == x).sum()) for x in set(a.tolist())]
+        assert decontaminate.shared_words(*np.unique(a, return_counts=True), b) == sum(counts)
+        assert len(a) - best_match(a, b)[0] <= sum(counts)
