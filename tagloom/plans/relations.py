@@ -43,12 +43,20 @@ RELATIONS: dict[str, str] = {
         FROM embeddings a JOIN embeddings b ON b.vec_id - a.vec_id BETWEEN 1 AND 8 AND a.label <= b.label""",
 }
 
+#: The same rows in other words, for Spark, where its planner would compare every row with every other.
+PLANNED: dict[str, str] = {
+    # Ids at most 8 apart are in one band of eight ids or in neighbouring ones.
+    "near_pairs": """SELECT a.vec_id AS memory_a, b.vec_id AS memory_b, a.label AS tag_a, b.label AS tag_b, (a.vec_id + b.vec_id) % 100 / 100e0 AS similarity
+        FROM (SELECT vec_id, label, explode(array(shiftright(vec_id, 3), shiftright(vec_id, 3) + 1)) AS band FROM embeddings) a
+        JOIN (SELECT vec_id, label, shiftright(vec_id, 3) AS band FROM embeddings) b ON a.band = b.band AND b.vec_id - a.vec_id BETWEEN 1 AND 8 AND a.label <= b.label""",
+}
+
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stored table or a relation; what it stands on becomes views of the session."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = RELATIONS[name]
+    sql = PLANNED.get(name, RELATIONS[name])
     for used in sorted(set(re.findall(r"\w+", sql)) & ({*TABLES, *RELATIONS} - {name})):
         relation(spark, sf_dir, used).createOrReplaceTempView(used)
     return spark.sql(sql)
