@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.scalar import clamp, jaccard, temporal_proximity
 from tagloom.operators.graph import connected_components
 from tagloom.operators.lineage import cut
+from tagloom.operators.overlap import jaccard_sums
 
 CHANNELS = ["cooccurrence", "synchronicity", "semantic", "semiotic", "glyph"]
 OVERLAP_WEIGHT = 0.5
@@ -94,9 +95,8 @@ def canopy_scores(edges: DataFrame, clusters: DataFrame, memory_tags: DataFrame,
 
     Pressure is the weighted mean of the positive strengths, over the channels
     that have any; ``flow`` (cluster, outflow, inflow) raises it.  Inhibition is half the mean Jaccard of the tags of all its
-    pairs of memories.  That mean needs only pairs with a common tag, as the
-    others add nothing: they meet by tag, and the number of all pairs comes
-    from the cluster's size.
+    pairs of memories; memories with the same tags are compared as one, and the
+    number of all pairs comes from the cluster's size.
     """
     c = clusters.select(F.col("memory_id").alias("memory_a"), "cluster")
     inside = edges.join(c, "memory_a").join(clusters.select(F.col("memory_id").alias("memory_b"), F.col("cluster").alias("_o")), "memory_b").filter("cluster = _o")
@@ -104,12 +104,8 @@ def canopy_scores(edges: DataFrame, clusters: DataFrame, memory_tags: DataFrame,
     means = inside.groupBy("cluster").agg(*[positive[k].alias(f"mean_{k}") for k in PRESSURE], F.avg("semantic").alias("mean_semantic"), F.count(F.lit(1)).alias("edges"))
     weight = sum((F.when(F.col(f"mean_{k}").isNotNull(), w).otherwise(0.0) for k, w in PRESSURE.items()), F.lit(0.0))
     value = sum((w * F.coalesce(f"mean_{k}", F.lit(0.0)) for k, w in PRESSURE.items()), F.lit(0.0))
-    t = memory_tags.select("memory_id", "tag_id").distinct().join(clusters, "memory_id")
-    sizes = t.groupBy("cluster", "memory_id").agg(F.count(F.lit(1)).alias("_n"))
-    x, y = (t.select("cluster", "tag_id", F.col("memory_id").alias(s)) for s in ("_x", "_y"))
-    common = x.join(y, ["cluster", "tag_id"]).filter("_x < _y").groupBy("cluster", "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    nx, ny = sizes.select("cluster", F.col("memory_id").alias("_x"), F.col("_n").alias("_nx")), sizes.select("cluster", F.col("memory_id").alias("_y"), F.col("_n").alias("_ny"))
-    overlap = common.join(nx, ["cluster", "_x"]).join(ny, ["cluster", "_y"]).groupBy("cluster").agg(F.sum(F.col("_c") / (F.col("_nx") + F.col("_ny") - F.col("_c"))).alias("_sum"))
+    t = memory_tags.select("memory_id", "tag_id").distinct().join(clusters, "memory_id").groupBy(F.col("cluster").alias("scope"), F.col("memory_id").alias("item")).agg(F.sort_array(F.collect_list(F.col("tag_id").cast("long"))).alias("tags"))
+    overlap = jaccard_sums(t).groupBy(F.col("scope").alias("cluster")).agg((F.sum(F.col("members") * F.col("total")) / 2).alias("_sum"))
     members = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     mean_jaccard = F.coalesce("_sum", F.lit(0.0)) / (F.col("members") * (F.col("members") - 1) / 2)
     out = means.join(members, "cluster").filter("members > 1").join(overlap, "cluster", "left")
