@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.scalar import content_hash
+from tagloom.operators.lineage import cut
+from tagloom.operators.overlap import jaccard_sums
 
 #: Headings, and where sentences end; so are the sizes of chunks below.
 HEADING = re.compile(r"^(#{1,6}\s+.+|[A-Z][A-Z\s]{3,}[A-Z])$", re.MULTILINE)
@@ -173,16 +175,14 @@ def criticality(doc_tags: DataFrame, known: DataFrame, threshold: float = 0.3) -
 
     Coverage of the tags by known ones, times 0.6 + 0.4 mean weight over the
     largest; with two documents or more, 0.6 of that and 0.4 of the mean
-    Jaccard with the other documents.  Documents meet by common tags; pairs
-    without any add nothing to the mean.
+    Jaccard with the other documents, all of them (``jaccard_sums``).
     """
     flat = doc_tags.select("doc_id", F.explode(F.array_distinct("tags")).alias("name"))
     sizes = doc_tags.select("doc_id", F.size(F.array_distinct("tags")).alias("_n"))
     weights = flat.join(known.select("name", F.log1p(F.col("cnt").cast("double")).alias("_w")), "name").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k"), F.avg("_w").alias("_avg"), F.max("_w").alias("_max"))
-    x, y = flat.withColumnRenamed("doc_id", "_x"), flat.withColumnRenamed("doc_id", "_y")
-    common = x.join(y, "name").filter("_x <> _y").groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    nx, ny = sizes.select(F.col("doc_id").alias("_x"), F.col("_n").alias("_nx")), sizes.select(F.col("doc_id").alias("_y"), F.col("_n").alias("_ny"))
-    density = common.join(nx, "_x").join(ny, "_y").groupBy(F.col("_x").alias("doc_id")).agg(F.sum(F.col("_c") / (F.col("_nx") + F.col("_ny") - F.col("_c"))).alias("_j"))
+    numbered = cut(flat.select("name").filter("name is not null").distinct().withColumn("_i", F.monotonically_increasing_id()))
+    sets = flat.filter("doc_id is not null").join(numbered, "name").groupBy(F.col("doc_id").alias("item")).agg(F.sort_array(F.collect_list("_i")).alias("tags")).withColumn("scope", F.lit(0))
+    density = sets.join(jaccard_sums(sets), ["scope", "tags"]).select(F.col("item").alias("doc_id"), F.col("total").alias("_j"))
     total = doc_tags.agg(F.count(F.lit(1)).alias("_docs"))
     joined = sizes.join(weights, "doc_id", "left").join(density, "doc_id", "left").crossJoin(F.broadcast(total))
     relevance = F.when(F.col("_k") > 0, F.col("_k") / F.col("_n") * (0.6 + 0.4 * F.when(F.col("_max") > 0, F.col("_avg") / F.col("_max")).otherwise(0.0))).otherwise(0.0)

@@ -7,6 +7,7 @@ import pytest
 
 from tagloom.operators import episodic as EP
 from tagloom.operators import overlap as OV
+from tagloom.operators import text as X
 
 
 def plan_of(df):
@@ -46,4 +47,10 @@ def test_overlaps_make_no_row_a_pair(spark):
     scores = EP.canopy_scores(edges, clusters, t)
     pairs = 301 * 300 / 2
     assert scores.first()["inhibition"] == pytest.approx(0.5 * sum(plain_sums({(0, i): s for i, s in tags.items()}).values()) / 2 / pairs)
-    assert "_x" not in plan_of(scores)
+    docs = spark.createDataFrame([(i, [f"n{x}" for x in s]) for i, s in tags.items()], "doc_id long, tags array<string>")
+    crit = X.criticality(docs, spark.createDataFrame([("n0", 3)], "name string, cnt int"))
+    for df in (scores, crit):
+        assert "_x" not in plan_of(df)
+    of = plain_sums({(0, i): s for i, s in tags.items()})
+    got = {r["doc_id"]: r["score"] for r in crit.collect()}
+    assert got == pytest.approx({i: 0.6 / len(s) + 0.4 * of[0, i] / 300 for i, s in tags.items()})
