@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.lineage import cut
-from tagloom.operators.tensor import degree, direct_score, directed, per_query, touching
+from tagloom.operators.tensor import by_context, contexts, degree, direct_score, directed, per_query, touching
 from tagloom.params import Params
 
 
@@ -25,9 +25,17 @@ def fan_out(tensor: DataFrame, seeds: DataFrame, depth: int | None = None, p: Pa
     divided by the tag's number of edges, so that hubs don't stand out.
 
     seeds: (tag_id), or (query_id, tag_id) for many queries at once; without
-    query_id the result has none.  Seeds aren't in the result.
+    query_id the result has none.  Seeds aren't in the result.  Queries with
+    the same seeds walk once.
     """
     seeds, single = per_query(seeds)
+    of, own = contexts(seeds)
+    out = of.join(walk(tensor, own, depth, p).withColumnRenamed("query_id", "_of"), "_of").select("query_id", "tag_id", "score")
+    return out.drop("query_id") if single else out
+
+
+def walk(tensor: DataFrame, seeds: DataFrame, depth: int | None = None, p: Params = Params()) -> DataFrame:
+    """``fan_out`` of each query (query_id, tag_id) by itself."""
     edges = _both(tensor, direct_score(p).alias("_s"))
     visited = front = seeds.select("query_id", "tag_id").distinct()
     found = None
@@ -41,8 +49,7 @@ def fan_out(tensor: DataFrame, seeds: DataFrame, depth: int | None = None, p: Pa
     if found is None:
         found = front.filter("false").withColumn("score", F.lit(0.0))
     size = degree(tensor).select("tag_id", F.greatest("degree", F.lit(1)).alias("_d"))
-    out = found.join(size, "tag_id").select("query_id", "tag_id", (F.col("score") / F.col("_d")).alias("score"))
-    return out.drop("query_id") if single else out
+    return found.join(size, "tag_id").select("query_id", "tag_id", (F.col("score") / F.col("_d")).alias("score"))
 
 
 def inward_ratio(tensor: DataFrame, seeds: DataFrame, scores: DataFrame, depth: int | None = None, p: Params = Params()) -> DataFrame:
@@ -50,12 +57,11 @@ def inward_ratio(tensor: DataFrame, seeds: DataFrame, scores: DataFrame, depth:
 
     convergence: share of the query's seeds that reach the tag over scored tags
     in ``depth`` hops.  inward: edges to seeds over all edges.  ratio is their
-    product.
+    product.  Queries with the same seeds and the same scored tags walk once.
     """
     seeds, _ = per_query(seeds)
     scores, single = per_query(scores)
-    seeds = seeds.select("query_id", "tag_id").distinct()
-    scored = scores.select("query_id", "tag_id", "score")
+    of, seeds, scored = contexts(seeds.select("query_id", "tag_id"), scores.select("query_id", "tag_id"))
     edges = _both(tensor)
     inside = scored.select("query_id", F.col("tag_id").alias("partner")).unionByName(seeds.select("query_id", F.col("tag_id").alias("partner"))).distinct()
     reached = front = seeds.select("query_id", "tag_id", F.col("tag_id").alias("seed"))
@@ -73,7 +79,8 @@ def inward_ratio(tensor: DataFrame, seeds: DataFrame, scores: DataFrame, depth:
     out = rest.join(of_query, "query_id").join(meet, ["query_id", "tag_id"], "left").join(to_seeds, ["query_id", "tag_id"], "left").join(degree(tensor), "tag_id", "left")
     none = F.lit(0)
     out = out.withColumns({"convergence": F.coalesce("_c", none) / F.col("_n"), "inward": F.when(F.col("degree") > 0, F.coalesce("_e", none) / F.col("degree")).otherwise(0.0)})
-    out = out.select("query_id", "tag_id", "score", "convergence", "inward", (F.col("convergence") * F.col("inward")).alias("ratio"), "_n")
+    out = out.select(F.col("query_id").alias("_of"), "tag_id", "convergence", "inward", (F.col("convergence") * F.col("inward")).alias("ratio"), "_n")
+    out = scores.select("query_id", "tag_id", "score").join(of, "query_id").join(out, ["_of", "tag_id"]).drop("_of").select("query_id", "tag_id", "score", "convergence", "inward", "ratio", "_n")
     return out.drop("query_id") if single else out
 
 
@@ -95,6 +102,12 @@ def semiotic_convergence(tensor: DataFrame, seeds: DataFrame, memory_tags: DataF
     their strength above ``min_semiotic``.  memory_tags: (memory_id, tag_id),
     or (query_id, memory_id, tag_id) for candidates of each query.
     """
+    if "query_id" in seeds.columns and "query_id" in memory_tags.columns:
+        return by_context(seeds, memory_tags, lambda own, rows: _convergence(tensor, own, rows, p))
+    return _convergence(tensor, seeds, memory_tags, p)
+
+
+def _convergence(tensor: DataFrame, seeds: DataFrame, memory_tags: DataFrame, p: Params) -> DataFrame:
     seeds, single = per_query(seeds)
     s = seeds.select("query_id", "tag_id").distinct()
     d = directed(tensor).filter(F.col("strength") > p.min_semiotic).select("source", "target")

@@ -9,7 +9,7 @@ from tagloom.functions.vectors import dot
 from tagloom.operators.graph import filter_hubs, hybrid, semiotic_convergence
 from tagloom.operators.lexical import score_lexical
 from tagloom.operators.lineage import cut
-from tagloom.operators.tensor import best_of_memories, glyph_associations, partner_scores
+from tagloom.operators.tensor import best_of_memories, by_context, glyph_associations, partner_scores
 from tagloom.operators.vector_search import top_k_blocks
 from tagloom.params import Params
 
@@ -32,7 +32,7 @@ def episodic_path(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def resonant(tensor: DataFrame, context: DataFrame, candidate_tags: DataFrame, co_retrieval: DataFrame | None, edges: DataFrame | None, seeds: DataFrame, p: Params = Params()) -> DataFrame:
     """Candidates by partner tags of the context, plus episodic neighbours of the seeds, over the query's best."""
-    out = best_of_memories(candidate_tags, partner_scores(tensor, context, co_retrieval, p))
+    out = by_context(context, candidate_tags, lambda own, rows: best_of_memories(rows, partner_scores(tensor, own, co_retrieval, p)))
     if edges is not None:
         out = out.unionByName(episodic_path(edges, seeds)).groupBy("query_id", "memory_id").agg(F.sum("score").alias("score"))
     top = F.max("score").over(Window.partitionBy("query_id"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.scalar import ball_distance, exp_origin
 from tagloom.functions.vectors import dot
+from tagloom.operators.lineage import cut
 from tagloom.params import Params
 
 PAIR = ["tag_a_id", "tag_b_id"]
@@ -73,6 +76,33 @@ def per_query(rows: DataFrame) -> tuple[DataFrame, bool]:
     return (rows, False) if "query_id" in rows.columns else (rows.withColumn("query_id", F.lit(0)), True)
 
 
+def contexts(*sides: DataFrame) -> tuple[DataFrame, ...]:
+    """(query_id, _of), and for each side its rows (query_id, tag_id) of one query for all that have the same sets; _of names that query.
+
+    What depends on the sets alone is computed once for each different context.
+    Queries that one of the sides lacks are left out.
+    """
+    names = [f"_t{i}" for i in range(len(sides))]
+    sets = None
+    for side, name in zip(sides, names, strict=True):
+        one = side.groupBy("query_id").agg(F.sort_array(F.collect_set("tag_id")).alias(name))
+        sets = one if sets is None else sets.join(one, "query_id")
+    sets = cut(sets)
+    own = sets.groupBy(*names).agg(F.min("query_id").alias("_of"))
+    return sets.join(own, names).select("query_id", "_of"), *[own.select(F.col("_of").alias("query_id"), F.explode(name).alias("tag_id")) for name in names]
+
+
+def by_context(context: DataFrame, candidates: DataFrame, channel: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """channel(context, candidates) of (query_id, tag_id) and (query_id, memory_id, tag_id), whose scores depend on the query's context only.
+
+    It runs once for each different context: candidates of queries that share one are told apart by both their ids.
+    """
+    of, own = contexts(context)
+    rows = candidates.join(of, "query_id").select(F.col("_of").alias("query_id"), F.struct("query_id", "memory_id").alias("memory_id"), "tag_id")
+    out = channel(own, rows)
+    return out.select("memory_id.query_id", "memory_id.memory_id", *[c for c in out.columns if c not in ("query_id", "memory_id")])
+
+
 def direct_score(p: Params = Params()) -> Column:
     """Weighted sum of an edge's layers, the bonus of synchronicity with glyph, less active inhibition."""
     sync, glyph = F.col("synchronicity"), F.col("glyph")
@@ -184,6 +214,12 @@ def glyph_associations(tensor: DataFrame, seeds: DataFrame, memory_tags: DataFra
     Edges between two seeds don't count; partners pass the gate of ``gated``
     and are resolved as in ``best_of_memories``.
     """
+    if "query_id" in seeds.columns and "query_id" in memory_tags.columns:
+        return by_context(seeds, memory_tags, lambda own, rows: _glyph_associations(tensor, own, rows, co_retrieval, p))
+    return _glyph_associations(tensor, seeds, memory_tags, co_retrieval, p)
+
+
+def _glyph_associations(tensor: DataFrame, seeds: DataFrame, memory_tags: DataFrame, co_retrieval: DataFrame | None, p: Params) -> DataFrame:
     seeds, single = per_query(seeds)
     own = seeds.select("query_id", F.col("tag_id").alias("partner")).distinct()
     score = F.col("glyph") + 0.3 * F.col("cooccurrence") - held(p)

@@ -4,9 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.operators import episodic as EP
+from tagloom.operators import graph as G
 from tagloom.operators import overlap as OV
+from tagloom.operators import retrieval as RE
+from tagloom.operators import tensor as T
 from tagloom.operators import text as X
 
 
@@ -54,3 +58,27 @@ def test_overlaps_make_no_row_a_pair(spark):
     of = plain_sums({(0, i): s for i, s in tags.items()})
     got = {r["doc_id"]: r["score"] for r in crit.collect()}
     assert got == pytest.approx({i: 0.6 / len(s) + 0.4 * of[0, i] / 300 for i, s in tags.items()})
+
+
+def test_equal_contexts_count_once(spark, monkeypatch):
+    """What depends on a query's context alone is computed for one query of each context, and holds for all."""
+    rng = random.Random(8)
+    tensor = spark.createDataFrame([(a, b, *[round(rng.random(), 3) for _ in range(7)], rng.uniform(-1, 1)) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.7], ", ".join(["tag_a_id int, tag_b_id int", *[f"{c} double" for c in T.LAYERS]]))
+    context = {q: {0: [1, 2], 1: [3], 2: [1, 2, 4]}[q % 3] for q in range(12)}
+    seeds = spark.createDataFrame([(q, t) for q, s in context.items() for t in s], "query_id long, tag_id int")
+    candidates = spark.createDataFrame([(q, m, (m * 5 + q) % 9) for q in context for m in range(6)], "query_id long, memory_id long, tag_id int")
+    seen = []
+    own = T.partner_scores
+    monkeypatch.setattr(RE, "partner_scores", lambda tensor, seeds, *a: seen.append(seeds.select("query_id").distinct().count()) or own(tensor, seeds, *a))
+    channels = {
+        "resonant": lambda s, c: RE.resonant(tensor, s, c, None, None, s),
+        "glyph": lambda s, c: T.glyph_associations(tensor, s, c),
+        "convergence": lambda s, c: G.semiotic_convergence(tensor, s, c),
+        "fan_out": lambda s, c: G.fan_out(tensor, s),
+        "inward": lambda s, c: G.inward_ratio(tensor, s, c.withColumn("score", F.lit(0.5)).select("query_id", "tag_id", "score").distinct()),
+    }
+    for name, channel in channels.items():
+        got = sorted(tuple(round(x, 9) for x in r) for r in channel(seeds, candidates).collect())
+        alone = [tuple(round(x, 9) for x in r) for q in range(3, 6) for r in channel(seeds.filter(f"query_id = {q}"), candidates.filter(f"query_id = {q}")).collect()]
+        assert [r for r in got if 3 <= r[0] < 6] == sorted(alone) and got, name
+    assert seen[0] == 3
