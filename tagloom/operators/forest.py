@@ -10,7 +10,7 @@ may have an edge; memories need none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.tensor import PAIR
@@ -24,11 +24,21 @@ def _once(active: DataFrame) -> DataFrame:
 
 
 def scope_pairs(active: DataFrame, gate: DataFrame) -> DataFrame:
-    """(scope_id and both ends) of the pairs of each scope.  Tags meet through the gate, so pairs outside it are never made."""
+    """(scope_id and both ends) of the pairs of each scope.
+
+    The tags of a scope meet each other or their partners in the gate,
+    whichever makes fewer rows; both give the gated pairs.
+    """
     rows = _once(active)
-    tags = rows.filter("target_type = 'tag'").select("scope_id", F.col("target_id").cast("long").alias("tag_a_id"))
-    through = tags.join(gate.select(*[F.col(c).cast("long").alias(c) for c in PAIR]).distinct(), "tag_a_id")
-    of_tags = through.join(tags.withColumnRenamed("tag_a_id", "tag_b_id"), ["scope_id", "tag_b_id"])
+    pairs = gate.select(*[F.col(c).cast("long").alias(c) for c in PAIR]).distinct()
+    partners = pairs.groupBy("tag_a_id").agg(F.count(F.lit(1)).alias("_p"))
+    scope = Window.partitionBy("scope_id")
+    tags = rows.filter("target_type = 'tag'").select("scope_id", F.col("target_id").cast("long").alias("tag_a_id")).join(partners, "tag_a_id", "left")
+    tags = tags.withColumns({"_k": F.count(F.lit(1)).over(scope), "_p": F.sum(F.coalesce("_p", F.lit(0))).over(scope)}).withColumn("_near", F.col("_k") * (F.col("_k") - 1) / 2 <= F.col("_p"))
+    near, far = (tags.filter(f).select("scope_id", "tag_a_id") for f in ("_near", "not _near"))
+    of_tags = near.join(near.withColumnRenamed("tag_a_id", "tag_b_id"), "scope_id").filter("tag_a_id < tag_b_id").join(pairs, PAIR, "left_semi").select("scope_id", *PAIR)
+    through = far.join(pairs, "tag_a_id").join(far.withColumnRenamed("tag_a_id", "tag_b_id"), ["scope_id", "tag_b_id"]).select("scope_id", *PAIR)
+    of_tags = of_tags.unionByName(through)
     memories = rows.filter("target_type = 'memory'").select("scope_id", F.col("target_id").alias("left_id"))
     of_memories = memories.join(memories.withColumnRenamed("left_id", "right_id"), "scope_id").filter("left_id < right_id")
 

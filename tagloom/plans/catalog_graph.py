@@ -657,7 +657,8 @@ def _grown(t) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
     active = hits.select(F.col("retrieval_id").cast("string").alias("scope_id"), F.lit("tag").alias("target_type"), F.col("tag_id").cast("string").alias("target_id"))
     counts = active.groupBy("target_type", "target_id").agg(F.count(F.lit(1)).alias("n"))
     total = hits.agg(F.countDistinct("retrieval_id").alias("total"))
-    return active, t("tensor"), FO.grow_edges(None, active, "retrieval", t("tensor"), counts, total)
+    gate = cut(t("tensor").select(*T.PAIR))
+    return active, gate, FO.grow_edges(None, active, "retrieval", gate, counts, total)
 
 
 @query("forest_edges", f"SELECT CAST(a AS VARCHAR) AS left_id, CAST(b AS VARCHAR) AS right_id, raw AS raw_count, expected AS expected_count, strength AS co_strength FROM {_FOREST}", "raw_count, expected_count, co_strength")
