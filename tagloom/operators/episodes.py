@@ -119,15 +119,16 @@ def fold_rows(fold: EpisodeFold, key: int, pdf: pd.DataFrame, p: EpisodeParams)
 def operation_centroids(operations: DataFrame, tag_centroids: DataFrame) -> DataFrame:
     """Mean of the centroids of each operation's tags; an operation needs max(1, n // 2) known ones.
 
+    Means are taken once for each different set of tags.
     operations: key, op_id, occurred_at, tag_id.  tag_centroids: tag_id, centroid.
     """
     keys = ["key", "op_id", "occurred_at"]
-    joined = operations.select(*keys, "tag_id").distinct().join(tag_centroids, "tag_id", "left")
-    counts = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count("centroid").alias("_known"), F.sort_array(F.collect_set("tag_id")).alias("tags"))
-    enough = counts.filter((F.col("_known") >= 1) & (F.col("_known") >= F.floor(F.col("_n") / 2)))
-    parts = joined.filter("centroid is not null").select(*keys, F.posexplode("centroid").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
-    whole = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
-    return enough.join(whole, keys).select(*keys, "centroid", "tags")
+    sets = operations.select(*keys, "tag_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_set("tag_id")).alias("tags"))
+    known = sets.select("tags").distinct().select("tags", F.explode("tags").alias("tag_id")).join(tag_centroids, "tag_id").filter("centroid is not null")
+    parts = known.select("tags", "tag_id", F.posexplode("centroid").alias("i", "x")).groupBy("tags", "i").agg(F.avg("x").alias("x"))
+    whole = parts.groupBy("tags").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
+    whole = whole.join(known.groupBy("tags").agg(F.count(F.lit(1)).alias("_known")), "tags")
+    return sets.join(whole, "tags").filter(F.col("_known") >= F.floor(F.col("_n") / 2)).select(*keys, "centroid", "tags")
 
 
 def assign_episodes(operations: DataFrame, params: EpisodeParams = EpisodeParams()) -> DataFrame:
