@@ -74,8 +74,10 @@ def split_compounds(tags: DataFrame) -> DataFrame:
 
 def letter_tags(texts: DataFrame, id_col: str = "memory_id", text_col: str = "content") -> DataFrame:
     """Each letter of a text as a tag, its confidence the number of times that it occurs."""
-    letters = texts.select(F.col(id_col), F.explode(F.split(F.lower(F.col(text_col)), "")).alias("letter")).filter(F.col("letter").rlike(r"^\p{L}$"))
-    return letters.groupBy(id_col, "letter").agg(F.count(F.lit(1)).cast("double").alias("confidence"))
+    # The texts of an id come together first, so that no task holds a counter for each letter of its ids.
+    whole = texts.select(F.col(id_col), F.lower(F.col(text_col)).alias("_t")).repartition(id_col).groupBy(id_col).agg(F.concat_ws("", F.collect_list("_t")).alias("_t"))
+    letters = whole.select(id_col, "_t", F.explode(F.filter(F.array_distinct(F.split("_t", "")), lambda c: c.rlike(r"^\p{L}$"))).alias("letter"))
+    return letters.select(id_col, "letter", (F.length("_t") - F.length(F.replace(F.col("_t"), F.col("letter"), F.lit("")))).cast("double").alias("confidence"))
 
 
 def time_tags(memories: DataFrame) -> DataFrame:
