@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tagloom.functions.scalar import content_hash
 from tagloom.operators.lineage import cut
@@ -68,15 +72,40 @@ def embedding_chunks(text: str | None, size: int = 1000) -> list[str]:
     return [p for part in parts for p in ([part] if len(part) <= size else pack(part.split(), size, " "))]
 
 
+#: Characters and rows of texts that a Python worker handles at once.
+SLICE_CHARS, SLICE_ROWS = 4_000_000, 500
+
+
+def slices(table: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+    """The rows of a batch as small frames: as Python strings, a batch of long texts would take several times its size."""
+    ends, lo = np.cumsum(pc.fill_null(pc.utf8_length(table["text"]), 0).to_numpy(zero_copy_only=False)), 0
+    while lo < table.num_rows:
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_CHARS, "right"))
+        hi = min(max(hi, lo + 1), lo + SLICE_ROWS)
+        yield table.slice(lo, hi - lo).to_pandas()
+        lo = hi
+
+
+def map_texts(docs: DataFrame, make: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``make`` over rows (id, text, ...) in ``slices``."""
+    kinds = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pdf in slices(batch):
+                yield pa.RecordBatch.from_pandas(make(pdf), schema=kinds, preserve_index=False)
+
+    return docs.mapInArrow(run, schema)
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2000, overlap: int = 400) -> DataFrame:
     """(id, chunk_index, total, section, chunk) of every document."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, n, len(found), t, c) for i, text in zip(pdf["id"], pdf["text"], strict=True) for found in [chunks(text, size, overlap)] for n, (t, c) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "total", "section", "chunk"])
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(i, n, len(found), t, c) for i, text in zip(pdf["id"], pdf["text"], strict=True) for found in [chunks(text, size, overlap)] for n, (t, c) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["id", "chunk_index", "total", "section", "chunk"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, "id long, chunk_index int, total int, section string, chunk string")
+    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "id long, chunk_index int, total int, section string, chunk string")
 
 
 def new_chunks(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -162,12 +191,11 @@ def parts(text: str | None, path: str, size: int = 3000, overlap: int = 200) ->
 def document_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", size: int = 3000, overlap: int = 200) -> DataFrame:
     """(id, chunk_index, total, chunk) of every document; a null path is empty."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, n, len(found), c) for i, text, path in zip(pdf["id"], pdf["text"], pdf["path"], strict=True) for found in [parts(text, path, size, overlap)] for n, c in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "total", "chunk"])
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(i, n, len(found), c) for i, text, path in zip(pdf["id"], pdf["text"], pdf["path"], strict=True) for found in [parts(text, path, size, overlap)] for n, c in enumerate(found)]
+        return pd.DataFrame(rows, columns=["id", "chunk_index", "total", "chunk"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(path_col, F.lit("")).alias("path")).mapInPandas(cut, "id long, chunk_index int, total int, chunk string")
+    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(path_col, F.lit("")).alias("path")), make, "id long, chunk_index int, total int, chunk string")
 
 
 def criticality(doc_tags: DataFrame, known: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -228,11 +256,10 @@ def summarise_code(text: str | None, most: int = 12) -> str:
 
 
 def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", code: bool = False) -> DataFrame:
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "summary": [summarise_code(t) if code else summarise(t) for t in pdf["text"]]})
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": pdf["id"], "summary": [summarise_code(t) if code else summarise(t) for t in pdf["text"]]})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(make, "id long, summary string")
+    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "id long, summary string")
 
 
 #: What a question for a detail matches, in any case.
