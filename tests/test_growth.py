@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import episodic as EP
 from tagloom.operators import graph as G
+from tagloom.operators import lexical as LX
 from tagloom.operators import overlap as OV
 from tagloom.operators import retrieval as RE
 from tagloom.operators import tensor as T
@@ -82,3 +83,17 @@ def test_equal_contexts_count_once(spark, monkeypatch):
         alone = [tuple(round(x, 9) for x in r) for q in range(3, 6) for r in channel(seeds.filter(f"query_id = {q}"), candidates.filter(f"query_id = {q}")).collect()]
         assert [r for r in got if 3 <= r[0] < 6] == sorted(alone) and got, name
     assert seen[0] == 3
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    seen, own = [], LX.best_of_memories
+    monkeypatch.setattr(LX, "best_of_memories", lambda m, p: seen.append(p.select("query_id").distinct().count()) or own(m, p))
+    tensor = spark.createDataFrame([(1, 2, *[0.5] * 8)], ", ".join(["tag_a_id int, tag_b_id int", *[f"{c} double" for c in T.LAYERS]]))
+    tags, memory_tags = spark.createDataFrame([(1, "red"), (2, "blue")], "tag_id int, name string"), spark.createDataFrame([(7, 1), (8, 2)], "memory_id int, tag_id int")
+    queries = spark.createDataFrame([(1, "Red"), (2, "red"), (3, "is RED!"), (4, "blue")], "query_id int, text string")
+    scores, seeds = LX.score_lexical(queries, tags, tensor, memory_tags)
+    got = {}
+    for r in scores.collect():
+        got.setdefault(r["query_id"], {})[r["memory_id"]] = r["score"]
+    assert seen == [2] and got[1] == got[2] == got[3] and got[1][7] == 1.0 and got[4][8] == 1.0
+    assert sorted(map(tuple, seeds.collect())) == [(1, 1), (2, 1), (3, 1), (4, 2)]
